@@ -34,7 +34,7 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the scratch folder and read back."""
     spark = df.sparkSession
     path = scratch_dir(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality, secrets, sharding, tokenfiles
+from . import decontaminate, lm, neardup, packing, passages, pii, quality, secrets, sharding, tokenfiles
 from .base import documents
 
 
@@ -25,6 +25,10 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(documents(spark, sf_dir))
 
 
+def op3_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(documents(spark, sf_dir))
+
+
 def op4_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
 
@@ -33,6 +37,18 @@ def op5_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.report(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
 
 
+def op6_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
+def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir))
+
+
 def op9_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -42,7 +58,18 @@ def op10_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_secret_scan, op2_line_quality, op4_dp_packing, op5_arrow_token_files, op9_wu_manber, op10_histogram_sort]
+    named = [
+        op1_secret_scan,
+        op2_line_quality,
+        op3_minhash_bayes,
+        op4_dp_packing,
+        op5_arrow_token_files,
+        op6_pii_boosting,
+        op7_pitman_yor,
+        op8_compact_windows,
+        op9_wu_manber,
+        op10_histogram_sort,
+    ]
     return {f.__name__: f for f in named}
 
 

@@ -38,4 +38,5 @@ def test_stages(spark, sf_dir):
         assert out.columns == docs.columns and 0 < len(rows) <= docs.count()
         kept = {r.doc_id for r in rows}
         docs = spark.createDataFrame(rows, docs.schema)
-    assert corpus_pipeline.run(spark, sf_dir).count() == len(rows)
+    whole = {(r.doc_id, r.doc_tokens) for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert whole == {(r.doc_id, r.doc_tokens) for r in rows}  # pieces depend on how the table is dealt

@@ -1,9 +1,396 @@
-"""Placeholder until the engine's queries are registered."""
+"""The engine's queries over the test tables, and equal SQL where SQL can say them."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from .functions import policy, score, text
+from .operators import brief, capture, consolidate, model, projects, recall, rules, similarity
+from .sources import cards as card_files
+from .sources import logs, views
+from .sources.views import CARDS_SQL, DENY, MESSAGES_SQL, RETENTION, now, table
+
+QUERY = "the of token license en src0"
+TOKENS_SQL = CARDS_SQL + ", tok AS (SELECT *, regexp_extract_all(lower(title || chr(10) || body), '[a-z0-9_]+') AS tokens FROM cards)"
+REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        REGISTRY[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _tok(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.with_tokens(views.cards(spark, d))
+
+
+@query(f"WITH {TOKENS_SQL} SELECT id, len(tokens) AS n_tokens, len(list_distinct(tokens)) AS n_distinct FROM tok")
+def tokenize_counts(spark, d):
+    return _tok(spark, d).select("id", F.size("tokens").cast("long").alias("n_tokens"), F.size(F.array_distinct("tokens")).cast("long").alias("n_distinct"))
+
+
+@query(f"WITH {TOKENS_SQL} SELECT store, term, count(*) AS df FROM (SELECT store, unnest(list_distinct(tokens)) AS term FROM tok) GROUP BY ALL")
+def doc_freq(spark, d):
+    return recall.doc_freq(_tok(spark, d))
+
+
+@query(f"WITH {TOKENS_SQL} SELECT store, count(*) AS doc_count, round(avg(len(tokens)), 6) AS avg_doc_len FROM tok GROUP BY store")
+def corpus_stats(spark, d):
+    return recall.corpus_stats(_tok(spark, d)).select("store", "doc_count", F.round("avg_doc_len", 6).alias("avg_doc_len"))
+
+
+_REL = f"""{TOKENS_SQL}, q AS (SELECT unnest(regexp_extract_all('{QUERY}', '[a-z0-9_]+')) AS term),
+tf AS (SELECT id, store, term, count(*) AS f FROM (SELECT id, store, unnest(tokens) AS term FROM tok) SEMI JOIN q USING (term) GROUP BY ALL),
+df AS (SELECT store, term, count(*) AS d FROM tf GROUP BY ALL),
+st AS (SELECT store, count(*) AS n, avg(len(tokens)) AS a FROM tok GROUP BY store),
+bm AS (SELECT id, sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * (f * 2.5) / (f + 1.5 * (0.25 + 0.75 * greatest(len(tokens), 1) / greatest(a, 1.0)))) AS s
+  FROM tf JOIN df USING (store, term) JOIN st USING (store) JOIN tok USING (id) GROUP BY id),
+rel AS (SELECT tok.*, coalesce(s, 0.0) + 0.3 * len(list_filter(tags, lambda t: list_contains(regexp_extract_all('{QUERY}', '[a-z0-9_]+'), lower(t)))) AS rel FROM tok LEFT JOIN bm USING (id))"""
+_STRENGTH = "least(1.0, 0.5 + 0.1 * access_count) * pow(0.999, greatest(0.0, (epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(updated)) / 8.64e10))"
+_RECENCY = "pow(0.995, greatest(0.0, (epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(last_accessed)) / 3.6e9))"
+
+
+@query(f"WITH {_REL} SELECT id, round(rel, 4) AS rel FROM rel WHERE rel > 0")
+def bm25_scores(spark, d):
+    return recall.relevance(_tok(spark, d), recall.query_terms(spark, QUERY)).where("rel > 0").select("id", F.round("rel", 4).alias("rel"))
+
+
+@query(f"WITH {CARDS_SQL} SELECT id, round({_RECENCY}, 6) AS recency, round({_STRENGTH}, 6) AS strength FROM cards")
+def recency_strength(spark, d):
+    return views.cards(spark, d).select("id", F.round(score.recency(F.col("last_accessed"), now()), 6).alias("recency"), F.round(score.strength(F.col("access_count"), F.col("updated"), now()), 6).alias("strength"))
+
+
+@query(f"WITH {_REL}, live AS (SELECT * FROM rel WHERE valid_until IS NULL) SELECT id, round((0.5 * CASE WHEN m > 0 THEN rel / m ELSE 0 END + 0.2 * (importance / 10.0) + 0.3 * {_RECENCY}) * {_STRENGTH}, 6) AS score FROM live, (SELECT greatest(0.0, max(rel)) AS m FROM live)")
+def composite_scores(spark, d):
+    return recall.scored(_tok(spark, d), recall.query_terms(spark, QUERY), now()).select("id", F.round("score", 6).alias("score"))
+
+
+@query()
+def recall_topk_mmr(spark, d):
+    return recall.recall(views.cards(spark, d), QUERY, now(), k=8)
+
+
+@query()
+def recall_empty_query(spark, d):
+    return recall.recall(views.cards(spark, d), "", now(), k=5)
+
+
+@query()
+def recall_project_scope(spark, d):
+    return recall.recall(views.cards(spark, d), QUERY, now(), k=5, stores=["p1"])
+
+
+_RE2 = [(n, p.replace(policy.B, r"\b").replace("'", "''")) for n, p in policy.SECRETS]
+_NAMES = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in _RE2) + "], lambda x: x IS NOT NULL)"
+_DENIED = "list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{w.lower()}') THEN 'rule:never:{w}' END" for w in DENY) + "], lambda x: x IS NOT NULL)"
+_PII = r"""
+m AS (SELECT *, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[REDACTED-EMAIL]', 'g') AS t1 FROM documents),
+p AS (SELECT *, regexp_replace(regexp_replace(t1, '(^|[^0-9])1[3-9][0-9]{9}([^0-9]|$)', '\1[REDACTED-PHONE]\2', 'g'), '(^|[^0-9])1[3-9][0-9]{9}([^0-9]|$)', '\1[REDACTED-PHONE]\2', 'g') AS t2 FROM m),
+r AS (SELECT *, regexp_replace(regexp_replace(t2, '(^|[^0-9])[0-9]{17}[0-9Xx]([^0-9]|$)', '\1[REDACTED-ID]\2', 'g'), '(^|[^0-9])[0-9]{17}[0-9Xx]([^0-9]|$)', '\1[REDACTED-ID]\2', 'g') AS t3,
+  list_filter([CASE WHEN t1 <> text THEN 'email' END, CASE WHEN t2 <> t1 THEN 'cn-mobile' END], lambda x: x IS NOT NULL) AS h FROM p),
+pii AS (SELECT *, CASE WHEN t3 <> t2 THEN list_append(h, 'cn-id') ELSE h END AS hits FROM r)"""
+
+
+@query(f"SELECT doc_id, array_to_string({_NAMES}, ',') AS reasons FROM documents WHERE len({_NAMES}) > 0")
+def secret_scan(spark, d):
+    names = policy.secret_names(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(names, ",").alias("reasons")).where("reasons <> ''")
+
+
+@query(f"SELECT doc_id, array_to_string({_DENIED}, ',') AS reasons FROM documents WHERE len({_DENIED}) > 0")
+def deny_filter(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(policy.denied(F.col("text"), DENY), ",").alias("reasons")).where("reasons <> ''")
+
+
+@query(f"WITH {_PII} SELECT doc_id, md5(t3) AS text_md5, array_to_string(hits, ',') AS hits FROM pii")
+def pii_redact(spark, d):
+    return table(spark, d, "documents").select("doc_id", policy.personal(F.col("text")).alias("p")).select("doc_id", F.md5(F.col("p.text").cast("binary")).alias("text_md5"), F.array_join("p.hits", ",").alias("hits"))
+
+
+@query(
+    f"WITH {_PII}, g AS (SELECT *, {_NAMES} AS s, {_DENIED} AS n FROM pii) SELECT doc_id, len(s) = 0 AND len(n) = 0 AS ok, CASE WHEN len(s) > 0 THEN array_to_string(s, ',') ELSE array_to_string(n, ',') END AS reasons, CASE WHEN len(s) = 0 AND len(n) = 0 THEN array_to_string(hits, ',') ELSE '' END AS warnings FROM g"
+)
+def policy_gate(spark, d):
+    return table(spark, d, "documents").select("doc_id", policy.gate(F.col("text"), DENY).alias("g")).select("doc_id", "g.ok", F.array_join("g.reasons", ",").alias("reasons"), F.array_join("g.warnings", ",").alias("warnings"))
+
+
+_LINES = r"list_filter(list_transform(split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')"
+
+
+@query(f"SELECT doc_id, md5(array_to_string(list_filter(l, lambda x, i: list_position(k, lower(x)) = i), chr(10))) AS md5 FROM (SELECT doc_id, l, list_transform(l, lambda x: lower(x)) AS k FROM (SELECT doc_id, {_LINES} AS l FROM documents))")
+def normalize_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text.normalize(F.col("text")).cast("binary")).alias("md5"))
+
+
+@query(
+    f"WITH {CARDS_SQL}, b AS (SELECT id, title, trim(body, ' ' || chr(10)) AS b FROM cards), s AS (SELECT id, CASE WHEN b = '' THEN '' WHEN length(title) > 0 AND starts_with(b, title) THEN trim(regexp_replace(substr(b, length(title) + 1), '^[\\s:：,，;；—-]+', ''), ' ' || chr(10)) ELSE b END AS s FROM b) SELECT id, CASE WHEN length(s) <= 120 THEN s ELSE substr(s, 1, 119) || '…' END AS snippet FROM s"
+)
+def snippet(spark, d):
+    return views.cards(spark, d).select("id", text.snippet(F.col("title"), F.col("body")).alias("snippet"))
+
+
+_SENTENCES = r"list_filter(list_transform(split(regexp_replace(regexp_replace({t}, '([。！？!?；;\n])', '\1' || chr(31), 'g'), '([.!?;])(\x1f?)\s+', '\1' || chr(31), 'g'), chr(31)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')"
+
+
+@query(f"SELECT doc_id, len(s) AS n, md5(array_to_string(s, '|')) AS md5 FROM (SELECT doc_id, {_SENTENCES.format(t='text')} AS s FROM documents)")
+def split_sentences(spark, d):
+    s = table(spark, d, "documents").select("doc_id", text.sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|").cast("binary")).alias("md5"))
+
+
+_INTENT = r"(?i)always remember|\bremember that\b|\bremember to\b|from now on|going forward|always use|never use|stop using|my preference"
+
+
+@query(f"WITH {MESSAGES_SQL}, s AS (SELECT session, turn, unnest({_SENTENCES.format(t='text')}) AS s FROM messages) SELECT session, turn, count(DISTINCT lower(s)) AS n FROM s WHERE length(s) BETWEEN 6 AND 400 AND regexp_matches(s, '{_INTENT}') GROUP BY ALL")
+def intent_sentences(spark, d):
+    return views.messages(spark, d).select("session", "turn", F.size(text.intent_sentences(F.col("text"), 1000)).cast("long").alias("n")).where("n > 0")
+
+
+@query(f"WITH {MESSAGES_SQL} SELECT session, turn, CASE WHEN regexp_matches(text, '(?i)prefer|always|from now on|going forward') THEN 'preference' ELSE 'fact' END AS kind FROM messages")
+def kind_classify(spark, d):
+    return views.messages(spark, d).select("session", "turn", text.kind_of(F.col("text")).alias("kind"))
+
+
+@query(
+    f"WITH {MESSAGES_SQL}, k AS (SELECT * REPLACE (trim(text, ' ' || chr(10)) AS text) FROM messages WHERE role IN ('user', 'assistant')), c AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY session ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM k WHERE text <> '') SELECT session, count(*) AS n_messages, md5(substr(string_agg(text, chr(10) ORDER BY turn) || chr(10), 1, 2000)) AS tail_md5 FROM c WHERE b < 2000 GROUP BY session HAVING length(trim(substr(string_agg(text, chr(10) ORDER BY turn) || chr(10), 1, 2000), ' ' || chr(10))) >= 120"
+)
+def tail_window(spark, d):
+    return capture.tails(views.messages(spark, d), limit=2000).select("session", "n_messages", F.md5(F.col("tail").cast("binary")).alias("tail_md5"))
+
+
+@query()
+def capture_candidates(spark, d):
+    return capture.candidates(capture.tails(views.messages(spark, d)))
+
+
+def _sets(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("doc_id").alias("ord"), F.array_distinct(text.tokenize(F.col("text"))).alias("set"))
+
+
+_CLASSES = "t AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS s FROM documents), reps AS (SELECT min(doc_id) AS k, s, len(s) AS n, count(*) AS copies FROM t WHERE len(s) > 0 GROUP BY s)"
+
+
+@query(f"WITH {_CLASSES} SELECT t.doc_id, reps.k AS class_id, reps.copies FROM t JOIN reps ON t.s = reps.s")
+def near_dup_classes(spark, d):
+    s = _sets(spark, d).where(F.size("set") > 0).withColumn("set", F.array_sort("set"))
+    return s.join(similarity.classes(s).select("set", F.col("key").alias("class_id"), "copies"), "set").select(F.col("key").alias("doc_id"), "class_id", "copies")
+
+
+@query(
+    f"WITH {_CLASSES}, e AS (SELECT k, n, unnest(s) AS w FROM reps), c AS (SELECT a.k AS a, b.k AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.w = b.w AND a.k < b.k AND b.n >= 0.6 * a.n AND a.n >= 0.6 * b.n GROUP BY a.k, b.k) SELECT a, b, round(c / (na + nb - c), 6) AS sim, CASE WHEN c / (na + nb - c) >= 0.85 THEN 'noop' ELSE 'update' END AS decision FROM c WHERE c >= 0.6 * (na + nb - c) - 1e-9"
+)
+def near_dup_pairs(spark, d):
+    found = similarity.pairs(similarity.classes(_sets(spark, d)), 0.6)
+    return found.select("a", "b", F.round("sim", 6).alias("sim"), similarity.decision(F.col("sim")).alias("decision"))
+
+
+def _ingest(spark, d):
+    c = views.cards(spark, d)
+    return consolidate.ingest(c.where("doc_id % 5 <> 4"), c.where("doc_id % 5 = 4").select(F.col("doc_id").alias("seq"), F.col("text").alias("content")), DENY)
+
+
+@query()
+def ingest_greedy(spark, d):
+    return _ingest(spark, d).select("seq", "action", "target", F.round("sim", 6).alias("sim"))
+
+
+@query()
+def ingest_bumps(spark, d):
+    c = views.cards(spark, d)
+    return consolidate.bumps(_ingest(spark, d)).join(c, "id").select("id", F.round(score.bump(F.col("confidence"), F.col("by")), 2).alias("confidence"))
+
+
+_ACCESS = "ac AS (SELECT event_id % (SELECT count(*) FROM documents) AS doc_id, count(*) AS n, max(ts) AS m FROM events GROUP BY 1)"
+
+
+@query(f"WITH {CARDS_SQL}, {_ACCESS} SELECT id, access_count + n AS access_count, m AS last_accessed FROM cards JOIN ac USING (doc_id)")
+def access_fold(spark, d):
+    c = views.cards(spark, d)
+    n = table(spark, d, "documents").agg(F.count("*").alias("docs"))
+    key = F.concat(F.lit("m-20240131-"), F.lpad((F.col("event_id") % F.col("docs")).cast("string"), 10, "0"))
+    return consolidate.access_fold(c, table(spark, d, "events").crossJoin(F.broadcast(n)).select("ts", F.array(key).alias("ids")))
+
+
+_DAYS = "(epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(updated)) / 8.64e10"
+_WHY = "CASE " + " ".join(f"WHEN valid_until IS NULL AND kind = '{k}' AND {_DAYS} > {n} THEN 'retention({n}d)'" for k, n in RETENTION.items()) + f" WHEN valid_until IS NULL AND kind = 'observation' AND {_DAYS} > 14 AND {_STRENGTH} < 0.3 THEN 'observation-decay' END"
+
+
+@query(f"WITH {CARDS_SQL} SELECT id, {_WHY} AS why FROM cards WHERE {_WHY} IS NOT NULL")
+def retention_archive(spark, d):
+    return views.cards(spark, d).select("id", consolidate.archive_reason(RETENTION, now()).alias("why")).where("why IS NOT NULL")
+
+
+@query(f"WITH {CARDS_SQL} SELECT store, count(*) - count({_WHY}) AS live, count({_WHY}) AS archived FROM cards GROUP BY store")
+def archive_split(spark, d):
+    c = views.cards(spark, d).withColumn("why", consolidate.archive_reason(RETENTION, now()))
+    return c.groupBy("store").agg((F.count("*") - F.count("why")).alias("live"), F.count("why").alias("archived"))
+
+
+@query(
+    f"WITH {TOKENS_SQL}, x AS (SELECT a.store, a.id, b.id AS o, len(list_intersect(a.tags, b.tags)) AS sh, list_distinct(a.tokens) AS sa, list_distinct(b.tokens) AS sb FROM tok a JOIN tok b ON a.store = b.store AND a.id <> b.id AND len(list_intersect(a.tags, b.tags)) >= 2), y AS (SELECT store, id, o, round(sh * 10 + CASE WHEN len(sa) = 0 OR len(sb) = 0 THEN 0 ELSE len(list_intersect(sa, sb)) / (len(sa) + len(sb) - len(list_intersect(sa, sb))) END, 9) AS v FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY store, id ORDER BY v DESC, o) AS r FROM y) SELECT store, id, string_agg(o, ',' ORDER BY r) AS links FROM z WHERE r <= 5 GROUP BY ALL"
+)
+def relink_tags(spark, d):
+    return consolidate.relink(_tok(spark, d)).select("store", "id", F.array_join("links", ",").alias("links"))
+
+
+@query(
+    f"WITH {TOKENS_SQL}, l AS (SELECT id, list_distinct(tokens) AS s FROM tok WHERE valid_until IS NULL), e AS (SELECT id, len(s) AS n, unnest(s) AS w FROM l), c AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.w = b.w AND a.id < b.id GROUP BY a.id, b.id) SELECT a, b, round(c / (na + nb - c), 6) AS sim FROM c WHERE c >= 0.3 * (na + nb - c) - 1e-9 AND c / (na + nb - c) < 0.85 ORDER BY a, b LIMIT 4"
+)
+def conflict_pairs(spark, d):
+    return consolidate.conflicts(_tok(spark, d))
+
+
+_REPLY = "G1: A\nnoise\nG2 both\nG2 a\nG3 m-20240131-00000000zz\nG9 a\nG4: 0000000008."
+_PAIRS = [(g, f"m-20240131-{2 * g - 1:010d}", f"m-20240131-{2 * g:010d}") for g in range(1, 5)]
+
+
+@query("SELECT * FROM (VALUES (1, 'a'), (2, 'both'), (4, 'b')) t(g, keep)")
+def conflict_parse(spark, d):
+    return model.conflict_decisions(spark.createDataFrame([(_REPLY,)], "text string"), spark.createDataFrame(_PAIRS, "g int, a string, b string"))
+
+
+@query("SELECT id FROM (VALUES ('m-20240131-0000000002'), ('m-20240131-0000000007')) t(id)")
+def conflict_losers(spark, d):
+    pairs = spark.createDataFrame(_PAIRS, "g int, a string, b string")
+    return consolidate.losers(model.conflict_decisions(spark.createDataFrame([(_REPLY,)], "text string"), pairs), pairs)
+
+
+@query("SELECT * FROM (VALUES (0, 'uses tabs'), (1, 'prefers dark mode'), (2, 'third fact')) t(pos, line)")
+def llm_lines_parse(spark, d):
+    reply = "- uses tabs\n2) \"prefers dark mode\"\nNONE\nUSES TABS\nabc\n• third fact"
+    return spark.createDataFrame([(reply,)], "t string").select(F.posexplode(text.reply_lines(F.col("t"))).alias("pos", "line"))
+
+
+@query(f"WITH {CARDS_SQL} SELECT store, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY store ORDER BY importance DESC, id) AS rank FROM cards WHERE valid_until IS NULL) WHERE rank <= 40")
+def summary_input_top40(spark, d):
+    return model.summary_input(views.cards(spark, d)).select("store", "id", "rank")
+
+
+@query(f"WITH {CARDS_SQL}, {_ACCESS.replace('count(*) AS n, max(ts) AS m', 'count(DISTINCT user_id) AS n')} SELECT id, n AS sessions FROM cards JOIN ac USING (doc_id) WHERE confidence >= 0.8 AND n >= 2")
+def promotion_eligible(spark, d):
+    n = table(spark, d, "documents").agg(F.count("*").alias("docs"))
+    seen = table(spark, d, "events").crossJoin(F.broadcast(n)).groupBy((F.col("event_id") % F.col("docs")).alias("doc_id")).agg(F.count_distinct("user_id").alias("sessions"))
+    return views.cards(spark, d).join(seen, "doc_id").where("confidence >= 0.8 AND sessions >= 2").select("id", "sessions")
+
+
+@query(f"WITH {CARDS_SQL} SELECT id, lower(tags[1]) || '-x,' || lower(tags[2]) || ',' || lower(tags[3]) AS tags FROM cards")
+def normalize_tags(spark, d):
+    given = F.array(F.concat(F.lit(" "), F.upper(F.col("tags")[0]), F.lit("  X ")), F.col("tags")[1], F.lit(" "), F.upper(F.col("tags")[1]), F.col("tags")[2])
+    return views.cards(spark, d).select("id", F.array_join(text.normalize_tags(given), ",").alias("tags"))
+
+
+@query(f"WITH {CARDS_SQL} SELECT id, sha1(title || chr(10) || body) AS digest FROM cards")
+def card_digest(spark, d):
+    return views.cards(spark, d).select("id", text.digest(F.col("title"), F.col("body")).alias("digest"))
+
+
+@query(f"WITH {CARDS_SQL} SELECT id, trim(regexp_replace('home-' || store || '-' || id, '[.]', '-', 'g'), '-') AS slug FROM cards")
+def slug_for_path(spark, d):
+    return views.cards(spark, d).select("id", text.slug(F.concat_ws("/", F.lit("\\home"), "store", "id", F.lit(""))).alias("slug"))
+
+
+@query(f"WITH {CARDS_SQL} SELECT id, store, doc_id AS seq FROM cards WHERE doc_id % 5 = 4 AND doc_id >= 50")
+def inbox_from_offset(spark, d):
+    inbox = views.cards(spark, d).where("doc_id % 5 = 4").select("id", "store", F.col("doc_id").alias("seq"))
+    return logs.from_offset(inbox, _state(spark)).select("id", "store", "seq")
+
+
+def _state(spark):
+    return spark.createDataFrame([(s, 50, None, None, None) for s in ("global", "p1", "p2", "p3")], logs.STATE)
+
+
+@query(f"WITH {CARDS_SQL} SELECT DISTINCT store FROM cards WHERE doc_id % 5 = 4 AND doc_id >= 50")
+def dirty_stores(spark, d):
+    return logs.dirty(views.cards(spark, d).where("doc_id % 5 = 4").select("store", F.col("doc_id").alias("seq")), _state(spark))
+
+
+@query(
+    "WITH e AS (SELECT user_id AS session, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 15 SECOND THEN 0 ELSE 1 END AS n FROM events), g AS (SELECT *, sum(n) OVER (PARTITION BY session ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e) SELECT session, min(ts) AS first_ts, max(ts) + INTERVAL 15 SECOND AS fires_at, count(*) AS n_events FROM g GROUP BY session, g"
+)
+def debounce_sessions(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("session"), "ts")
+    by = Window.partitionBy("session").orderBy("ts")
+    new = F.when(F.col("ts") < F.lag("ts").over(by) + F.expr("INTERVAL 15 SECONDS"), 0).otherwise(1)
+    g = e.withColumn("n", new).withColumn("g", F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return g.groupBy("session", "g").agg(F.min("ts").alias("first_ts"), (F.max("ts") + F.expr("INTERVAL 15 SECONDS")).alias("fires_at"), F.count("*").alias("n_events")).drop("g")
+
+
+@query(f"WITH {CARDS_SQL} SELECT store, count(*) AS cards, count(valid_until) AS superseded, count(CASE WHEN doc_id % 5 = 4 AND doc_id >= 50 THEN 1 END) AS pending, count({_WHY}) AS archived FROM cards GROUP BY store")
+def status_report(spark, d):
+    c = views.cards(spark, d)
+    inbox = c.where("doc_id % 5 = 4").select("store", F.col("doc_id").alias("seq"))
+    gone = c.where(consolidate.archive_reason(RETENTION, now()).isNotNull())
+    return projects.status(c, inbox, _state(spark), gone).drop("last_run")
+
+
+_RULES = "# Guide\n## Memory Rules\nplain note\n### Never\n- secret plans\n- secret plans\n### Retention\n- task: 30 days\n- nothing: 4\n### Promotion\nafter 3 sessions\n## Other\n- not this"
+
+
+@query("SELECT * FROM (VALUES ('notes', 'plain note', NULL::INT), ('deny', 'secret plans', NULL), ('deny', 'secret plans', NULL), ('retention', 'task: 30 days', 30), ('promotion', 'after 3 sessions', 3)) t(bucket, value, number)")
+def rules_parse(spark, d):
+    return rules.parse(spark.createDataFrame([(1, _RULES)], "doc int, text string")).select("bucket", "value", "number")
+
+
+@query("SELECT * FROM (VALUES ('notes', 'plain note', NULL::INT), ('deny', 'secret plans', NULL), ('deny', 'more', NULL), ('retention', 'task', 9), ('promotion', NULL, 3)) t(bucket, value, number)")
+def rules_merge(spark, d):
+    docs = [(1, _RULES), (2, "# Memory\n## never\n* more\n* secret plans\n## retention\nTask: 9")]
+    return rules.merge(rules.parse(spark.createDataFrame(docs, "doc int, text string")))
+
+
+def _brief_hits(spark, d):
+    c = views.cards(spark, d).where("valid_until IS NULL").withColumn("rank", F.row_number().over(Window.partitionBy("store").orderBy(F.col("importance").desc(), "id"))).where("rank <= 12")
+    return c.select("store", "rank", "kind", "title", text.snippet(F.col("title"), F.col("body")).alias("snippet"), "id")
+
+
+@query(
+    f"WITH {CARDS_SQL}, s AS ({ORACLE['snippet'][len('WITH ' + CARDS_SQL + ', ') :].replace('b AS (', 'WITH b AS (', 1)}), h AS (SELECT c.*, s.snippet, row_number() OVER (ORDER BY importance DESC, id) AS rank FROM cards c JOIN s USING (id) WHERE store = 'p1' AND valid_until IS NULL) SELECT rank, sum(strlen('- [' || kind || '] ' || title || CASE WHEN snippet <> '' THEN ' — ' || snippet ELSE '' END || ' (' || id || ')') + 1) OVER (ORDER BY rank)::BIGINT AS bytes FROM h WHERE rank <= 12"
+)
+def brief_sizes(spark, d):
+    return brief.sizes(brief.lines(_brief_hits(spark, d).where("store = 'p1'"))).select("rank", "bytes")
+
+
+@query()
+def brief_budget(spark, d):
+    h = _brief_hits(spark, d)
+    made = [(n, brief.brief(h.where("store = 'global'"), h.where("store = 'p1'"), "p1", n)) for n in (4096, 1500, 700)]
+    return spark.createDataFrame(made, "budget int, text string")
+
+
+@query("SELECT 'q' || CAST(doc_id AS VARCHAR) AS cwd_id, 'p' || CAST(doc_id % 4 AS VARCHAR) AS slug FROM documents")
+def project_resolve(spark, d):
+    known = spark.createDataFrame([(f"p{k}", f"/work/p{k}") for k in range(4)] + [("top", "/work")], "slug string, path string")
+    cwds = table(spark, d, "documents").select(F.concat(F.lit("/work/p"), (F.col("doc_id") % 4).cast("string"), F.lit("/src/q"), F.col("doc_id").cast("string")).alias("cwd"))
+    return projects.resolve(cwds, known).select(F.regexp_extract("cwd", "(q[0-9]+)$", 1).alias("cwd_id"), "slug")
+
+
+@query(f"WITH {CARDS_SQL} SELECT store, id FROM cards WHERE (store = 'p1' OR store = 'global') AND doc_id IN (1, 4, 6, 9)")
+def forget_targets(spark, d):
+    return projects.forget_targets(views.cards(spark, d), [f"m-20240131-{k:010d}" for k in (1, 4, 6, 9)], "p1").select("store", "id")
+
+
+def _as_files(c: DataFrame) -> DataFrame:
+    at = F.col("updated").cast("timestamp")
+    return c.select("id", "kind", "tags", "importance", "confidence", at.alias("created"), at.alias("updated"), at.alias("lastAccessed"), F.col("access_count").alias("accessCount"), at.alias("validSince"), F.col("valid_until").cast("timestamp").alias("validUntil"), F.array().cast("array<string>").alias("supersedes"), F.struct(F.lit("s").alias("session"), F.lit(1).alias("turn")).alias("source"), F.array(F.lit("m-1")).alias("links"), text.trim_space(F.col("title")).alias("title"), text.trim_space(F.col("body")).alias("body"))
+
+
+@query(f"WITH {CARDS_SQL} SELECT id, kind, importance, confidence, array_to_string(tags, ',') AS tags, access_count, length(trim(title)) AS title_len FROM cards")
+def card_roundtrip(spark, d):
+    files = card_files.render(_as_files(views.cards(spark, d))).select(F.col("id").alias("path"), F.col("markdown").alias("value"))
+    return card_files.parse(files).where("_corrupt IS NULL").select("id", "kind", "importance", "confidence", F.array_join("tags", ",").alias("tags"), F.col("accessCount").alias("access_count"), F.length("title").cast("long").alias("title_len"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(REGISTRY)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)

@@ -49,6 +49,8 @@ BLOCK = 1024
 LARGE = 64
 #: The first round looks at so many bands.
 STAR_BANDS = 6
+#: Stars are built from pairs whose signatures agree at least so often, which links seldom fail.
+STAR_MATCHES = 108
 #: Groups of so few members report their surviving pairs without a star.
 SMALL = 8
 
@@ -143,20 +145,21 @@ def least_matches(threshold: float = NUM / DEN, miss: float = MISS, hashes: int
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n, digest, sketch, bands = [], [], [], []
+        n, digest, sketch, bands, keys = [], [], [], [], []
         for text in b.column(2).to_pylist():
             s = shingle_set(text)
             n.append(len(s))
             if not len(s):
-                digest.append(None), sketch.append(None), bands.append(None)
+                digest.append(None), sketch.append(None), bands.append(None), keys.append(None)
                 continue
             digest.append(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest())
             sig = signature(s)
             sketch.append((sig & np.uint32(255)).astype(np.uint8).tobytes())
             bands.append(band_keys(sig))
+            keys.append((bands[-1] >> 32).astype(np.int32).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            names=["doc_id", "th", "n", "digest", "sketch", "bands"],
+            [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(keys, pa.binary())],
+            names=["doc_id", "th", "n", "digest", "sketch", "bands", "keys"],
         )
 
 
@@ -224,7 +227,10 @@ def _compare(star: bool):
             ok = (NUM + DEN) * most >= NUM * (n[i] + n[j])
             i, j = i[ok], j[ok]
             k = survivors(t["sketch"], i, j)
-            return i[k], j[k]
+            i, j = i[k], j[k]
+            # Of the bands that a pair shares, the first alone reports it.
+            first = np.argmax(t["keys"][i] == t["keys"][j], axis=1) == t["band"][i]
+            return i[first], j[first]
 
         for d in range(1, SMALL):  # small groups together, by distance in the group
             few = np.flatnonzero((size <= SMALL) & (size > d))
@@ -246,6 +252,8 @@ def _compare(star: bool):
                 found_j.append(y)
             i, j = np.concatenate(found_i), np.concatenate(found_j)
             if star and len(i):
+                sure = (t["sketch"][i] == t["sketch"][j]).sum(1) >= STAR_MATCHES
+                i, j = i[sure], j[sure]
                 k = _forest(i, j)
                 i, j = i[k], j[k]
             yield i, j
@@ -262,8 +270,9 @@ def _compare(star: bool):
             new, ends = new[ends <= last], ends[ends <= last]
             out = []
             if len(new):
-                cols = {c: t[c].to_numpy() for c in ("label", "n", "u", "side", "cid")} | {"bi": bi, "bj": bj}
+                cols = {c: t[c].to_numpy() for c in ("label", "n", "u", "side", "cid", "band")} | {"bi": bi, "bj": bj}
                 cols["sketch"] = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, HASHES)
+                cols["keys"] = np.frombuffer(b"".join(t["keys"].to_pylist()), np.int32).reshape(-1, BANDS)
                 pairs = [p for p in groups(cols, new, ends) if len(p[0])]
                 if pairs:
                     a, b = (cols["cid"][np.concatenate([p[k] for p in pairs])] for k in (0, 1))
@@ -295,7 +304,7 @@ def _candidate_pairs(members: DataFrame, info: DataFrame, labels: DataFrame, *,
     own = F.pmod(F.xxhash64("cid"), blocks).cast("int")
     spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = spread.select(
-        "key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "label", "n", "u", "sketch"
+        "key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "label", "n", "u", "band", "keys", "sketch"
     )
     return placed.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_compare(star), "a long, b long").distinct()
 
@@ -318,7 +327,7 @@ def _unshared(docs: DataFrame, reps: DataFrame, members: DataFrame) -> DataFrame
 
 def described(docs: DataFrame) -> DataFrame:
     """Per document, in a written table: row, doc_id, th (hash of the text), n, digest, component (a class or null), component_id."""
-    rows = written(_keyed(docs).mapInArrow(_describe, "doc_id long, th long, n long, digest binary, sketch binary, bands array<long>").withColumn("row", F.monotonically_increasing_id()))
+    rows = written(_keyed(docs).mapInArrow(_describe, "doc_id long, th long, n long, digest binary, sketch binary, bands array<long>, keys binary").withColumn("row", F.monotonically_increasing_id()))
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("cid"), F.min("doc_id").alias("least_doc"))
     classes = written(classes)
     reps = written(rows.join(classes.select(F.col("cid").alias("row")), "row", "left_semi").withColumnRenamed("row", "cid").drop("digest"))
@@ -327,7 +336,7 @@ def described(docs: DataFrame) -> DataFrame:
     members = written(bands.join(counts, "key").select("key", "band", "cid", "size"))
     u = _unshared(docs, reps, members)
     busy = reps.join(members.select("cid").distinct(), "cid", "left_semi")
-    info = written(busy.join(u, "cid", "left").select("cid", "n", F.coalesce("u", F.lit(0)).cast("long").alias("u"), "sketch"))
+    info = written(busy.join(u, "cid", "left").select("cid", "n", F.coalesce("u", F.lit(0)).cast("long").alias("u"), "keys", "sketch"))
     none = info.sparkSession.createDataFrame([], "v long, label long")
     first = _verified(docs, reps, written(_candidate_pairs(members.where(F.col("band") < STAR_BANDS), info, none, star=True)))
     labels = components(first)

@@ -8,9 +8,11 @@
    covered by pairs of blocks, so no band is capped and no task holds a band.
 3. Signatures are compared ``STEP`` values at a time. After each step a pair
    goes if the posterior probability of similarity >= 0.85 is below ``MISS``.
-   In large bands a lossless bound joins in: shingles found in one class only
-   can't be shared, which settles most pairs of a widely edited text.
-4. Survivors are verified on full sets. A first round links dense groups by
+   In large bands a lossless bound joins in (shingles found in one class only
+   can't be shared), and rows carry their full sets: a widely edited text has
+   many candidates and few links, which are told apart inside the block, and of
+   which a spanning forest of the components is reported.
+4. Other survivors are verified on full sets. A first round links dense groups by
    stars around their most connected member; the second tests every pair whose
    ends are still in different components, so no pair within a component is
    ever needed and none across components is left out.
@@ -170,15 +172,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [shingle_set(t).view(np.int64) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "s"])
+        sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["cid", "s", "full"])
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Full sets, made anew from the texts, of the classes in ``wanted`` (cid, doc_id, th)."""
     d = _keyed(docs)
     joined = d.join(wanted.select("cid", F.col("doc_id").alias("wid"), F.col("th").alias("wth")), F.col("doc_id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")))
-    return joined.select("cid", "text").mapInArrow(_sets, "cid long, s array<long>")
+    return joined.select("cid", "text").mapInArrow(_sets, "cid long, s array<long>, full binary")
 
 
 # --- steps 2 and 3: blocks of a band ------------------------------------------
@@ -200,6 +202,21 @@ def _forest(i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return keep
 
 
+def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links (a, b) between components a spanning forest needs."""
+    up: dict[int, int] = {}
+    keep = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        while (z := up.get(x, x)) != x:
+            up[x] = x = up.get(z, z)
+        while (z := up.get(y, y)) != y:
+            up[y] = y = up.get(z, z)
+        if x != y:
+            up[x] = y
+            keep[k] = True
+    return keep
+
+
 def _compare(star: bool):
     steps = least_matches()
 
@@ -215,6 +232,11 @@ def _compare(star: bool):
                 break
         return alive
 
+    def shared(a: np.ndarray, b: np.ndarray) -> int:
+        both = np.concatenate([a, b])
+        both.sort(kind="stable")
+        return int((both[1:] == both[:-1]).sum())
+
     def groups(t: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs to report, as row numbers, from whole groups."""
         size = ends - starts
@@ -230,7 +252,12 @@ def _compare(star: bool):
             i, j = i[k], j[k]
             # Of the bands that a pair shares, the first alone reports it.
             first = np.argmax(t["keys"][i] == t["keys"][j], axis=1) == t["band"][i]
-            return i[first], j[first]
+            i, j = i[first], j[first]
+            # Members of large bands carry their full sets and are verified here.
+            full = t["full"]
+            ok = [full[a] is None or full[b] is None or (NUM + DEN) * shared(full[a], full[b]) >= NUM * (n[a] + n[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+            ok = np.array(ok, bool)
+            return i[ok], j[ok]
 
         for d in range(1, SMALL):  # small groups together, by distance in the group
             few = np.flatnonzero((size <= SMALL) & (size > d))
@@ -251,7 +278,10 @@ def _compare(star: bool):
                 found_i.append(x)
                 found_j.append(y)
             i, j = np.concatenate(found_i), np.concatenate(found_j)
-            if star and len(i):
+            if t["full"][s] is not None:  # links, not candidates: those that join components say all
+                k = _spanning(label[i], label[j])
+                i, j = i[k], j[k]
+            elif star and len(i):
                 sure = (t["sketch"][i] == t["sketch"][j]).sum(1) >= STAR_MATCHES
                 i, j = i[sure], j[sure]
                 k = _forest(i, j)
@@ -273,6 +303,7 @@ def _compare(star: bool):
                 cols = {c: t[c].to_numpy() for c in ("label", "n", "u", "side", "cid", "band")} | {"bi": bi, "bj": bj}
                 cols["sketch"] = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, HASHES)
                 cols["keys"] = np.frombuffer(b"".join(t["keys"].to_pylist()), np.int32).reshape(-1, BANDS)
+                cols["full"] = [x if x is None else np.frombuffer(x, "<u8") for x in t["full"].to_pylist()]
                 pairs = [p for p in groups(cols, new, ends) if len(p[0])]
                 if pairs:
                     a, b = (cols["cid"][np.concatenate([p[k] for p in pairs])] for k in (0, 1))
@@ -296,7 +327,7 @@ def _compare(star: bool):
 def _candidate_pairs(members: DataFrame, info: DataFrame, labels: DataFrame, *, star: bool) -> DataFrame:
     """Surviving pairs (a, b) among members (key, cid, size) of bands."""
     labelled = info.join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    rows = members.join(labelled, "cid").withColumn("u", F.when(F.col("size") > LARGE, F.col("u")).otherwise(F.lit(0).cast("long")))
+    rows = members.join(labelled, "cid").withColumn("u", F.when(F.col("size") > LARGE, F.col("u")).otherwise(F.lit(0).cast("long"))).withColumn("full", F.when(F.col("size") > LARGE, F.col("full")))
     if not star:  # a band within one component has nothing left to test
         open_bands = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
         rows = rows.join(open_bands, "key", "left_semi")
@@ -304,7 +335,7 @@ def _candidate_pairs(members: DataFrame, info: DataFrame, labels: DataFrame, *,
     own = F.pmod(F.xxhash64("cid"), blocks).cast("int")
     spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = spread.select(
-        "key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "label", "n", "u", "band", "keys", "sketch"
+        "key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "label", "n", "u", "band", "keys", "sketch", "full"
     )
     return placed.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_compare(star), "a long, b long").distinct()
 
@@ -319,10 +350,11 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _unshared(docs: DataFrame, reps: DataFrame, members: DataFrame) -> DataFrame:
-    """(cid, u): shingles that no other class of the large bands has."""
+    """Of classes in large bands: (cid, u, full), the number of shingles that no other such class has, and the packed set."""
     wanted = reps.join(members.where(F.col("size") > LARGE).select("cid").distinct(), "cid", "left_semi")
-    held = _sets_of(docs, wanted).select("cid", F.explode("s").alias("x")).groupBy("x").agg(F.min("cid").alias("cid"), F.max("cid").alias("last"))
-    return held.where("cid = last").groupBy("cid").agg(F.count("*").alias("u"))
+    sets = written(_sets_of(docs, wanted).dropDuplicates(["cid"]))
+    held = sets.select("cid", F.explode("s").alias("x")).groupBy("x").agg(F.min("cid").alias("cid"), F.max("cid").alias("last"))
+    return sets.select("cid", "full").join(held.where("cid = last").groupBy("cid").agg(F.count("*").alias("u")), "cid", "left")
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -336,12 +368,18 @@ def described(docs: DataFrame) -> DataFrame:
     members = written(bands.join(counts, "key").select("key", "band", "cid", "size"))
     u = _unshared(docs, reps, members)
     busy = reps.join(members.select("cid").distinct(), "cid", "left_semi")
-    info = written(busy.join(u, "cid", "left").select("cid", "n", F.coalesce("u", F.lit(0)).cast("long").alias("u"), "keys", "sketch"))
+    info = written(busy.join(u, "cid", "left").select("cid", "n", F.coalesce("u", F.lit(0)).cast("long").alias("u"), "keys", "sketch", "full"))
     none = info.sparkSession.createDataFrame([], "v long, label long")
     first = _verified(docs, reps, written(_candidate_pairs(members.where(F.col("band") < STAR_BANDS), info, none, star=True)))
     labels = components(first)
     second = _verified(docs, reps, written(_candidate_pairs(members, info, labels, star=False)))
-    labels = components(first.unionByName(second))
+    # The second round's links join components of the first, so these are the vertices now.
+    of = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"{c}_label"))
+    joined = second.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    over = components(joined.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).where("a <> b").distinct())
+    top = over.select(F.col("v").alias("label"), F.col("label").alias("top"))
+    alone = over.join(labels, "v", "left_anti")
+    labels = labels.join(top, "label", "left").select("v", F.coalesce("top", "label").alias("label")).unionByName(alone)
     owned = classes.join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("component", F.coalesce("label", "cid"))
     least = owned.groupBy("component").agg(F.min("least_doc").alias("component_id"))
     named = owned.join(least, "component").select("digest", "component", "component_id")

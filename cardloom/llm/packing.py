@@ -148,8 +148,8 @@ def _packer(path: str, end_id: int, capacity: int):
         size = 0
         rest: list = []
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.concatenate([enc.ids(text or ""), end])
+            for doc, ids in zip(b.column(0).to_pylist(), enc.batch(b.column(1)), strict=True):
+                ids = np.concatenate([ids, end])
                 kept.append((doc, len(ids), 0, ids))
                 size += len(ids)
                 if size >= BLOCK_TOKENS:

@@ -131,8 +131,8 @@ def _writer(path: str, folder: str, end_id: int, length: int, rows: int):
                 sink, sink2 = fs.open_output_stream(f"{root}/{name}.arrow"), fs.open_output_stream(f"{root}/{name}.docs.arrow")
                 writer, places = SequenceWriter(sink, enc.dtype, length, rows), pa.ipc.new_file(sink2, DOC_SCHEMA)
             starts, sizes = [], []
-            for text in b.column(1).to_pylist():
-                ids = np.concatenate([enc.ids(text or ""), end])
+            for ids in enc.batch(b.column(1)):
+                ids = np.concatenate([ids, end])
                 writer.add(ids)
                 starts.append(start)
                 sizes.append(len(ids))

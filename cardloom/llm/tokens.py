@@ -1,23 +1,36 @@
 """Token ids through the tokenizers library, with a cache of encoded pieces.
 
-A text is cut before each space that stands between two other characters than
-spaces. Both vocabularies always break there, so the pieces' ids, joined, are
-the text's ids, and a piece seen before needs no second run of the merges.
+Texts are cut before each space that stands between two other characters than
+white space. Both vocabularies always break there, so the pieces' ids, joined,
+are the text's ids, and a piece seen before needs no second run of the merges.
+Pieces are told apart and put together again by whole Arrow and numpy columns;
+Python sees each distinct piece of a chunk once. New pieces are encoded many at
+a time as one text, whose ids are then split where a piece must begin.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces kept per worker; the cache is emptied when full.
 CACHE_PIECES = 400_000
 LONGEST_PIECE = 64
+#: Bytes of text worked on at once (one text at least), and pieces encoded as one text.
+CHUNK_BYTES = 4 << 20
+JOINED = 256
+#: Stands alone between joined pieces where white space is dropped; pieces that hold it are encoded apart.
+SEPARATOR = "\x01"
+# White space, as a class of the pattern language.
+WHITE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
 class Encoder:
-    """``ids(text)`` gives ids as a numpy array of ``dtype``.
+    """``batch(texts)`` gives each text's ids as a numpy array of ``dtype``.
 
     ``lead`` tells that a piece keeps the space before it (byte-level
     vocabularies); otherwise white space is dropped by the vocabulary.
@@ -30,42 +43,99 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.lead = lead
-        self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        size = self.tok.get_vocab_size()
+        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.cache: dict[str, bytes] = {}
+        self.begins = np.zeros(size, bool)  # ids that begin with a space (lead), or stand for the separator
+        if lead:
+            for token, i in self.tok.get_vocab().items():
+                self.begins[i] = token.startswith("Ġ")
+        else:
+            mark = self._encode([SEPARATOR])[0]
+            self.mark = mark[0] if len(mark) == 1 else None
+            if self.mark is not None:
+                self.begins[self.mark] = True
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, self.dtype)
-        pieces = text.split(" ")
-        if self.lead and ("" in pieces or any(p[0].isspace() or p[-1].isspace() for p in pieces)):
-            return np.frombuffer(self._encode([text])[0], self.dtype)
-        cache = self.cache
-        first = pieces[0]
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece from one run over all; apart where the splits don't come out even."""
+        width = self.dtype.itemsize
         if self.lead:
-            pieces[0] = "\0" + first  # no other piece starts so, unless it's encoded apart below
-        try:
-            return np.frombuffer(b"".join([cache[p] for p in pieces]), self.dtype)
-        except KeyError:
-            pass
-        missing = [p for p in dict.fromkeys(pieces) if p not in cache]
-        if len(cache) + len(missing) > CACHE_PIECES:
-            cache.clear()
-            missing = list(dict.fromkeys(pieces))
+            ids = self._encode(["".join(pieces)])[0]
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) == len(pieces) and at[0] == 0:
+                raw, cuts = ids.tobytes(), [*(at * width).tolist(), len(ids) * width]
+                return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        elif self.mark is not None and not any(SEPARATOR in p for p in pieces):
+            ids = self._encode([f" {SEPARATOR} ".join(pieces)])[0]
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) == len(pieces) - 1:
+                raw, cuts = ids.tobytes(), [-width, *(at * width).tolist(), len(ids) * width]
+                return [raw[a + width : b] for a, b in zip(cuts, cuts[1:])]
+        return [i.tobytes() for i in self._encode(pieces)]
+
+    def _table(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, from the cache or encoded now."""
+        found = [self.cache.get(p) for p in pieces]
+        missing = [k for k, v in enumerate(found) if v is None]
+        if len(self.cache) + len(missing) > CACHE_PIECES:
+            self.cache.clear()
+        for k in range(0, len(missing), JOINED):
+            some = missing[k : k + JOINED]
+            for j, found[j] in zip(some, self._joined([" " + pieces[j] if self.lead else pieces[j] for j in some]), strict=True):
+                if len(pieces[j]) <= LONGEST_PIECE and len(self.cache) < CACHE_PIECES:
+                    self.cache[pieces[j]] = found[j]
+        return found
+
+    def _cut(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of texts in which every space may be cut at."""
+        split = pc.split_pattern(texts, " ")
+        bounds = np.asarray(split.offsets)
+        pieces = split.values
+        first = np.zeros(len(pieces), bool)
         if self.lead:
-            whole = [first if k == 0 and p is pieces[0] else " " + p for k, p in enumerate(missing)]
-            if pieces[0] != missing[0]:
-                whole = [" " + p for p in missing]
-            if any(p.startswith("\0") for p in pieces[1:]):
-                return np.frombuffer(self._encode([text])[0], self.dtype)
-        else:
-            whole = missing
-        new = dict(zip(missing, self._encode(whole), strict=True))
-        cache.update((p, v) for p, v in new.items() if len(p) <= LONGEST_PIECE)
-        look = cache if not any(len(p) > LONGEST_PIECE for p in missing) else {**{p: cache[p] for p in pieces if p in cache}, **new}
-        return np.frombuffer(b"".join([look[p] for p in pieces]), self.dtype)
+            first[bounds[:-1]] = True  # a text's first piece has no space before it
+        rest = pieces.filter(pa.array(~first)).dictionary_encode()
+        heads = pieces.filter(pa.array(first)).dictionary_encode()
+        table = self._table(rest.dictionary.to_pylist()) + [i.tobytes() for i in self._encode(heads.dictionary.to_pylist())]
+        codes = np.empty(len(pieces), np.int64)
+        codes[~first] = np.asarray(rest.indices)
+        codes[first] = np.asarray(heads.indices) + len(rest.dictionary)
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // self.dtype.itemsize
+        every = np.frombuffer(b"".join(table), self.dtype)
+        starts = np.cumsum(sizes) - sizes
+        lengths = sizes[codes]
+        ends = np.r_[0, np.cumsum(lengths)]
+        flat = every[np.repeat(starts[codes] - ends[:-1], lengths) + np.arange(ends[-1])]
+        places = ends[bounds].tolist()
+        for a, b in zip(places, places[1:]):
+            yield flat[a:b]
+
+    def _chunk(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        if not self.lead:
+            yield from self._cut(texts)
+            return
+        # a space beside white space, at either end of a text too, is no place to cut at
+        whole = np.asarray(pc.match_substring_regex(texts, f"^ | $| [{WHITE}]|[{WHITE}] "))
+        cut, apart = self._cut(texts.filter(pa.array(~whole))), iter(self._encode(texts.filter(pa.array(whole)).to_pylist()))
+        for w in whole.tolist():
+            yield next(apart if w else cut)
+
+    def batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text in order; null is empty."""
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
+        begin = 0
+        while begin < len(texts):
+            before = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, "right")))
+            yield from self._chunk(texts.slice(begin, end - begin))
+            begin = end
+
+    def ids(self, text: str) -> np.ndarray:
+        return next(self.batch(pa.array([text], pa.string())))
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -41,6 +42,23 @@ def test_encoder(docs, name, lead):
         assert enc.ids(r.text or "").tolist() == plain.encode(r.text or "", add_special_tokens=False).ids
 
 
+# White space beside white space, the separator, marks after a space, specials' strings.
+ODD = ["", None, " ", "a", " a", "a ", "a  b", "a\nb c", "a \nb", "a\n b c", "x\x01 y \x01 z", "\u3000 x", "it's 's 'll", "e \u0301 x Σ", "a\xa0b \xa0d", "<|endoftext|> x <|startoftext|>", "中文 字 。", "a\x85b \x1c c", "x" * 100 + " y"]
+
+
+@pytest.mark.parametrize("chunk", [1, 40, 1 << 20])
+@pytest.mark.parametrize("name,lead", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_odd_texts(monkeypatch, name, lead, chunk):
+    monkeypatch.setattr(tokens, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 20)
+    path = public_tokenizers.path(name)
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    enc = tokens.Encoder(path, lead=lead)
+    got = [i.tolist() for i in enc.batch(pa.array(ODD * 2))]
+    assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in ODD * 2]
+
+
 def test_packing(docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = packing.pack(docs, path).collect()

@@ -53,15 +53,20 @@ def sentence_table(tok) -> np.ndarray:
 
 def nodes_of(ends: np.ndarray, doc_ends: np.ndarray, total: int, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted places and their penalties; neighbours lie at most ``stride`` apart."""
-    soft = np.unique(np.r_[ends, doc_ends, total])
+    at_end = np.zeros(total + 1, bool)
+    at_end[ends] = at_end[doc_ends] = at_end[total] = True
+    soft = np.flatnonzero(at_end)
+    soft = soft[soft > 0]
     gaps = np.diff(np.r_[0, soft])
-    wide = np.flatnonzero(gaps > stride)
-    fill = [np.arange(soft[k] - gaps[k] + stride, soft[k], stride) for k in wide]
-    hard = np.concatenate(fill) if fill else np.empty(0, np.int64)
-    pos = np.r_[soft, hard]
-    cost = np.r_[np.where(np.isin(soft, doc_ends), 0.0, SENTENCE_PENALTY), np.full(len(hard), TOKEN_PENALTY)]
-    order = np.argsort(pos, kind="stable")
-    return pos[order], cost[order]
+    fill = (gaps - 1) // stride  # places between a soft one and the one before
+    last = np.cumsum(fill + 1) - 1  # where the soft ones stand among all
+    pos = np.repeat(soft - gaps, fill + 1) + stride * (np.arange(last[-1] + 1) - np.repeat(last - fill, fill + 1) + 1)
+    pos[last] = soft
+    at_doc = np.zeros(total + 1, bool)
+    at_doc[doc_ends] = True
+    cost = np.full(len(pos), TOKEN_PENALTY)
+    cost[last] = np.where(at_doc[soft], 0.0, SENTENCE_PENALTY)
+    return pos, cost
 
 
 def best_cuts(pos: np.ndarray, cost: np.ndarray, capacity: int = CAPACITY) -> list[int]:

@@ -2,10 +2,12 @@
 
 Texts are cut before each space that stands between two other characters than
 white space. Both vocabularies always break there, so the pieces' ids, joined,
-are the text's ids, and a piece seen before needs no second run of the merges.
-Pieces are told apart and put together again by whole Arrow and numpy columns;
-Python sees each distinct piece of a chunk once. New pieces are encoded many at
-a time as one text, whose ids are then split where a piece must begin.
+are the text's ids, and a part seen before needs no second run of the merges.
+Distinct pieces are cut once more, into parts, between a letter and punctuation,
+where both vocabularies break too. All this, and putting ids together again, is
+done by whole Arrow and numpy columns; Python sees each distinct part of a chunk
+once. New parts are encoded many at a time as one text, whose ids are then split
+where a part must begin or end.
 """
 
 from __future__ import annotations
@@ -17,16 +19,27 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces kept per worker; the cache is emptied when full.
-CACHE_PIECES = 400_000
-LONGEST_PIECE = 64
-#: Bytes of text worked on at once (one text at least), and pieces encoded as one text.
-CHUNK_BYTES = 4 << 20
+#: Parts kept per worker; the cache is emptied when full.
+CACHE_PARTS = 400_000
+LONGEST_PART = 64
+#: Bytes of text worked on at once (one text at least), and parts encoded as one text.
+CHUNK_BYTES = 8 << 20
 JOINED = 256
-#: Stands alone between joined pieces where white space is dropped; pieces that hold it are encoded apart.
+#: Stands alone between joined parts where white space is dropped; parts that hold it are encoded apart.
 SEPARATOR = "\x01"
+#: Marks where a piece is cut, if spaces count; texts that hold it are encoded apart.
+MARK = "\x02"
 # White space, as a class of the pattern language.
 WHITE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# Letters that stay one letter when composed and lower-cased (so none but U+0130 missing), and ASCII punctuation.
+LETTERS = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}"
+SYMBOLS = r"!-/:-@\[-`{-~"
+
+
+def spread(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs ``values[start : start + size]``, one after another."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Encoder:
@@ -46,49 +59,76 @@ class Encoder:
         size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.cache: dict[str, bytes] = {}
-        self.begins = np.zeros(size, bool)  # ids that begin with a space (lead), or stand for the separator
-        if lead:
-            for token, i in self.tok.get_vocab().items():
-                self.begins[i] = token.startswith("Ġ")
-        else:
-            mark = self._encode([SEPARATOR])[0]
-            self.mark = mark[0] if len(mark) == 1 else None
-            if self.mark is not None:
-                self.begins[self.mark] = True
+        self.begins, self.ends = np.zeros(size, bool), np.zeros(size, bool)  # ids that begin with a space, that end a word
+        for token, i in self.tok.get_vocab().items():
+            self.begins[i], self.ends[i] = token.startswith("Ġ"), token.endswith("</w>")
+        mark = self._encode([SEPARATOR])[0]
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece from one run over all; apart where the splits don't come out even."""
-        width = self.dtype.itemsize
-        if self.lead:
-            ids = self._encode(["".join(pieces)])[0]
-            at = np.flatnonzero(self.begins[ids])
-            if len(at) == len(pieces) and at[0] == 0:
-                raw, cuts = ids.tobytes(), [*(at * width).tolist(), len(ids) * width]
-                return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
-        elif self.mark is not None and not any(SEPARATOR in p for p in pieces):
-            ids = self._encode([f" {SEPARATOR} ".join(pieces)])[0]
+    def _joined(self, parts: list[str], kind: str) -> list[bytes]:
+        """Ids of each part from one run over all; apart where the splits don't come out even."""
+        n, width, gap = len(parts), self.dtype.itemsize, 0
+        cuts = None
+        if kind == "led":  # each with the only space at its head
+            ids = self._encode(["".join(parts)])[0]
             at = np.flatnonzero(self.begins[ids])
-            if len(at) == len(pieces) - 1:
-                raw, cuts = ids.tobytes(), [-width, *(at * width).tolist(), len(ids) * width]
-                return [raw[a + width : b] for a, b in zip(cuts, cuts[1:])]
-        return [i.tobytes() for i in self._encode(pieces)]
-
-    def _table(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces, from the cache or encoded now."""
-        found = [self.cache.get(p) for p in pieces]
-        missing = [k for k, v in enumerate(found) if v is None]
-        if len(self.cache) + len(missing) > CACHE_PIECES:
+            if len(at) == n and at[0] == 0:
+                cuts = np.r_[at, len(ids)]
+        elif kind == "letters":  # one word each
+            ids = self._encode([" ".join(parts)])[0]
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) == n and at[-1] == len(ids):
+                cuts = np.r_[0, at]
+        elif kind == "loose" and self.mark is not None and not any(SEPARATOR in p for p in parts):
+            ids = self._encode([f" {SEPARATOR} ".join(parts)])[0]
+            at = np.flatnonzero(ids == self.mark)
+            if len(at) == n - 1:
+                cuts, gap = np.r_[-1, at, len(ids)], width
+        if cuts is None:
+            return [i.tobytes() for i in self._encode(parts)]
+        raw, cuts = ids.tobytes(), (cuts * width).tolist()
+        return [raw[a + gap : b] for a, b in zip(cuts, cuts[1:])]
+
+    def _table(self, parts: pa.Array) -> list[bytes]:
+        """Ids of distinct parts, from the cache or encoded now."""
+        names = parts.to_pylist()
+        found = list(map(self.cache.get, names))
+        new = np.array([v is None for v in found], bool)
+        if len(self.cache) + new.sum() > CACHE_PARTS:
             self.cache.clear()
-        for k in range(0, len(missing), JOINED):
-            some = missing[k : k + JOINED]
-            for j, found[j] in zip(some, self._joined([" " + pieces[j] if self.lead else pieces[j] for j in some]), strict=True):
-                if len(pieces[j]) <= LONGEST_PIECE and len(self.cache) < CACHE_PIECES:
-                    self.cache[pieces[j]] = found[j]
+        if self.lead:
+            simple = np.asarray(pc.starts_with(parts, " "))
+            kinds = (("led", new & simple), ("apart", new & ~simple))
+        else:
+            simple = np.asarray(pc.match_substring_regex(parts, f"^[{LETTERS}]+$"))
+            kinds = (("letters", new & simple), ("loose", new & ~simple))
+        for kind, which in kinds:
+            rows = np.flatnonzero(which).tolist()
+            for k in range(0, len(rows), JOINED):
+                some = rows[k : k + JOINED]
+                for j, found[j] in zip(some, self._joined([names[i] for i in some], kind), strict=True):
+                    if len(names[j]) <= LONGEST_PART and len(self.cache) < CACHE_PARTS:
+                        self.cache[names[j]] = found[j]
         return found
 
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct pieces, and how many each has."""
+        if self.lead:
+            pieces = pc.binary_join_element_wise(pa.scalar(" ", pieces.type), pieces, pa.scalar("", pieces.type))
+            split = pc.split_pattern(pc.replace_substring_regex(pieces, f"([{LETTERS}])([{SYMBOLS}]+)$", rf"\1{MARK}\2"), MARK)
+        else:
+            apart = pc.replace_substring_regex(pieces, f"([{LETTERS}])([{SYMBOLS}])", r"\1 \2")
+            split = pc.split_pattern(pc.replace_substring(apart, "\n", " "), " ")
+        parts = split.values.dictionary_encode()
+        table = self._table(parts.dictionary)
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // self.dtype.itemsize
+        codes = np.asarray(parts.indices)
+        ids = spread(np.frombuffer(b"".join(table), self.dtype), (np.cumsum(sizes) - sizes)[codes], sizes[codes])
+        return ids, np.diff(np.r_[0, np.cumsum(sizes[codes])][np.asarray(split.offsets)])
+
     def _cut(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of texts in which every space may be cut at."""
         split = pc.split_pattern(texts, " ")
@@ -99,17 +139,14 @@ class Encoder:
             first[bounds[:-1]] = True  # a text's first piece has no space before it
         rest = pieces.filter(pa.array(~first)).dictionary_encode()
         heads = pieces.filter(pa.array(first)).dictionary_encode()
-        table = self._table(rest.dictionary.to_pylist()) + [i.tobytes() for i in self._encode(heads.dictionary.to_pylist())]
+        every, sizes = self._pieces(rest.dictionary)
+        apart = self._encode(heads.dictionary.to_pylist())
+        every, sizes = np.concatenate([every, *apart]), np.r_[sizes, np.array([len(a) for a in apart], np.int64)]
         codes = np.empty(len(pieces), np.int64)
         codes[~first] = np.asarray(rest.indices)
         codes[first] = np.asarray(heads.indices) + len(rest.dictionary)
-        sizes = np.fromiter(map(len, table), np.int64, len(table)) // self.dtype.itemsize
-        every = np.frombuffer(b"".join(table), self.dtype)
-        starts = np.cumsum(sizes) - sizes
-        lengths = sizes[codes]
-        ends = np.r_[0, np.cumsum(lengths)]
-        flat = every[np.repeat(starts[codes] - ends[:-1], lengths) + np.arange(ends[-1])]
-        places = ends[bounds].tolist()
+        flat = spread(every, (np.cumsum(sizes) - sizes)[codes], sizes[codes])
+        places = np.r_[0, np.cumsum(sizes[codes])][bounds].tolist()
         for a, b in zip(places, places[1:]):
             yield flat[a:b]
 
@@ -118,7 +155,7 @@ class Encoder:
             yield from self._cut(texts)
             return
         # a space beside white space, at either end of a text too, is no place to cut at
-        whole = np.asarray(pc.match_substring_regex(texts, f"^ | $| [{WHITE}]|[{WHITE}] "))
+        whole = np.asarray(pc.match_substring_regex(texts, f"^ | $| [{WHITE}]|[{WHITE}] |{MARK}"))
         cut, apart = self._cut(texts.filter(pa.array(~whole))), iter(self._encode(texts.filter(pa.array(whole)).to_pylist()))
         for w in whole.tolist():
             yield next(apart if w else cut)

@@ -43,14 +43,14 @@ def test_encoder(docs, name, lead):
 
 
 # White space beside white space, the separator, marks after a space, specials' strings.
-ODD = ["", None, " ", "a", " a", "a ", "a  b", "a\nb c", "a \nb", "a\n b c", "x\x01 y \x01 z", "\u3000 x", "it's 's 'll", "e \u0301 x Σ", "a\xa0b \xa0d", "<|endoftext|> x <|startoftext|>", "中文 字 。", "a\x85b \x1c c", "x" * 100 + " y"]
+ODD = ["", None, " ", "a", " a", "a ", "a  b", "a\nb c", "a \nb", "a\n b c", "x\x01 y \x01 z", "\u3000 x", "it's 's 'll", "e \u0301 x Σ", "a\xa0b \xa0d", "<|endoftext|> x <|startoftext|>", "中文 字 。", "a\x85b \x1c c", "x" * 100 + " y", "a İ&&& b.c! x\x02y z\x02&", "don't... l'été##\nÜber.\n\nab", "e&\u0301 a<\u0338 ß%%% 1$2"]
 
 
 @pytest.mark.parametrize("chunk", [1, 40, 1 << 20])
 @pytest.mark.parametrize("name,lead", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_encoder_odd_texts(monkeypatch, name, lead, chunk):
     monkeypatch.setattr(tokens, "CHUNK_BYTES", chunk)
-    monkeypatch.setattr(tokens, "CACHE_PIECES", 20)
+    monkeypatch.setattr(tokens, "CACHE_PARTS", 20)
     path = public_tokenizers.path(name)
     plain = Tokenizer.from_file(path)
     plain.encode_special_tokens = True

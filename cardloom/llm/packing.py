@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import with_offsets, written
-from .tokens import encoder
+from .tokens import encoder, trim
 
 CAPACITY = 2048
 SENTENCE_PENALTY = 2.0
@@ -165,6 +165,8 @@ def _packer(path: str, end_id: int, capacity: int):
         rest = []
         if rows := pack(kept, True):
             yield batch(rows)
+        kept, rest = [], []
+        trim()
 
     return run
 

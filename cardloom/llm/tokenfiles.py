@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import scratch_dir, with_offsets, written
-from .tokens import encoder
+from .tokens import encoder, trim
 
 LENGTH = 2048
 BATCH_SEQUENCES = 256
@@ -144,6 +144,7 @@ def _writer(path: str, folder: str, end_id: int, length: int, rows: int):
             sink.close()
             sink2.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "name": [name], "n": pa.array([start], pa.int64())})
+        trim()
 
     return run
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import written
+from .base import trimmed, written
 
 WINDOW = 10
 SHARD_BYTES = 32 << 20
@@ -194,9 +194,9 @@ def matches(
     for k, shard in enumerate(shards):
         if k and k % SHARDS_A_STAGE == 0:
             state = written(state)
-        state = state.mapInArrow(_search(sc.broadcast(shard), text_col), state.schema)
+        state = state.mapInArrow(trimmed(_search(sc.broadcast(shard), text_col)), state.schema)
     figures = T.StructType([*docs.schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__n_hit", T.LongType()), T.StructField("__n_items", T.LongType()), T.StructField("__items_sha256", T.StringType())])
-    return state.mapInArrow(_figures(text_col), figures)
+    return state.mapInArrow(trimmed(_figures(text_col)), figures)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

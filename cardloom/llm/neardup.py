@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import written
+from .base import trimmed, written
 from .graph import components
 
 SHINGLE = 3
@@ -180,7 +180,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Full sets, made anew from the texts, of the classes in ``wanted`` (cid, doc_id, th)."""
     d = _keyed(docs)
     joined = d.join(wanted.select("cid", F.col("doc_id").alias("wid"), F.col("th").alias("wth")), F.col("doc_id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")))
-    return joined.select("cid", "text").mapInArrow(_sets, "cid long, s array<long>, full binary")
+    return joined.select("cid", "text").mapInArrow(trimmed(_sets), "cid long, s array<long>, full binary")
 
 
 # --- steps 2 and 3: blocks of a band ------------------------------------------
@@ -337,7 +337,7 @@ def _candidate_pairs(members: DataFrame, info: DataFrame, labels: DataFrame, *,
     placed = spread.select(
         "key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "label", "n", "u", "band", "keys", "sketch", "full"
     )
-    return placed.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_compare(star), "a long, b long").distinct()
+    return placed.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(trimmed(_compare(star)), "a long, b long").distinct()
 
 
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -359,7 +359,7 @@ def _unshared(docs: DataFrame, reps: DataFrame, members: DataFrame) -> DataFrame
 
 def described(docs: DataFrame) -> DataFrame:
     """Per document, in a written table: row, doc_id, th (hash of the text), n, digest, component (a class or null), component_id."""
-    rows = written(_keyed(docs).mapInArrow(_describe, "doc_id long, th long, n long, digest binary, sketch binary, bands array<long>, keys binary").withColumn("row", F.monotonically_increasing_id()))
+    rows = written(_keyed(docs).mapInArrow(trimmed(_describe), "doc_id long, th long, n long, digest binary, sketch binary, bands array<long>, keys binary").withColumn("row", F.monotonically_increasing_id()))
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("cid"), F.min("doc_id").alias("least_doc"))
     classes = written(classes)
     reps = written(rows.join(classes.select(F.col("cid").alias("row")), "row", "left_semi").withColumnRenamed("row", "cid").drop("digest"))

@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import with_offsets, written
-from .tokens import encoder, trim
+from .base import trimmed, with_offsets, written
+from .tokens import encoder
 
 CAPACITY = 2048
 SENTENCE_PENALTY = 2.0
@@ -165,8 +165,6 @@ def _packer(path: str, end_id: int, capacity: int):
         rest = []
         if rows := pack(kept, True):
             yield batch(rows)
-        kept, rest = [], []
-        trim()
 
     return run
 
@@ -174,7 +172,7 @@ def _packer(path: str, end_id: int, capacity: int):
 def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """A row per piece. Local sequence numbers become global by one small prefix sum over tasks."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, local_sequence long, offset long"
-    pieces = written(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_packer(tokenizer_path, end_id, capacity), schema))
+    pieces = written(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(trimmed(_packer(tokenizer_path, end_id, capacity)), schema))
     parts = pieces.groupBy("part").agg((F.max("local_sequence") + 1).alias("n"))
     return pieces.join(with_offsets(parts, "part", "n", "first"), "part").select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("local_sequence")).alias("sequence_id"), "offset"

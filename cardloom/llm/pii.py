@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .base import trimmed
 from .boost import BoostedTrees
 
 TRAIN_ROWS = 4000
@@ -239,7 +240,7 @@ def report(docs: DataFrame) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", docs["text"].cast("string")).mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", docs["text"].cast("string")).mapInArrow(trimmed(run), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -254,4 +255,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             arrays[place] = pa.array(texts, b.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(arrays, names=b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

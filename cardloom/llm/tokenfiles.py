@@ -28,8 +28,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import scratch_dir, with_offsets, written
-from .tokens import encoder, trim
+from .base import scratch_dir, trimmed, with_offsets, written
+from .tokens import encoder
 
 LENGTH = 2048
 BATCH_SEQUENCES = 256
@@ -144,7 +144,6 @@ def _writer(path: str, folder: str, end_id: int, length: int, rows: int):
             sink.close()
             sink2.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "name": [name], "n": pa.array([start], pa.int64())})
-        trim()
 
     return run
 
@@ -152,7 +151,7 @@ def _writer(path: str, folder: str, end_id: int, length: int, rows: int):
 def write(docs: DataFrame, folder: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, length: int = LENGTH, rows: int = BATCH_SEQUENCES) -> DataFrame:
     """Writes the files into ``folder`` (any file system pyarrow opens) and returns the manifest: part, name, n."""
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(_writer(tokenizer_path, folder, end_id, length, rows), "part long, name string, n long"))
+    return written(ordered.mapInArrow(trimmed(_writer(tokenizer_path, folder, end_id, length, rows)), "part long, name string, n long"))
 
 
 def _reader(folder: str):
@@ -175,7 +174,7 @@ def _reader(folder: str):
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """Per document, from the files: id, global start, number of ids, their crc32."""
     files = manifest.join(with_offsets(manifest, "part", "n", "first"), "part").select("name", "first")
-    return files.repartition("name").mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition("name").mapInArrow(trimmed(_reader(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def report(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:

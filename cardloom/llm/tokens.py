@@ -12,7 +12,6 @@ where a part must begin or end.
 
 from __future__ import annotations
 
-import ctypes
 import os
 from collections.abc import Iterator
 
@@ -43,15 +42,6 @@ def spread(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def trim() -> None:
-    """Gives freed memory back: an idle worker lives on beside the executor's heap, and allocators keep what they had."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # no such call outside glibc
-        pass
-
-
 class Encoder:
     """``batch(texts)`` gives each text's ids as a numpy array of ``dtype``.
 

@@ -20,6 +20,10 @@
 Links are exact in one direction: a reported link always holds. A pair at 0.85
 itself shares no band with probability (1 - 0.85**5)**25 = 4e-7.
 
+Shingle size, threshold and the bands fitted to them are a ``Measure``: ``OP3``,
+as above, or ``FIVE_WORDS``, 5-word shingles and 0.8 in 30 bands of 4, where a
+pair at 0.8 shares none with probability (1 - 0.8**4)**30 = 1e-7.
+
 Defined cases: null and wordless texts have no shingles and are linked with
 nothing; rows that repeat an id each yield a row; a null id counts as larger
 than any other; an empty table yields no rows; other columns are ignored by
@@ -30,6 +34,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +62,26 @@ STAR_MATCHES = 108
 #: Groups of so few members report their surviving pairs without a star.
 SMALL = 8
 
+
+class Measure(NamedTuple):
+    """When two texts are near copies, and the bands that find them."""
+
+    shingle: int
+    num: int
+    den: int
+    bands: int
+    rows: int
+    step: int
+    star_matches: int
+
+    @property
+    def hashes(self) -> int:
+        return self.bands * self.rows
+
+
+OP3 = Measure(SHINGLE, NUM, DEN, BANDS, ROWS, STEP, STAR_MATCHES)
+FIVE_WORDS = Measure(5, 80, 100, 30, 4, 24, 98)
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _WORDS: dict[bytes, int] = {}
@@ -116,10 +142,10 @@ def signature(s: np.ndarray, hashes: int = HASHES) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
+def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     with np.errstate(over="ignore"):
-        key = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
-        for col in sig.reshape(BANDS, ROWS).T:
+        key = np.arange(bands, dtype=np.uint64) + np.uint64(1)
+        for col in sig.reshape(bands, -1).T:
             key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + col.astype(np.uint64))
     return key.view(np.int64)
 
@@ -145,19 +171,19 @@ def least_matches(threshold: float = NUM / DEN, miss: float = MISS, hashes: int
 # --- step 1: sets, classes, signatures ---------------------------------------
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _describe(batches: Iterator[pa.RecordBatch], by: Measure = OP3) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n, digest, sketch, bands, keys = [], [], [], [], []
         for text in b.column(2).to_pylist():
-            s = shingle_set(text)
+            s = shingle_set(text, by.shingle)
             n.append(len(s))
             if not len(s):
                 digest.append(None), sketch.append(None), bands.append(None), keys.append(None)
                 continue
             digest.append(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest())
-            sig = signature(s)
+            sig = signature(s, by.hashes)
             sketch.append((sig & np.uint32(255)).astype(np.uint8).tobytes())
-            bands.append(band_keys(sig))
+            bands.append(band_keys(sig, by.bands))
             keys.append((bands[-1] >> 32).astype(np.int32).tobytes())
         yield pa.RecordBatch.from_arrays(
             [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(keys, pa.binary())],
@@ -170,17 +196,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], by: Measure = OP3) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+        sets = [shingle_set(t, by.shingle) for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["cid", "s", "full"])
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, wanted: DataFrame, by: Measure = OP3) -> DataFrame:
     """Full sets, made anew from the texts, of the classes in ``wanted`` (cid, doc_id, th)."""
     d = _keyed(docs)
     joined = d.join(wanted.select("cid", F.col("doc_id").alias("wid"), F.col("th").alias("wth")), F.col("doc_id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")))
-    return joined.select("cid", "text").mapInArrow(trimmed(_sets), "cid long, s array<long>, full binary")
+    return joined.select("cid", "text").mapInArrow(trimmed(partial(_sets, by=by)), "cid long, s array<long>, full binary")
 
 
 # --- steps 2 and 3: blocks of a band ------------------------------------------
@@ -217,8 +243,9 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return keep
 
 
-def _compare(star: bool):
-    steps = least_matches()
+def _compare(star: bool, by: Measure = OP3):
+    steps = least_matches(by.num / by.den, hashes=by.hashes, step=by.step)
+    num, den = by.num, by.den
 
     def survivors(sk: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         alive = np.arange(len(i))
@@ -246,7 +273,7 @@ def _compare(star: bool):
             ok = (label[i] != label[j]) & (~cross[i] | (side[i] != side[j]))
             i, j = i[ok], j[ok]
             most = np.minimum(n[i] - u[i], n[j] - u[j])
-            ok = (NUM + DEN) * most >= NUM * (n[i] + n[j])
+            ok = (num + den) * most >= num * (n[i] + n[j])
             i, j = i[ok], j[ok]
             k = survivors(t["sketch"], i, j)
             i, j = i[k], j[k]
@@ -255,7 +282,7 @@ def _compare(star: bool):
             i, j = i[first], j[first]
             # Members of large bands carry their full sets and are verified here.
             full = t["full"]
-            ok = [full[a] is None or full[b] is None or (NUM + DEN) * shared(full[a], full[b]) >= NUM * (n[a] + n[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+            ok = [full[a] is None or full[b] is None or (num + den) * shared(full[a], full[b]) >= num * (n[a] + n[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
             ok = np.array(ok, bool)
             return i[ok], j[ok]
 
@@ -282,7 +309,7 @@ def _compare(star: bool):
                 k = _spanning(label[i], label[j])
                 i, j = i[k], j[k]
             elif star and len(i):
-                sure = (t["sketch"][i] == t["sketch"][j]).sum(1) >= STAR_MATCHES
+                sure = (t["sketch"][i] == t["sketch"][j]).sum(1) >= by.star_matches
                 i, j = i[sure], j[sure]
                 k = _forest(i, j)
                 i, j = i[k], j[k]
@@ -301,8 +328,8 @@ def _compare(star: bool):
             out = []
             if len(new):
                 cols = {c: t[c].to_numpy() for c in ("label", "n", "u", "side", "cid", "band")} | {"bi": bi, "bj": bj}
-                cols["sketch"] = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, HASHES)
-                cols["keys"] = np.frombuffer(b"".join(t["keys"].to_pylist()), np.int32).reshape(-1, BANDS)
+                cols["sketch"] = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, by.hashes)
+                cols["keys"] = np.frombuffer(b"".join(t["keys"].to_pylist()), np.int32).reshape(-1, by.bands)
                 cols["full"] = [x if x is None else np.frombuffer(x, "<u8") for x in t["full"].to_pylist()]
                 pairs = [p for p in groups(cols, new, ends) if len(p[0])]
                 if pairs:
@@ -324,7 +351,7 @@ def _compare(star: bool):
     return run
 
 
-def _candidate_pairs(members: DataFrame, info: DataFrame, labels: DataFrame, *, star: bool) -> DataFrame:
+def _candidate_pairs(members: DataFrame, info: DataFrame, labels: DataFrame, *, star: bool, by: Measure = OP3) -> DataFrame:
     """Surviving pairs (a, b) among members (key, cid, size) of bands."""
     labelled = info.join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     rows = members.join(labelled, "cid").withColumn("u", F.when(F.col("size") > LARGE, F.col("u")).otherwise(F.lit(0).cast("long"))).withColumn("full", F.when(F.col("size") > LARGE, F.col("full")))
@@ -337,42 +364,42 @@ def _candidate_pairs(members: DataFrame, info: DataFrame, labels: DataFrame, *,
     placed = spread.select(
         "key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "label", "n", "u", "band", "keys", "sketch", "full"
     )
-    return placed.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(trimmed(_compare(star)), "a long, b long").distinct()
+    return placed.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(trimmed(_compare(star, by)), "a long, b long").distinct()
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, by: Measure = OP3) -> DataFrame:
     """The pairs that hold on full sets."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    sets = written(_sets_of(docs, reps.join(ends, "cid", "left_semi")))
+    sets = written(_sets_of(docs, reps.join(ends, "cid", "left_semi"), by))
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return written(both.where((NUM + DEN) * common >= NUM * (F.size("sa") + F.size("sb"))).select("a", "b").distinct())
+    return written(both.where((by.num + by.den) * common >= by.num * (F.size("sa") + F.size("sb"))).select("a", "b").distinct())
 
 
-def _unshared(docs: DataFrame, reps: DataFrame, members: DataFrame) -> DataFrame:
+def _unshared(docs: DataFrame, reps: DataFrame, members: DataFrame, by: Measure = OP3) -> DataFrame:
     """Of classes in large bands: (cid, u, full), the number of shingles that no other such class has, and the packed set."""
     wanted = reps.join(members.where(F.col("size") > LARGE).select("cid").distinct(), "cid", "left_semi")
-    sets = written(_sets_of(docs, wanted).dropDuplicates(["cid"]))
+    sets = written(_sets_of(docs, wanted, by).dropDuplicates(["cid"]))
     held = sets.select("cid", F.explode("s").alias("x")).groupBy("x").agg(F.min("cid").alias("cid"), F.max("cid").alias("last"))
     return sets.select("cid", "full").join(held.where("cid = last").groupBy("cid").agg(F.count("*").alias("u")), "cid", "left")
 
 
-def described(docs: DataFrame) -> DataFrame:
+def described(docs: DataFrame, by: Measure = OP3) -> DataFrame:
     """Per document, in a written table: row, doc_id, th (hash of the text), n, digest, component (a class or null), component_id."""
-    rows = written(_keyed(docs).mapInArrow(trimmed(_describe), "doc_id long, th long, n long, digest binary, sketch binary, bands array<long>, keys binary").withColumn("row", F.monotonically_increasing_id()))
+    rows = written(_keyed(docs).mapInArrow(trimmed(partial(_describe, by=by)), "doc_id long, th long, n long, digest binary, sketch binary, bands array<long>, keys binary").withColumn("row", F.monotonically_increasing_id()))
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("cid"), F.min("doc_id").alias("least_doc"))
     classes = written(classes)
     reps = written(rows.join(classes.select(F.col("cid").alias("row")), "row", "left_semi").withColumnRenamed("row", "cid").drop("digest"))
     bands = reps.select("cid", F.posexplode("bands").alias("band", "key"))
     counts = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = written(bands.join(counts, "key").select("key", "band", "cid", "size"))
-    u = _unshared(docs, reps, members)
+    u = _unshared(docs, reps, members, by)
     busy = reps.join(members.select("cid").distinct(), "cid", "left_semi")
     info = written(busy.join(u, "cid", "left").select("cid", "n", F.coalesce("u", F.lit(0)).cast("long").alias("u"), "keys", "sketch", "full"))
     none = info.sparkSession.createDataFrame([], "v long, label long")
-    first = _verified(docs, reps, written(_candidate_pairs(members.where(F.col("band") < STAR_BANDS), info, none, star=True)))
+    first = _verified(docs, reps, written(_candidate_pairs(members.where(F.col("band") < STAR_BANDS), info, none, star=True, by=by)), by)
     labels = components(first)
-    second = _verified(docs, reps, written(_candidate_pairs(members, info, labels, star=False)))
+    second = _verified(docs, reps, written(_candidate_pairs(members, info, labels, star=False, by=by)), by)
     # The second round's links join components of the first, so these are the vertices now.
     of = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"{c}_label"))
     joined = second.join(of("a"), "a", "left").join(of("b"), "b", "left")
@@ -386,14 +413,14 @@ def described(docs: DataFrame) -> DataFrame:
     return rows.select("row", "doc_id", "th", "n", "digest").join(named, "digest", "left")
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, by: Measure = OP3) -> DataFrame:
     of = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return described(docs).select("doc_id", F.col("n").alias("n_shingles"), of.alias("component_id"), F.col("doc_id").eqNullSafe(of).alias("kept"))
+    return described(docs, by).select("doc_id", F.col("n").alias("n_shingles"), of.alias("component_id"), F.col("doc_id").eqNullSafe(of).alias("kept"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, by: Measure = OP3) -> DataFrame:
     """One document of each group, in the input's columns: the one of least id, and of equal ids one row."""
-    rows = written(described(docs))
+    rows = written(described(docs, by))
     lonely = rows.where("n = 0")
     best = rows.where("n > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")).select(F.col("best.row").alias("row"))
     keep = rows.join(best, "row", "left_semi").select("doc_id", "th").unionByName(lonely.select("doc_id", "th"))

@@ -95,3 +95,13 @@ def test_graph(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 300)] + [(50, 100)]
     got = {r.v: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(1, 41)} == {1} and {v for k, v in got.items() if k >= 50} == {50}
+
+
+def test_five_words(spark):
+    """A copy with 20 words appended is near by five words at 0.8, not by three at 0.85; with 30 it isn't near."""
+    text = " ".join(f"w{k}" for k in range(100))
+    other = text.replace("w", "v")
+    more = lambda t, n: " ".join([t, *(f"x{k}" for k in range(n))])
+    docs = spark.createDataFrame([(1, text), (2, more(text, 20)), (3, other), (4, more(other, 30))], "doc_id long, text string")
+    assert {r.doc_id for r in neardup.deduplicate(docs, neardup.FIVE_WORDS).collect()} == {1, 3, 4}
+    assert {r.doc_id for r in neardup.deduplicate(docs).collect()} == {1, 2, 3, 4}

@@ -103,14 +103,14 @@ def tail_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
     return [*out, n] if n else out
 
 
-def _packer(path: str, end_id: int, capacity: int):
+def _packer(path: str, end_id: int, capacity: int, specials: bool):
     fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "local_sequence", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        enc = encoder(path, lead=False)
+        enc = encoder(path, lead=False, specials=specials)
         table = sentence_table(enc.tok)
         end = np.array([end_id], enc.dtype)
         sequence = 0
@@ -169,10 +169,10 @@ def _packer(path: str, end_id: int, capacity: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
-    """A row per piece. Local sequence numbers become global by one small prefix sum over tasks."""
+def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = CAPACITY, specials: bool = False) -> DataFrame:
+    """A row per piece. Local sequence numbers become global by one small prefix sum over tasks. ``specials``: see ``tokens``."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, local_sequence long, offset long"
-    pieces = written(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(trimmed(_packer(tokenizer_path, end_id, capacity)), schema))
+    pieces = written(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(trimmed(_packer(tokenizer_path, end_id, capacity, specials)), schema))
     parts = pieces.groupBy("part").agg((F.max("local_sequence") + 1).alias("n"))
     return pieces.join(with_offsets(parts, "part", "n", "first"), "part").select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("local_sequence")).alias("sequence_id"), "offset"

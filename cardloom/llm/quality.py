@@ -22,10 +22,11 @@ MIN_WORDS = 50
 MAX_LOST = 0.5
 # Phrases of boilerplate and navigation, matched in either case.
 BOILERPLATE = r"(?i)\b(all rights reserved|terms of (use|service)|privacy policy|cookie(s)? policy|uses? cookies|lorem ipsum|enable javascript|javascript is (disabled|required)|subscribe to our|sign up for our|click here|read more|powered by|copyright (\(c\)|©))"
-NAVIGATION = r"(?i)^\s*((home|about( us)?|contact( us)?|login|log in|sign in|sign up|menu|search|next|previous|back|faq|help|sitemap)\s*([|>»/•·-]\s*)?){2,}$"
+NAVIGATION = r"(?i)\A\s*((home|about( us)?|contact( us)?|login|log in|sign in|sign up|menu|search|next|previous|back|faq|help|sitemap)\s*([|>»/•·-]\s*)?){2,}\z"
 #: A line may end in these, in quotes or brackets after them too.
-CLOSING = r"[.!?…:;。！？]['\"”’»)\]]*\s*$"
-WORDLESS = r"^[\x20\x09-\x0D]*$"
+CLOSING = r"[.!?…:;。！？]['\"”’»)\]]*\s*\z"
+#: ``\z``, since ``$`` also stands before a last U+0085, U+2028 or U+2029, which are words.
+WORDLESS = r"\A[\x20\x09-\x0D]*\z"
 
 
 def words(text: Column) -> Column:

@@ -112,14 +112,14 @@ class SequenceReader:
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, np.uint16)
 
 
-def _writer(path: str, folder: str, end_id: int, length: int, rows: int):
+def _writer(path: str, folder: str, end_id: int, length: int, rows: int, specials: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         fs, root = _open(folder)
-        enc = encoder(path, lead=True)
+        enc = encoder(path, lead=True, specials=specials)
         end = np.array([end_id], enc.dtype)
         writer = places = sink = sink2 = None
         start = 0
@@ -148,10 +148,10 @@ def _writer(path: str, folder: str, end_id: int, length: int, rows: int):
     return run
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, length: int = LENGTH, rows: int = BATCH_SEQUENCES) -> DataFrame:
-    """Writes the files into ``folder`` (any file system pyarrow opens) and returns the manifest: part, name, n."""
+def write(docs: DataFrame, folder: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, length: int = LENGTH, rows: int = BATCH_SEQUENCES, specials: bool = False) -> DataFrame:
+    """Writes the files into ``folder`` (any file system pyarrow opens) and returns the manifest: part, name, n. ``specials``: see ``tokens``."""
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(trimmed(_writer(tokenizer_path, folder, end_id, length, rows)), "part long, name string, n long"))
+    return written(ordered.mapInArrow(trimmed(_writer(tokenizer_path, folder, end_id, length, rows, specials)), "part long, name string, n long"))
 
 
 def _reader(folder: str):
@@ -173,8 +173,10 @@ def _reader(folder: str):
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """Per document, from the files: id, global start, number of ids, their crc32."""
-    files = manifest.join(with_offsets(manifest, "part", "n", "first"), "part").select("name", "first")
-    return files.repartition("name").mapInArrow(trimmed(_reader(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = manifest.join(with_offsets(manifest, "part", "n", "first"), "part").select("part", "name", "first")
+    # Rows this small would be gathered in one task, were the number of tasks not given.
+    dealt = files.repartitionByRange(max(1, manifest.count()), "part").select("name", "first")
+    return dealt.mapInArrow(trimmed(_reader(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def report(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:

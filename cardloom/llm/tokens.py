@@ -8,6 +8,11 @@ where both vocabularies break too. All this, and putting ids together again, is
 done by whole Arrow and numpy columns; Python sees each distinct part of a chunk
 once. New parts are encoded many at a time as one text, whose ids are then split
 where a part must begin or end.
+
+The strings of special tokens in a text are ordinary text, as the vocabularies'
+own description sets it (``encode_special_tokens``), so a text can't forge the
+end of a document; with ``specials`` they become those tokens, and texts that
+hold one are encoded whole.
 """
 
 from __future__ import annotations
@@ -49,13 +54,14 @@ class Encoder:
     vocabularies); otherwise white space is dropped by the vocabulary.
     """
 
-    def __init__(self, path: str, *, lead: bool):
+    def __init__(self, path: str, *, lead: bool, specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not specials
         self.lead = lead
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()] if specials else []
         size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.cache: dict[str, bytes] = {}
@@ -151,11 +157,14 @@ class Encoder:
             yield flat[a:b]
 
     def _chunk(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        if not self.lead:
+        whole = np.zeros(len(texts), bool)
+        if self.lead:  # a space beside white space, at either end of a text too, is no place to cut at
+            whole |= np.asarray(pc.match_substring_regex(texts, f"^ | $| [{WHITE}]|[{WHITE}] |{MARK}"))
+        for token in self.special:
+            whole |= np.asarray(pc.match_substring(texts, token, ignore_case=True))
+        if not whole.any():
             yield from self._cut(texts)
             return
-        # a space beside white space, at either end of a text too, is no place to cut at
-        whole = np.asarray(pc.match_substring_regex(texts, f"^ | $| [{WHITE}]|[{WHITE}] |{MARK}"))
         cut, apart = self._cut(texts.filter(pa.array(~whole))), iter(self._encode(texts.filter(pa.array(whole)).to_pylist()))
         for w in whole.tolist():
             yield next(apart if w else cut)
@@ -175,11 +184,12 @@ class Encoder:
         return next(self.batch(pa.array([text], pa.string())))
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[tuple[str, bool, bool], Encoder] = {}
 
 
-def encoder(path: str, *, lead: bool) -> Encoder:
+def encoder(path: str, *, lead: bool, specials: bool = False) -> Encoder:
     """One encoder, and so one cache, for a worker process."""
-    if (path, lead) not in _ENCODERS:
-        _ENCODERS[path, lead] = Encoder(path, lead=lead)
-    return _ENCODERS[path, lead]
+    key = (path, lead, specials)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, lead=lead, specials=specials)
+    return _ENCODERS[key]

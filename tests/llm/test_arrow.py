@@ -32,29 +32,31 @@ def docs(spark, sf_dir):
     return spark.createDataFrame(TEXTS, "doc_id long, text string, part string").unionByName(real).repartition(3).cache()
 
 
+@pytest.mark.parametrize("specials", [False, True])
 @pytest.mark.parametrize("name,lead", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_encoder(docs, name, lead):
+def test_encoder(docs, name, lead, specials):
     path = public_tokenizers.path(name)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    enc = tokens.Encoder(path, lead=lead)
+    plain.encode_special_tokens = not specials
+    enc = tokens.Encoder(path, lead=lead, specials=specials)
     for r in docs.collect() * 2:
         assert enc.ids(r.text or "").tolist() == plain.encode(r.text or "", add_special_tokens=False).ids
 
 
 # White space beside white space, the separator, marks after a space, specials' strings.
-ODD = ["", None, " ", "a", " a", "a ", "a  b", "a\nb c", "a \nb", "a\n b c", "x\x01 y \x01 z", "\u3000 x", "it's 's 'll", "e \u0301 x Σ", "a\xa0b \xa0d", "<|endoftext|> x <|startoftext|>", "中文 字 。", "a\x85b \x1c c", "x" * 100 + " y", "a İ&&& b.c! x\x02y z\x02&", "don't... l'été##\nÜber.\n\nab", "e&\u0301 a<\u0338 ß%%% 1$2"]
+ODD = ["", None, " ", "a", " a", "a ", "a  b", "a\nb c", "a \nb", "a\n b c", "x\x01 y \x01 z", "\u3000 x", "it's 's 'll", "e \u0301 x Σ", "a\xa0b \xa0d", "<|endoftext|> x <|startoftext|>", "hello <|endoftext|> there", "a<|endoftext|>b c <|ENDOFTEXT|> d", " <|startoftext|>", "中文 字 。", "a\x85b \x1c c", "x" * 100 + " y", "a İ&&& b.c! x\x02y z\x02&", "don't... l'été##\nÜber.\n\nab", "e&\u0301 a<\u0338 ß%%% 1$2"]
 
 
+@pytest.mark.parametrize("specials", [False, True])
 @pytest.mark.parametrize("chunk", [1, 40, 1 << 20])
 @pytest.mark.parametrize("name,lead", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_encoder_odd_texts(monkeypatch, name, lead, chunk):
+def test_encoder_odd_texts(monkeypatch, name, lead, chunk, specials):
     monkeypatch.setattr(tokens, "CHUNK_BYTES", chunk)
     monkeypatch.setattr(tokens, "CACHE_PARTS", 20)
     path = public_tokenizers.path(name)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    enc = tokens.Encoder(path, lead=lead)
+    plain.encode_special_tokens = not specials
+    enc = tokens.Encoder(path, lead=lead, specials=specials)
     got = [i.tolist() for i in enc.batch(pa.array(ODD * 2))]
     assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in ODD * 2]
 

@@ -21,6 +21,7 @@ ROWS = [
     (None, "the a b the a b the a b c\n\nHome | About | Login\n" + "word " * 60 + ".", "en", "a", 1, None, None),
     (7, "Line one is fine.\nLine one is fine.\n \n" + " ".join(f"w{i}" for i in range(80)) + ".", "en", "a", 1, None, None),
     (8, (HEX[:32] + " ") * 300, "en", "c", 1, None, None),
+    (9, "\x85\nx\n\x85\n\u2028\n\u2029\n\u2028\n \r\n \r", "en", "c", 1, None, None),
 ]
 
 
@@ -85,6 +86,12 @@ def test_quality_lines(spark):
     assert out == {1: good + "\n", 3: good}
 
 
+def test_quality_line_ends(spark):
+    rows = [(1, "\x85\n\x85"), (2, "\u2028\nx\n\u2028\n\u2028"), (3, " \t\n \t\n\r\n\r"), (4, "end.\u2029\nHome | About\x85")]
+    out = {r.doc_id: (r.n_dup_lines, r.n_lines_removed) for r in quality.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: (1, 2), 2: (2, 4), 3: (0, 0), 4: (0, 2)}
+
+
 def test_sharding(docs, spark):
     hot = spark.createDataFrame([(i, "copy " * 50) for i in range(10_000, 11_000)], "doc_id long, text string")
     both = docs.select("doc_id", "text").unionByName(hot)

@@ -39,12 +39,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import trimmed, written
 from .graph import components
 
+#: Bytes of text worked on at once.
+CHUNK_BYTES = 4 << 20
 SHINGLE = 3
 BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
@@ -113,6 +116,29 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter((cache[w] for w in words), np.uint64, len(words))
 
 
+def chunks_of(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[pa.Array]:
+    """Slices of about ``size`` bytes, one text at least, null as empty."""
+    texts = pc.fill_null(texts, "")
+    ends = np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
+    begin = 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + size, "right")))
+        yield texts.slice(begin, end - begin)
+        begin = end
+
+
+def batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` of all texts, one after another, and the places where texts begin and end; by whole columns."""
+    import xxhash
+
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = split.values.dictionary_encode()
+    codes, names = np.asarray(words.indices), words.dictionary.cast(pa.binary())
+    real = (np.asarray(pc.binary_length(names)) > 0)[codes]
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names.to_pylist()), np.uint64, len(names))[codes]
+    return hashes[real], np.r_[0, np.cumsum(real)][np.asarray(split.offsets)]
+
+
 def shingle_sequence(w: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     """The hash of each run of k words; of the whole sequence if it is shorter."""
     n = len(w)
@@ -130,6 +156,14 @@ def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
     return np.unique(shingle_sequence(word_hashes(text), k))
 
 
+def batch_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
+    """``shingle_set`` of each text."""
+    for chunk in chunks_of(texts):
+        w, at = batch_words(chunk)
+        for a, b in zip(at.tolist(), at[1:].tolist()):
+            yield np.unique(shingle_sequence(w[a:b], k))
+
+
 def signature(s: np.ndarray, hashes: int = HASHES) -> np.ndarray:
     rng = np.random.default_rng(1)
     a = (rng.integers(1, 1 << 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
@@ -174,8 +208,7 @@ def least_matches(threshold: float = NUM / DEN, miss: float = MISS, hashes: int
 def _describe(batches: Iterator[pa.RecordBatch], by: Measure = OP3) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n, digest, sketch, bands, keys = [], [], [], [], []
-        for text in b.column(2).to_pylist():
-            s = shingle_set(text, by.shingle)
+        for s in batch_sets(b.column(2), by.shingle):
             n.append(len(s))
             if not len(s):
                 digest.append(None), sketch.append(None), bands.append(None), keys.append(None)
@@ -198,7 +231,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch], by: Measure = OP3) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [shingle_set(t, by.shingle) for t in b.column(1).to_pylist()]
+        sets = list(batch_sets(b.column(1), by.shingle))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["cid", "s", "full"])
 
 

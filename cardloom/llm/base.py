@@ -34,11 +34,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/cardloom/{uuid.uuid4().hex}"
 
 
+#: Spark's own setting by which shuffle files go as soon as the write that made them has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the scratch folder and read back."""
+    """``df`` written once as Parquet in the scratch folder and read back.
+
+    The write's shuffle files go at its end: nothing runs the same plan again,
+    and while it runs they serve tasks that are repeated.
+    """
     spark = df.sparkSession
     path = scratch_dir(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
@@ -53,9 +66,9 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove shuffle files of finished writes.
+    """Lets Spark's cleaner remove what finished writes have broadcast.
 
-    They go once the driver's JVM has collected the plans that made them, which
+    It goes once the driver's JVM has collected the plans that made it, which
     an idle driver may put off for half an hour.
     """
     gc.collect()

@@ -93,6 +93,12 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return task
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """``n`` column names that ``df`` doesn't have, in either case."""
+    taken = {c.lower() for c in df.columns}
+    return [f"_{i}" for i in range(n + len(taken)) if f"_{i}" not in taken][:n]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

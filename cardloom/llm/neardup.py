@@ -4,21 +4,26 @@
    Texts with the same set form a class; one member stands for it, so exact
    copies never meet in pairs.
 2. ``BANDS`` bands of ``ROWS`` MinHash values propose candidates. Members of a
-   band meet in blocks of at most ``BLOCK`` by ``BLOCK``; a band of any size is
-   covered by pairs of blocks, so no band is capped and no task holds a band.
+   large band are first held against its hub, the member that most others meet,
+   exactly and one hub a member, ``HUB_ROUNDS`` times. What is left of a band are
+   the pairs between its components: members of the greatest one meet only the
+   others, in blocks of bounded rows and shingles, so no band is capped and no
+   task holds a band.
 3. Signatures are compared ``STEP`` values at a time. After each step a pair
    goes if the posterior probability of similarity >= 0.85 is below ``MISS``.
    In large bands a lossless bound joins in (shingles found in one class only
    can't be shared), and rows carry their full sets: a widely edited text has
    many candidates and few links, which are told apart inside the block, and of
    which a spanning forest of the components is reported.
-4. Other survivors are verified on full sets. A first round links dense groups by
-   stars around their most connected member; the second tests every pair whose
-   ends are still in different components, so no pair within a component is
-   ever needed and none across components is left out.
+4. Other survivors are verified on full sets. A first round links dense groups,
+   those of large bands by hubs, others by stars around their most connected
+   member; the second tests every pair whose ends are still in different
+   components, so no pair within a component is ever needed.
 
 Links are exact in one direction: a reported link always holds. A pair at 0.85
-itself shares no band with probability (1 - 0.85**5)**25 = 4e-7.
+itself shares no band with probability (1 - 0.85**5)**25 = 4e-7. The band that
+reports a pair is told by 32 bits of the bands' keys, which chance makes equal in
+another band, and the pair lost, for one in 10**8 pairs.
 
 Shingle size, threshold and the bands fitted to them are a ``Measure``: ``OP3``,
 as above, or ``FIVE_WORDS``, 5-word shingles and 0.8 in 30 bands of 4, where a
@@ -27,7 +32,9 @@ pair at 0.8 shares none with probability (1 - 0.8**4)**30 = 1e-7.
 Defined cases: null and wordless texts have no shingles and are linked with
 nothing; rows that repeat an id each yield a row; a null id counts as larger
 than any other; an empty table yields no rows; other columns are ignored by
-``report`` and kept by ``deduplicate``.
+``report`` and kept by ``deduplicate``, whatever their names; ids may be of any
+type that has an order; very long texts are shingled whole, and blocks of bands
+hold a bounded number of shingles; of documents with equal least ids one row stays.
 """
 
 from __future__ import annotations
@@ -42,8 +49,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .base import trimmed, written
+from .base import free_names, trimmed, written
 from .graph import components
 
 #: Bytes of text worked on at once.
@@ -56,6 +64,11 @@ NUM, DEN = 85, 100
 STEP = 25
 MISS = 1e-6
 BLOCK = 1024
+#: A block holds about so many shingles at most, unless one set alone has more.
+BLOCK_SHINGLES = 1 << 20
+#: So often members of large bands are held against hubs, each against one, of HUB_ROWS members a task's group.
+HUB_ROUNDS = 2
+HUB_ROWS = 512
 #: Bands with more members use the bound on unshared shingles.
 LARGE = 64
 #: The first round looks at so many bands.
@@ -225,8 +238,9 @@ def _describe(batches: Iterator[pa.RecordBatch], by: Measure = OP3) -> Iterator[
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id")
+    doc_id = doc_id.cast("long") if isinstance(docs.schema["doc_id"].dataType, IntegralType) else doc_id
+    return docs.select(doc_id.alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], by: Measure = OP3) -> Iterator[pa.RecordBatch]:
@@ -292,11 +306,6 @@ def _compare(star: bool, by: Measure = OP3):
                 break
         return alive
 
-    def shared(a: np.ndarray, b: np.ndarray) -> int:
-        both = np.concatenate([a, b])
-        both.sort(kind="stable")
-        return int((both[1:] == both[:-1]).sum())
-
     def groups(t: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs to report, as row numbers, from whole groups."""
         size = ends - starts
@@ -315,7 +324,7 @@ def _compare(star: bool, by: Measure = OP3):
             i, j = i[first], j[first]
             # Members of large bands carry their full sets and are verified here.
             full = t["full"]
-            ok = [full[a] is None or full[b] is None or (num + den) * shared(full[a], full[b]) >= num * (n[a] + n[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+            ok = [full[a] is None or full[b] is None or _linked(full[a], full[b], by) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
             ok = np.array(ok, bool)
             return i[ok], j[ok]
 
@@ -385,21 +394,92 @@ def _compare(star: bool, by: Measure = OP3):
 
 
 def _candidate_pairs(members: DataFrame, info: DataFrame, labels: DataFrame, *, star: bool, by: Measure = OP3) -> DataFrame:
-    """Surviving pairs (a, b) among members (key, cid, size) of bands."""
-    labelled = info.join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    rows = members.join(labelled, "cid").withColumn("u", F.when(F.col("size") > LARGE, F.col("u")).otherwise(F.lit(0).cast("long"))).withColumn("full", F.when(F.col("size") > LARGE, F.col("full")))
-    if not star:  # a band within one component has nothing left to test
-        open_bands = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        rows = rows.join(open_bands, "key", "left_semi")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cid"), blocks).cast("int")
-    spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = spread.select(
-        "key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "label", "n", "u", "band", "keys", "sketch", "full"
-    )
+    """Surviving pairs (a, b) among members (key, band, cid, size) of bands."""
+    label = labels.select(F.col("v").alias("cid"), "label")
+    rows = members.join(info.select("cid", "n"), "cid").join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    alone = F.array(F.struct(F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("side")))
+    if star:  # small bands only
+        rows = rows.drop("n").withColumn("places", alone)
+    else:
+        each = rows.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+        keys = each.groupBy("key").agg(F.max(F.struct("m", "label", "w")).alias("top"), F.sum("m").alias("m"), F.sum("w").alias("w"))
+        keys = keys.where(F.col("m") > F.col("top.m"))  # a band within one component has nothing left to test
+        blocks = lambda m, w: F.greatest(F.ceil(m / BLOCK), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+        top, rest = blocks(F.col("top.m"), F.col("top.w")), blocks(F.col("m") - F.col("top.m"), F.col("w") - F.col("top.w"))
+        keys = keys.select("key", F.col("top.label").alias("top"), top.alias("tops"), rest.alias("rests"), blocks(F.col("m"), F.col("w")).alias("all"))
+        rows = rows.drop("n").join(keys, "key")
+        own = F.pmod(F.xxhash64("cid"), F.when(F.col("label") == F.col("top"), F.col("tops")).otherwise(F.col("rests"))).cast("int")
+        place = lambda i, j, side: F.struct(i.alias("bi"), j.alias("bj"), side.cast("int").alias("side"))
+        each_rest = F.sequence(F.lit(0), F.col("rests") - 1)
+        of_top = F.transform(each_rest, lambda r: place(F.col("own"), -1 - r, F.lit(0)))
+        of_rest = F.concat(
+            F.transform(F.sequence(F.lit(0), F.col("tops") - 1), lambda t: place(t, -1 - F.col("own"), F.lit(1))),
+            F.transform(each_rest, lambda r: place(F.least(r, F.col("own")), F.greatest(r, F.col("own")), F.col("own") > r)),
+        )
+        rows = rows.withColumn("own", own).withColumn("places", F.when(F.col("all") == 1, alone).when(F.col("label") == F.col("top"), of_top).otherwise(of_rest))
+    carried = rows.select("key", "band", "cid", "size", "label", "places").join(info, "cid")
+    large = lambda c: F.when(F.col("size") > LARGE, F.col(c))
+    placed = carried.select("key", F.explode("places").alias("p"), "cid", "label", "n", F.coalesce(large("u"), F.lit(0)).cast("long").alias("u"), "band", "keys", "sketch", large("full").alias("full"))
+    placed = placed.select("key", "p.bi", "p.bj", "p.side", "cid", "label", "n", "u", "band", "keys", "sketch", "full")
     return placed.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(trimmed(_compare(star, by)), "a long, b long").distinct()
 
 
+def _hub_links(members: DataFrame, info: DataFrame, by: Measure) -> DataFrame | None:
+    """Links (a, b), verified, of members of large bands with the hub of one of their bands; None without large bands.
+
+    The hub of a band is the member with the greatest sum of sizes of large
+    bands: edits take a copy out of bands, so the text that the others were
+    made from stays in most. Hubs are laid out once for each ``HUB_ROWS``
+    members of a band, so that no task holds all that meet one hub.
+    """
+    left = members.where(F.col("size") > LARGE).select("key", "cid")
+    sets = info.select("cid", "n", "sketch", "full")
+    links = None
+    for _ in range(HUB_ROUNDS):
+        sized = written(left.join(left.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"))
+        if not sized.limit(1).count():
+            break
+        degree = sized.groupBy("cid").agg(F.sum("m").alias("degree"))
+        hubs = sized.join(degree, "cid").groupBy("key").agg(F.max(F.struct("degree", "cid")).alias("h"))
+        met = sized.join(hubs, "key").groupBy("cid").agg(F.max(F.struct(F.col("h.degree").alias("degree"), F.col("h.cid").alias("hub"), "key", "m")).alias("h"))
+        groups = F.ceil(F.col("m") / HUB_ROWS).cast("int")
+        pairs = met.select("cid", "h.*").where("cid <> hub").withColumn("salt", F.pmod(F.xxhash64("cid"), groups).cast("int"))
+        own = pairs.select("key", "salt", "cid").join(sets, "cid")
+        laid = pairs.groupBy("key", "salt").agg(F.first("hub").alias("hub")).join(sets.select(*[F.col(c).alias("hub" if c == "cid" else f"h_{c}") for c in sets.columns]), "hub")
+        both = own.join(laid, ["key", "salt"]).select("cid", "hub", "n", "h_n", "sketch", "h_sketch", "full", "h_full")
+        found = written(both.mapInArrow(trimmed(_hub_test(by)), "a long, b long"))
+        links = found if links is None else links.unionByName(found)
+        reached = found.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        left = sized.select("key", "cid").join(reached, "cid", "left_anti")
+    return links
+
+
+def _hub_test(by: Measure):
+    """(a, hub, their sizes, sketches, sets) to the links."""
+    steps = least_matches(by.num / by.den, hashes=by.hashes, step=by.step)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            n, m = t.column(2).to_numpy(), t.column(3).to_numpy()
+            alive = np.arange(len(n))
+            same = np.zeros(len(n), np.int32)
+            x, y = (np.frombuffer(b"".join(t.column(k).to_pylist()), np.uint8).reshape(-1, by.hashes) for k in (4, 5))
+            before = 0
+            for upto, least in steps:
+                same[alive] += (x[alive, before:upto] == y[alive, before:upto]).sum(1)
+                alive, before = alive[same[alive] >= least], upto
+            ok = [k for k in alive.tolist() if _linked(np.frombuffer(t.column(6)[k].as_py(), "<u8"), np.frombuffer(t.column(7)[k].as_py(), "<u8"), by)]
+            yield t.take(pa.array(ok, pa.int64())).select([0, 1]).rename_columns(["a", "b"])
+
+    return run
+
+
+def _linked(x: np.ndarray, y: np.ndarray, by: Measure) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return (by.num + by.den) * int((both[1:] == both[:-1]).sum()) >= by.num * len(both)
+
+
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, by: Measure = OP3) -> DataFrame:
     """The pairs that hold on full sets."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
@@ -419,7 +499,7 @@ def _unshared(docs: DataFrame, reps: DataFrame, members: DataFrame, by: Measure
 
 def described(docs: DataFrame, by: Measure = OP3) -> DataFrame:
     """Per document, in a written table: row, doc_id, th (hash of the text), n, digest, component (a class or null), component_id."""
-    rows = written(_keyed(docs).mapInArrow(trimmed(partial(_describe, by=by)), "doc_id long, th long, n long, digest binary, sketch binary, bands array<long>, keys binary").withColumn("row", F.monotonically_increasing_id()))
+    rows = written(_keyed(docs).mapInArrow(trimmed(partial(_describe, by=by)), f"doc_id {_keyed(docs).schema['doc_id'].dataType.simpleString()}, th long, n long, digest binary, sketch binary, bands array<long>, keys binary").withColumn("row", F.monotonically_increasing_id()))
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("cid"), F.min("doc_id").alias("least_doc"))
     classes = written(classes)
     reps = written(rows.join(classes.select(F.col("cid").alias("row")), "row", "left_semi").withColumnRenamed("row", "cid").drop("digest"))
@@ -430,8 +510,10 @@ def described(docs: DataFrame, by: Measure = OP3) -> DataFrame:
     busy = reps.join(members.select("cid").distinct(), "cid", "left_semi")
     info = written(busy.join(u, "cid", "left").select("cid", "n", F.coalesce("u", F.lit(0)).cast("long").alias("u"), "keys", "sketch", "full"))
     none = info.sparkSession.createDataFrame([], "v long, label long")
-    first = _verified(docs, reps, written(_candidate_pairs(members.where(F.col("band") < STAR_BANDS), info, none, star=True, by=by)), by)
-    labels = components(first)
+    small = members.where((F.col("band") < STAR_BANDS) & (F.col("size") <= LARGE))
+    first = _verified(docs, reps, written(_candidate_pairs(small, info, none, star=True, by=by)), by)
+    hubs = _hub_links(members, info, by)
+    labels = components(first if hubs is None else first.unionByName(hubs))
     second = _verified(docs, reps, written(_candidate_pairs(members, info, labels, star=False, by=by)), by)
     # The second round's links join components of the first, so these are the vertices now.
     of = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"{c}_label"))
@@ -458,12 +540,14 @@ def deduplicate(docs: DataFrame, by: Measure = OP3) -> DataFrame:
     best = rows.where("n > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")).select(F.col("best.row").alias("row"))
     keep = rows.join(best, "row", "left_semi").select("doc_id", "th").unionByName(lonely.select("doc_id", "th"))
     # Rows equal in id and text can't be told apart by key; where the table has such rows, one of each stays.
-    keep = keep.groupBy("doc_id", "th").agg(F.count("*").alias("stay")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
-    repeats = written(rows.groupBy("doc_id", "th").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("__rid"), F.col("th").alias("__rth")))
-    text_hash = F.xxhash64(F.col("text").cast("string"))
-    kept = docs.withColumn("__h", text_hash).join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_semi")
-    same = F.col("doc_id").eqNullSafe(F.col("__rid")) & (F.col("__h") == F.col("__rth"))
+    i, t, h = free_names(docs, 3)
+    named = lambda df: df.select(F.col("doc_id").alias(i), F.col("th").alias(t))
+    keep = named(keep.distinct())
+    repeats = written(named(rows.groupBy("doc_id", "th").agg(F.count("*").alias("c")).where("c > 1")))
+    doc_id = F.col("doc_id").cast("long") if isinstance(docs.schema["doc_id"].dataType, IntegralType) else F.col("doc_id")
+    same = doc_id.eqNullSafe(F.col(i)) & F.col(h).eqNullSafe(F.col(t))
+    kept = docs.withColumn(h, F.xxhash64(F.col("text").cast("string"))).join(keep, same, "left_semi")
     if repeats.limit(1).count() == 0:
         return kept.select(*docs.columns)
-    once = kept.join(repeats, same, "left_anti").unionByName(kept.join(repeats, same, "left_semi").dropDuplicates(["doc_id", "__h"]))
+    once = kept.join(repeats, same, "left_anti").unionByName(kept.join(repeats, same, "left_semi").dropDuplicates(["doc_id", h]))
     return once.select(*docs.columns)

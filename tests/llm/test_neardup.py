@@ -105,3 +105,30 @@ def test_five_words(spark):
     docs = spark.createDataFrame([(1, text), (2, more(text, 20)), (3, other), (4, more(other, 30))], "doc_id long, text string")
     assert {r.doc_id for r in neardup.deduplicate(docs, neardup.FIVE_WORDS).collect()} == {1, 3, 4}
     assert {r.doc_id for r in neardup.deduplicate(docs).collect()} == {1, 2, 3, 4}
+
+
+def test_hubs(spark, rows, monkeypatch):
+    """Hub links hold, reach most members of large bands, and change no component."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for rounds, size in ((0, 16), (1, 4), (3, 4)):
+        monkeypatch.setattr(neardup, "HUB_ROUNDS", rounds)
+        monkeypatch.setattr(neardup, "HUB_ROWS", size)
+        monkeypatch.setattr(neardup, "LARGE", 4)
+        monkeypatch.setattr(neardup, "BLOCK", 8)
+        monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 900)
+        assert Counter(map(tuple, neardup.report(docs).collect())) == brute(rows)
+
+
+def test_clashing_names_and_other_ids(spark):
+    text = "one two three four five six"
+    docs = spark.createDataFrame([("b", text, 1, "x", 5), ("a", text, 2, "y", 6), ("a", text, 2, "y", 6), (None, text, 3, "z", 7), ("c", None, 4, "t", 8)], "doc_id string, text string, __h int, _0 string, __id int")
+    assert sorted(map(tuple, neardup.deduplicate(docs).collect())) == [("a", text, 2, "y", 6), ("c", None, 4, "t", 8)]
+
+
+def test_words_of_many_texts():
+    import pyarrow as pa
+
+    texts = ["Ab\tc  D\x85e", None, "", " \x0b\x0c", "\x1cx y\x00z", "é É", "a" * 300 + " b"]
+    for size in (1, 8, 1 << 20):
+        got = [s.tolist() for c in neardup.chunks_of(pa.array(texts), size) for w, at in [neardup.batch_words(c)] for s in (w[a:b] for a, b in zip(at, at[1:]))]
+        assert got == [neardup.word_hashes(t).tolist() for t in texts]

@@ -15,7 +15,8 @@ shuffled.
 Defined cases: null text has no words and no hits; a null or wordless item has
 no windows; items without an id count as hits but not as named items; items
 that repeat an id count once; an empty benchmark hits nothing; columns beside
-the named ones are ignored, or passed through by ``remove``.
+the named ones are ignored, or passed through by ``remove``; equal windows of
+several items name them all; texts of any length are searched whole.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ SHARDS_A_STAGE = 3
 #: Patterns shorter than this are searched apart, so that they don't shorten the skips of the others.
 SHORT = 24
 
+FIGURES = ["n_words", "n_hit", "n_items", "items_sha256"]
 _KEEP = bytes(c for c in range(256) if c >= 0x80 or chr(c).isalnum())
 _TABLE = bytes((ord(chr(c).lower()) if c < 0x80 else c) if c in _KEEP else 0x20 for c in range(256))
 
@@ -117,7 +119,7 @@ def pattern_shards(benchmark: DataFrame, *, window: int, id_col: str, text_col:
         yield {p: (n, sorted(s)) for p, (n, s) in shard.items()}
 
 
-def _search(spark_broadcast, text_col: str):
+def _search(spark_broadcast, text_col: str, p: str):
     """A mapInArrow function that adds one shard's hits to the state columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,8 +127,8 @@ def _search(spark_broadcast, text_col: str):
         for b in batches:
             names = b.schema.names
             texts = b.column(names.index(text_col)).cast(pa.string()).to_pylist()
-            spans = b.column(names.index("__spans")).to_pylist()
-            items = b.column(names.index("__items")).to_pylist()
+            spans = b.column(names.index(f"{p}spans")).to_pylist()
+            items = b.column(names.index(f"{p}items")).to_pylist()
             for k, t in enumerate(texts):
                 if not t:
                     continue
@@ -136,12 +138,12 @@ def _search(spark_broadcast, text_col: str):
                     continue
                 gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
                 first = np.searchsorted(gaps, [at for at, _ in found])
-                runs = np.array([[f, f + patterns.windows[p][0]] for f, (_, p) in zip(first, found, strict=True)], dtype="<i4")
+                runs = np.array([[f, f + patterns.windows[w][0]] for f, (_, w) in zip(first, found, strict=True)], dtype="<i4")
                 spans[k] = (spans[k] or b"") + _merged(runs).tobytes()
-                items[k] = sorted({*(items[k] or ()), *(i for p in {p for _, p in found} for i in patterns.windows[p][1])})
+                items[k] = sorted({*(items[k] or ()), *(i for w in {w for _, w in found} for i in patterns.windows[w][1])})
             arrays = list(b.columns)
-            arrays[names.index("__spans")] = pa.array(spans, pa.binary())
-            arrays[names.index("__items")] = pa.array(items, pa.list_(pa.string()))
+            arrays[names.index(f"{p}spans")] = pa.array(spans, pa.binary())
+            arrays[names.index(f"{p}items")] = pa.array(items, pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
@@ -156,23 +158,23 @@ def _merged(runs: np.ndarray) -> np.ndarray:
     return np.stack([runs[starts, 0], reach[np.r_[starts[1:] - 1, len(runs) - 1]]], 1).astype("<i4")
 
 
-def _figures(text_col: str):
+def _figures(text_col: str, p: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names = b.schema.names
             texts = b.column(names.index(text_col)).cast(pa.string()).to_pylist()
-            spans = b.column(names.index("__spans")).to_pylist()
-            items = b.column(names.index("__items")).to_pylist()
+            spans = b.column(names.index(f"{p}spans")).to_pylist()
+            items = b.column(names.index(f"{p}items")).to_pylist()
             hit = [0 if not s else int(np.diff(_merged(np.frombuffer(s, "<i4").reshape(-1, 2)), axis=1).sum()) for s in spans]
             sha = [hashlib.sha256(",".join(i or ()).encode()).hexdigest() for i in items]
             out = [
-                *(b.column(i) for i, n in enumerate(names) if n not in ("__spans", "__items")),
+                *(b.column(i) for i, n in enumerate(names) if n not in (f"{p}spans", f"{p}items")),
                 pa.array([len(word_list(t)) for t in texts], pa.int64()),
                 pa.array(hit, pa.int64()),
                 pa.array([len(i or ()) for i in items], pa.int64()),
                 pa.array(sha, pa.string()),
             ]
-            yield pa.RecordBatch.from_arrays(out, names=[*(n for n in names if n not in ("__spans", "__items")), "__n_words", "__n_hit", "__n_items", "__items_sha256"])
+            yield pa.RecordBatch.from_arrays(out, names=[*(n for n in names if n not in (f"{p}spans", f"{p}items")), *(f"{p}{n}" for n in FIGURES)])
 
     return run
 
@@ -187,16 +189,29 @@ def matches(
     item_text_col: str = "text",
     shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
-    """``docs`` with __n_words, __n_hit, __n_items and __items_sha256 beside its own columns."""
-    sc = docs.sparkSession.sparkContext
-    state = docs.withColumns({"__spans": F.lit(None).cast("binary"), "__items": F.lit(None).cast("array<string>")})
+    """``docs`` with n_words, n_hit, n_items and items_sha256 beside its own columns, each named with ``prefix(docs)`` before."""
+    sc, p = docs.sparkSession.sparkContext, prefix(docs)
+    state = docs.withColumns({f"{p}spans": F.lit(None).cast("binary"), f"{p}items": F.lit(None).cast("array<string>")})
     shards = pattern_shards(benchmark, window=window, id_col=item_id_col, text_col=item_text_col, shard_bytes=shard_bytes)
+    sent = []
     for k, shard in enumerate(shards):
         if k and k % SHARDS_A_STAGE == 0:
             state = written(state)
-        state = state.mapInArrow(trimmed(_search(sc.broadcast(shard), text_col)), state.schema)
-    figures = T.StructType([*docs.schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__n_hit", T.LongType()), T.StructField("__n_items", T.LongType()), T.StructField("__items_sha256", T.StringType())])
-    return state.mapInArrow(trimmed(_figures(text_col)), figures)
+            while sent:
+                sent.pop().destroy()
+        sent.append(sc.broadcast(shard))
+        state = state.mapInArrow(trimmed(_search(sent[-1], text_col, p)), state.schema)
+    kinds = (T.LongType(), T.LongType(), T.LongType(), T.StringType())
+    figures = T.StructType([*docs.schema.fields, *(T.StructField(f"{p}{n}", t) for n, t in zip(FIGURES, kinds, strict=True))])
+    return state.mapInArrow(trimmed(_figures(text_col, p)), figures)
+
+
+def prefix(docs: DataFrame) -> str:
+    """Underscores with which no column of ``docs`` begins."""
+    p = "__"
+    while any(c.startswith(p) for c in docs.columns):
+        p += "_"
+    return p
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -207,5 +222,5 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any benchmark window, in the input's columns."""
-    return matches(docs, benchmark, **options).where("__n_hit = 0").select(*docs.columns)
+    """The documents without any benchmark window, in the input's columns, whatever their names."""
+    return matches(docs, benchmark, **options).where(F.col(f"{prefix(docs)}n_hit") == 0).select(*docs.columns)

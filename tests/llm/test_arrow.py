@@ -167,5 +167,9 @@ def test_decontaminate(spark, sf_dir):
         assert Counter(map(tuple, decontaminate.report(docs, bench, shard_bytes=shard).collect())) == want
     kept = decontaminate.remove(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(n for k, n in want.items() if not k[-1])
+    clash = docs.selectExpr("*", "'a' __spans", "'b' __items", "'c' __n_hit", "'d' ___n_words")
+    assert set(map(tuple, decontaminate.remove(clash, bench).drop("doc_id", "text", "__n").collect())) == {("a", "b", "c", "d")}
+    many = spark.createDataFrame([(1, "word " * 200_000 + "tiny one"), (2, "tiny one " * 50_000)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_words, r.n_hit) for r in decontaminate.report(many, bench).collect()) == [(1, 200_002, 2), (2, 100_000, 100_000)]
     assert decontaminate.report(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.report(docs.limit(0), bench).count() == 0

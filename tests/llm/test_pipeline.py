@@ -27,7 +27,7 @@ def test_stages(spark, sf_dir):
             good = {r.doc_id for r in quality.report(docs).collect() if r.kept}
             assert {r.doc_id for r in rows} == good
         elif name == "near_duplicates":
-            assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in neardup.report(docs).collect() if r.kept)
+            assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in neardup.report(docs, neardup.FIVE_WORDS).collect() if r.kept)
         elif name == "decontamination":
             assert {r.doc_id for r in rows} == {r.doc_id for r in decontaminate.report(docs, bench).collect() if not r.contaminated}
         elif name == "personal_data":

@@ -34,8 +34,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/cardloom/{uuid.uuid4().hex}"
 
 
-#: Spark's own setting by which shuffle files go as soon as the write that made them has ended.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's own settings while a table is written: shuffle files go as soon as the write that made them has ended,
+#: and Arrow batches are bounded by bytes, since rows may carry whole texts or sets.
+_WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -46,12 +50,14 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path

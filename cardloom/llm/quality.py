@@ -48,13 +48,13 @@ def repeated_words(ws: Column) -> Column:
 
         def marked(s: Column) -> Column:
             again = F.filter(s, lambda x, k: (x["w"] == F.get(s, k + 1)["w"]) | (F.when(k > 0, x["w"] == F.get(s, k - 1)["w"]).otherwise(F.lit(False))))
-            return F.array_sort(F.transform(again, lambda x: x["i"]))
+            return F.sort_array(F.transform(again, lambda x: x["i"]))
 
         def covered(p: Column) -> Column:
             steps = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
             return F.aggregate(steps, F.lit(0).cast("long"), lambda t, x: t + x)
 
-        return let(let(F.array_sort(windows), marked), covered)
+        return let(let(F.sort_array(windows), marked), covered)
 
     return F.when(F.size(ws) < 3, F.lit(0).cast("long")).otherwise(let(ws, count))
 
@@ -63,14 +63,15 @@ def line_fails(line: Column) -> Column:
     """The line-level verdict; a blank line doesn't fail."""
     size = F.length(line)
     symbols = size - F.length(F.translate(line, SYMBOLS, ""))
-    upper = F.regexp_count(line, F.lit(r"\p{Lu}"))
-    letters = F.regexp_count(line, F.lit(r"\p{L}"))
+    upper = F.length(F.regexp_replace(line, r"\P{Lu}+", ""))
+    letters = F.length(F.regexp_replace(line, r"\P{L}+", ""))
+    # Within a filter each ``&`` and ``|`` stops at what decides it: cheap tests come first.
     return (
         (symbols * 10 > size)
         | (~line.rlike(CLOSING) & ~line.rlike(WORDLESS))
         | line.rlike(NAVIGATION)
-        | (line.rlike(BOILERPLATE) & (size <= 200))
-        | ((size >= 20) & (upper * 10 > letters * 6) & (upper > 12))
+        | ((size <= 200) & line.rlike(BOILERPLATE))
+        | ((size >= 20) & (upper > 12) & (upper * 10 > letters * 6))
     )
 
 
@@ -82,8 +83,12 @@ def kept_lines(lines: Column) -> Column:
     return F.filter(lines, lambda x: ~line_fails(x))
 
 
-def _total(lines: Column) -> Column:
-    return F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.when(x.rlike(WORDLESS), F.lit(0)).otherwise(F.length(x)))
+def _full(lines: Column) -> Column:
+    return F.filter(lines, lambda x: ~x.rlike(WORDLESS))
+
+
+def _total(parts: Column) -> Column:
+    return F.length(F.array_join(parts, "")).cast("long")
 
 
 def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_lost: float = MAX_LOST, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -91,18 +96,20 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     t = F.col("__t")
     base = docs.select(*keep, F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
     cut = base.select(*keep, "__id", "__t", words(t).alias("__w"), lines_of(t).alias("__lines"))
-    cut = cut.withColumns({"__kept": kept_lines(F.col("__lines")), "__full": F.filter("__lines", lambda x: ~x.rlike(WORDLESS))})
+    # Generated rows aren't merged into what reads them, so lines and windows are judged once, also below a filter on the verdict.
+    judged = F.struct(kept_lines(F.col("__lines")).alias("__kept"), _full(F.col("__lines")).alias("__full"), repeated_words(F.col("__w")).alias("n_repeat_words"))
+    cut = cut.select(*keep, "__id", "__t", "__w", "__lines", F.inline(F.array(judged)))
     sums = cut.select(
         *keep,
         F.col("__id").alias("doc_id"),
         F.size("__w").cast("long").alias("n_words"),
-        F.length(F.regexp_replace(t, SPACE_CLASS, "")).cast("long").alias("word_chars"),
+        _total(F.col("__w")).alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("__w")).alias("n_repeat_words"),
+        "n_repeat_words",
         (F.size("__lines") - F.size("__kept")).cast("long").alias("n_lines_removed"),
         _total(F.col("__full")).alias("line_chars"),
-        _total(F.col("__kept")).alias("line_chars_kept"),
+        _total(_full(F.col("__kept"))).alias("line_chars_kept"),
         F.array_join("__kept", "\n").alias("clean_text"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)

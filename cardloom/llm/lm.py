@@ -1,338 +1,601 @@
 """Hierarchical Pitman-Yor language model over the whole corpus.
 
-Restaurants: one for each class of the preceding word (``CONTEXTS`` classes by
-its last byte, class 0 the start of a text), all sharing one parent over single
-tokens, whose base is uniform over the known tokens and one unknown. Customers
-are all training tokens; tables of a context are the parent's customers.
-
-1. Each task turns its documents into numbers over a block's own dictionary and
-   writes both: rows per document, and rows per word of the block with its
-   counts by context. Words are counted by one exchange of dictionary rows,
-   about a tenth of the tokens.
-2. Seating is sampled by Gibbs: a sweep takes a dish's customers out and seats
-   them again one by one, given the totals of all other dishes. Dishes are
-   independent given those totals, so a sweep is a map over words; totals (two
-   numbers a context) are summed between rounds. Seatings are averaged over the
-   sweeps that follow burn-in, and predictive probabilities, linear in them,
-   are averaged with them.
-3. Each block gets back the figures of its own words and scores its documents.
-
-For a dish of more than 64 customers these sit down in growing groups, each
-seeing the tables as they were at its start.
-
-Discounts come from the counts of counts of the whole training text. Defined
-cases: null text is empty and consists of one end token; a null id counts as
-training text; repeated rows are learnt and scored each; without training text
-the model is the uniform base; an empty table yields no rows; other columns
-are ignored.
+Restaurants: one for each preceding word (the end token stands before a text),
+so contexts grow with the corpus; all share one parent over single tokens, whose
+base is uniform over the known tokens and one unknown. Customers of a context are
+its training tokens; the tables of all contexts are the parent's customers.
+
+1. Each block of documents is turned into pairs (preceding word, word), numbered
+   within the block. Its distinct pairs, with their training counts, go to
+   buckets by the preceding word as packed arrays: a pair costs some nine bytes,
+   never a row. Preceding words that hold over ``2 * HEAVY`` of all tokens are
+   spread by the pair instead, so no bucket holds a common word; of these words,
+   ``1 / HEAVY`` at most, the driver sums the table counts.
+2. Tables are sampled by Gibbs. The number of tables t at which c customers eat
+   one dish in a restaurant has, given the restaurant's other tables T and the
+   parent's probability p of the dish, a conditional proportional to
+   S(c, t) * prod_{i<t}(theta + d (T + i)) * p**t with generalised Stirling numbers S:
+   what taking out and reseating its customers leaves unchanged, drawn at once.
+   Beyond ``SMALL`` customers Metropolis steps on t do this, with S by its saddle
+   point. A round draws all contexts' tables given the parent's last probabilities,
+   sends each bucket's sums by word to the words' own buckets, draws the parent's
+   tables and sends each bucket what it needs of its words. Within a round dishes
+   see the other dishes' tables of the round before.
+3. The predictive probability of each pair, (c - d t + (theta + d T) p) / (theta + C),
+   is averaged over the rounds after ``BURN_IN`` and goes back to the blocks that
+   asked for it, which score their documents.
+
+Words are told apart by 64-bit hashes (two of 10**8 words share one with probability
+3e-4). Discounts come from the counts of counts of a level's customers.
+
+Defined cases: null text is empty and consists of one end token; a null id counts
+as training text; repeated rows are learnt and scored each; very long texts are
+never split over blocks; without training text the model is the uniform base; an
+empty table yields no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import ctypes
 import math
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import discard, written
+from .base import discard, trimmed, written
+from .neardup import _mix, batch_words, chunks_of
 
-CONTEXTS = 64
 FOLDS, HELD_OUT = 7, 2
-CONCENTRATION = 5.0
-ROUNDS, SWEEPS, BURN_IN = 2, 6, 2
-#: A block ends when it holds so many tokens or words.
-BLOCK_TOKENS, BLOCK_WORDS = 6_000_000, 600_000
-END = b""  # no word is empty
-
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-
-def packed_ids(ids: np.ndarray) -> bytes:
-    """Compressed, byte planes apart: the high bytes of most ids are zero."""
-    planes = ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(ids).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
-
-
-def unpacked_ids(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    planes = pa.decompress(data[8:], 4 * n, codec="zstd", asbytes=True)
-    return np.frombuffer(planes, np.uint8).reshape(4, n).T.copy().view("<u4").ravel().astype(np.int32)
-
-
-def contexts_of(ids: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """The context of each token: the class of the word before it, 0 at the start."""
-    return np.r_[0, after[ids[:-1]]].astype(np.int64)
-
-
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents (ids set) and of the block's words (word set)."""
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    chunk, state = 0, {}
-
-    def start() -> None:
-        state.update(words={END: 0}, after=[0], docs=[], tokens=0, counts=np.empty(0, np.int64), n=np.empty(0, np.int64), pending=[])
-
-    def fold() -> None:
-        """Counts of (word, context) so far, as sorted keys."""
-        if state["pending"]:
-            k, n = np.unique(np.concatenate(state["pending"]), return_counts=True)
-            keys, inverse = np.unique(np.r_[state["counts"], k], return_inverse=True)
-            state["n"] = np.bincount(inverse, np.r_[state["n"], n], len(keys)).astype(np.int64)
-            state["counts"], state["pending"] = keys, []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        fold()
-        block = part << 24 | chunk
-        docs, words = state["docs"], list(state["words"])
-        for at in range(0, len(docs), 2000):
-            some = docs[at : at + 2000]
-            yield _rows(block, [d[0] for d in some], [d[1] for d in some], [d[2] for d in some], None, None, None, None)
-        lid, context = state["counts"] // CONTEXTS, state["counts"] % CONTEXTS
-        first = np.searchsorted(lid, np.arange(len(words) + 1))
-        for at in range(0, len(words), 50_000):
-            to = min(at + 50_000, len(words))
-            a, b = first[at], first[to]
-            offsets = pa.array((first[at : to + 1] - a).astype(np.int32))
-            yield _rows(
-                block, None, None, None, words[at:to], np.arange(at, to), pa.ListArray.from_arrays(offsets, pa.array(context[a:b].astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(state["n"][a:b]))
-            )
-
-    start()
-    for b in batches:
-        for doc_id, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            known, after = state["words"], state["after"]
-            ws = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-            ids = np.empty(len(ws) + 1, np.int32)
-            for k, w in enumerate(ws):
-                i = known.get(w)
-                if i is None:
-                    i = known[w] = len(known)
-                    after.append(1 + w[-1] % (CONTEXTS - 1))
-                ids[k] = i
-            ids[-1] = 0
-            state["docs"].append((doc_id, held, packed_ids(ids)))
-            state["tokens"] += len(ids)
-            if not held:
-                keys = np.array([after[i] for i in ids[:-1].tolist()], np.int64)
-                state["pending"].append(ids.astype(np.int64) * CONTEXTS + np.r_[0, keys].astype(np.int64))
-                if len(state["pending"]) >= 500:
-                    fold()
-            if state["tokens"] >= BLOCK_TOKENS or len(known) >= BLOCK_WORDS:
-                yield from flush()
-                chunk += 1
-                start()
-    if state["docs"]:
-        yield from flush()
-
-
-_NUMBERED = "block long, doc_id long, held boolean, ids binary, word binary, lid int, contexts array<int>, counts array<long>"
-
-
-def _rows(block, doc_id, held, ids, word, lid, contexts, counts) -> pa.RecordBatch:
-    n = len(doc_id if doc_id is not None else word)
-    col = lambda v, t: pa.nulls(n, t) if v is None else v if isinstance(v, pa.Array) else pa.array(v, t)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(n, block), pa.int64()),
-            col(doc_id, pa.int64()),
-            col(held, pa.bool_()),
-            col(ids, pa.binary()),
-            col(word, pa.binary()),
-            col(lid, pa.int32()),
-            col(contexts, pa.list_(pa.int32())),
-            col(counts, pa.list_(pa.int64())),
-        ],
-        names=["block", "doc_id", "held", "ids", "word", "lid", "contexts", "counts"],
-    )
-
-
-def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after seating each dish's customers one by one.
-
-    ``weight`` is (concentration + discount * tables of the other dishes) times
-    the parent's probability of the dish. A newcomer opens a table with
-    probability weight / (weight + seated - discount * tables); its own tables
-    add to the weight's first factor only slightly and are left out.
+#: Concentrations of the contexts and of their parent.
+THETA, THETA0 = 1.0, 1.0
+ROUNDS, BURN_IN = 4, 1
+#: A block ends when it holds so many tokens; a bucket is meant to hold so many.
+BLOCK_TOKENS, BUCKET_TOKENS = 2_500_000, 2_000_000
+#: A word with this share of a block's tokens is reported as perhaps common.
+HEAVY = 1 / 32768
+#: Dishes of more customers are sampled by Metropolis steps.
+SMALL = 64
+STEPS = 12
+#: Up to so many tables Stirling numbers of many customers are summed, as the saddle point is off there.
+FEW = 8
+#: The end token's hash.
+END = np.uint64(0)
+
+# Kinds of rows between the steps.
+_STATIC, _HEAVY, _WORDS, _TABLES, _PARENT, _BACK, _STATE, _ASKED, _SUM = range(9)
+_ROW = "kind int, bucket int, wb int, block long, u long, x long, data binary"
+_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+_NAMES = ["kind", "bucket", "wb", "block", "u", "x", "data"]
+_CODES = ["u1", "<u4", "<u8", "<f4", "<f8"]
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes: byte planes apart, compressed, since the high bytes of most numbers are zero."""
+    out = []
+    for a in arrays:
+        code = _CODES.index(a.dtype.str.lstrip("|"))
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()
+        data = pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
+        out += [code.to_bytes(1, "little"), len(a).to_bytes(8, "little"), len(data).to_bytes(8, "little"), data]
+    return b"".join(out)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        kind, n, size = np.dtype(_CODES[data[at]]), int.from_bytes(data[at + 1 : at + 9], "little"), int.from_bytes(data[at + 9 : at + 17], "little")
+        at += 17
+        planes = pa.decompress(data[at : at + size], n * kind.itemsize, codec="zstd", asbytes=True) if n else b""
+        out.append(np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T.copy().view(kind).ravel())
+        at += size
+    return out
+
+
+def _rows(rows: list[dict]) -> pa.Table:
+    return pa.table({n: pa.array([r.get(n) for r in rows], t) for n, t in zip(_NAMES, _TYPES, strict=True)})
+
+
+def _distinct(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (u, w), and where each distinct pair begins in it."""
+    order = np.lexsort((w, u))
+    u, w = u[order], w[order]
+    return order, np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])][: len(u)])
+
+
+def _runs(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and their lengths."""
+    at = np.flatnonzero(np.r_[True, u[1:] != u[:-1]][: len(u)])
+    return at, np.diff(np.r_[at, len(u)])
+
+
+def _held(u: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of ``u`` are among sorted ``some``."""
+    if not len(some):
+        return np.zeros(len(u), bool)
+    return some[np.minimum(np.searchsorted(some, u), len(some) - 1)] == u
+
+
+def _bucket(u: np.ndarray, w: np.ndarray, buckets: int, heavy: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        key = np.where(_held(u, heavy), _mix(u + w * np.uint64(0x9E3779B97F4A7C15)), _mix(u))
+    return ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _word_bucket(w: np.ndarray, buckets: int) -> np.ndarray:
+    return ((w >> np.uint64(17)) % np.uint64(buckets)).astype(np.int64)
+
+
+# --- step 1: blocks, buckets ---------------------------------------------------
+
+
+def _tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(texts, tokens' hashes with each text's end, tokens a text), some texts at a time."""
+    for chunk in chunks_of(texts):
+        w, at = batch_words(chunk)
+        sizes = np.diff(at) + 1
+        ends = np.cumsum(sizes) - 1
+        out = np.empty(len(w) + len(sizes), np.uint64)
+        word = np.ones(len(out), bool)
+        word[ends] = False
+        out[word], out[ends] = w, END
+        yield len(sizes), out, sizes
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with a share of ``HEAVY`` of some tokens (u, x), and the number of tokens (u null).
+
+    A word of twice that share of all tokens is reported with half its count at least.
     """
-    tables = np.minimum(customers, 1).astype(np.float64)
-    seated = tables.copy()
-    active = np.flatnonzero(customers > 1)
-    while len(active):
-        n = seated[active]
-        group = np.where(n < 64, 1, np.minimum(np.floor(n / 16), customers[active] - n)).astype(np.int64)
-        p = weight[active] / (weight[active] + n - discount * tables[active])
-        tables[active] += rng.binomial(group, np.clip(p, 0, 1))
-        seated[active] += group
-        active = active[seated[active] < customers[active]]
-    return tables
-
-
-def _sweeps(totals: dict, round_: int):
-    """Averages over sweeps of a map over words, given the totals of the last round."""
-    d, d0, theta = totals["d"], totals["d0"], CONCENTRATION
-    per_context = theta + d * np.array(totals["tables"])
-    base = 1.0 / (totals["V"] + 1)
+    some, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        names, n = np.unique(np.concatenate(some), return_counts=True)
+        many = n >= HEAVY * size
+        return pa.RecordBatch.from_arrays([pa.array([*names[many].view(np.int64).tolist(), None], pa.int64()), pa.array([*n[many].tolist(), size], pa.int64())], names=["u", "x"])
+
+    for b in batches:
+        for _, w, _ in _tokens(b.column(0)):
+            some.append(w)
+            size += len(w)
+            if size >= BLOCK_TOKENS:
+                yield out()
+                some, size = [], 0
+    if size:
+        yield out()
+
+
+_BLOCKS = "block long, bucket int, data binary, doc_ids array<long>, held array<boolean>, sizes array<int>"
+
+
+def _blocks(buckets: int, heavy: np.ndarray):
+    """Documents (doc_id, held, text) to a block's documents, as numbers of its pairs, and its pairs by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, chunk = TaskContext.get().partitionId(), 0
+        ids, held, sizes, tokens, size = [], [], [], [], 0
+
+        def row(block: int, n: int, **cols) -> pa.RecordBatch:
+            kinds = {"bucket": pa.int32(), "data": pa.binary(), "doc_ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int32())}
+            return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), *(pa.array(cols.get(k, [None] * n), t) for k, t in kinds.items())], names=["block", *kinds])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            block = part << 24 | chunk
+            w, n = np.concatenate(tokens), np.concatenate(sizes)
+            u = np.r_[END, w[:-1]]  # the end of one text stands before the next
+            order, first = _distinct(u, w)
+            train = np.repeat(~np.array(held, bool), n)[order]
+            count = np.add.reduceat(train.astype(np.uint32), first, dtype=np.uint32)
+            u, w = u[order[first]], w[order[first]]
+            b = _bucket(u, w, buckets, heavy)
+            by = np.argsort(b, kind="stable")
+            rank = np.empty(len(by), np.uint32)
+            rank[by] = np.arange(len(by), dtype=np.uint32)
+            numbers = np.empty(len(order), np.uint32)
+            numbers[order] = np.repeat(rank, np.diff(np.r_[first, len(order)]))
+            u, w, count, b = u[by], w[by], count[by], b[by]
+            at, lengths = _runs(b)
+            for s, e in zip(at.tolist(), (at + lengths).tolist()):
+                head, run_ = _runs(u[s:e])
+                yield row(block, 1, bucket=[int(b[s])], data=[packed(u[s:e][head], run_.astype(np.uint32), w[s:e], count[s:e])])
+            begins = np.r_[0, np.cumsum(n)]
+            for k in range(0, len(ids), 5000):
+                to = min(k + 5000, len(ids))
+                yield row(block, 1, data=[packed(numbers[begins[k] : begins[to]])], doc_ids=[ids[k:to]], held=[held[k:to]], sizes=[n[k:to]])
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            rng = np.random.default_rng([round_, zlib.crc32(b.column(0)[0].as_py()), b.num_rows])
-            lists = b.column(1)
-            context = lists.flatten().field("context").to_numpy(zero_copy_only=False)
-            c = lists.flatten().field("c").to_numpy(zero_copy_only=False).astype(np.float64)
-            size = np.diff(lists.offsets.to_numpy())
-            owner = np.repeat(np.arange(len(size)), size)
-            t = np.minimum(c, 1)
-            c0 = np.bincount(owner, t, len(size))
-            t0 = np.minimum(c0, 1)
-            sum_t, sum_t0, sum_c0 = np.zeros(len(c)), np.zeros(len(size)), np.zeros(len(size))
-            for sweep in range(SWEEPS):
-                p = (c0 - d0 * t0 + (theta + d0 * totals["T0"]) * base) / (theta + totals["C0"])
-                t = seat(c, per_context[context] * p[owner], d, rng)
-                c0 = np.bincount(owner, t, len(size))
-                t0 = seat(c0, np.full(len(size), (theta + d0 * totals["T0"]) * base), d0, rng)
-                if sweep >= BURN_IN:
-                    sum_t, sum_t0, sum_c0 = sum_t + t, sum_t0 + t0, sum_c0 + c0
-            n = SWEEPS - BURN_IN
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), lists, pa.ListArray.from_arrays(pa.array((lists.offsets.to_numpy() - lists.offsets[0].as_py()).astype(np.int32)), pa.array(sum_t / n)), pa.array(sum_c0 / n), pa.array(sum_t0 / n)],
-                names=["word", "seats", "tables", "c0", "t0"],
-            )
+            doc_ids, out, done = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
+            for k, w, n in _tokens(b.column(2)):
+                ids += doc_ids[done : done + k]
+                held += out[done : done + k]
+                done += k
+                tokens.append(w)
+                sizes.append(n)
+                size += len(w)
+                if size >= BLOCK_TOKENS:
+                    yield from flush()
+                    chunk, size = chunk + 1, 0
+                    for x in (ids, held, sizes, tokens):
+                        x.clear()
+        if ids:
+            yield from flush()
 
     return run
 
 
-_SEATS = "word binary, seats array<struct<context:int,c:long>>"
-
-
-def fit(counts: DataFrame) -> tuple[DataFrame, dict]:
-    """``counts`` (word, seats) to averaged seatings and the model's totals."""
-    each = counts.select("word", F.explode("seats").alias("s"))
-    per_word = counts.select(F.aggregate("seats", F.lit(0).cast("long"), lambda n, s: n + s["c"]).alias("c"), F.size("seats").alias("k"))
-    w = per_word.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("k") == 1), F.count_if(F.col("k") == 2)).first()
-    rows = each.groupBy("s.context").agg(F.sum("s.c").alias("c"), F.count("*").alias("t"), F.count_if(F.col("s.c") == 1).alias("n1"), F.count_if(F.col("s.c") == 2).alias("n2")).collect()
-    by = {r.context: r for r in rows}
-    discount = lambda n1, n2: min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
-    column = lambda name: [float(by[k][name]) if k in by else 0.0 for k in range(CONTEXTS)]
-    totals = {"V": w[0], "N": int(w[1]), "d": discount(sum(column("n1")), sum(column("n2"))), "d0": discount(w[2], w[3]), "customers": column("c"), "tables": column("t"), "T0": float(w[0]), "C0": sum(column("t"))}
-    seated = None
-    for r in range(ROUNDS):
-        if seated is not None:
-            discard(seated)
-        seated = written(counts.mapInArrow(_sweeps(dict(totals), r), f"{_SEATS}, tables array<double>, c0 double, t0 double"))
-        sums = seated.select("c0", "t0", F.explode(F.arrays_zip(F.col("seats.context").alias("k"), "tables")).alias("z")).groupBy("z.k").agg(F.sum("z.tables").alias("t")).collect()
-        by_context = {x.k: x.t for x in sums}
-        totals["tables"] = [by_context.get(k, 0.0) for k in range(CONTEXTS)]
-        top = seated.agg(F.sum("c0"), F.sum("t0")).first()
-        totals["C0"], totals["T0"] = float(top[0] or 0), float(top[1] or 0)
-    return seated, totals
-
-
-def _probabilities(totals: dict) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weight of the parent in each context, each context's divisor, the parent's probability of an unknown token."""
-    divisor = CONCENTRATION + np.array(totals["customers"])
-    back = (CONCENTRATION + totals["d"] * np.array(totals["tables"])) / divisor
-    unknown = (CONCENTRATION + totals["d0"] * totals["T0"]) / ((totals["V"] + 1) * (CONCENTRATION + totals["C0"]))
-    return back, divisor, unknown
-
-
-def _scorer(totals: dict):
-    back, divisor, unknown = _probabilities(totals)
-    V, N = totals["V"], totals["N"]
-
-    def run(docs: pa.Table, model: pa.Table) -> pa.Table:
-        words = int(pa.compute.max(model["lid"]).as_py() or 0) + 1 if model.num_rows else 1
-        held_ids = [unpacked_ids(x) for x in docs["ids"].to_pylist()]
-        size = max([words, *(int(i.max()) + 1 for i in held_ids)])
-        c, p, after = np.zeros(size), np.full(size, unknown), np.zeros(size, np.int64)
-        keys, gain = np.empty(0, np.int64), np.empty(0)
-        if model.num_rows:
-            lid = model["lid"].to_numpy()
-            after[lid] = model["after"].to_numpy()
-            known = model["c"].to_numpy() > 0
-            c[lid], p[lid] = model["c"].to_numpy(), np.where(known, model["p"].to_numpy(), unknown)
-            a = [np.frombuffer(x or b"", np.float32) for x in model["a"].to_pylist()]
-            k = [np.frombuffer(x or b"", np.uint8) for x in model["k"].to_pylist()]
-            keys = np.repeat(lid.astype(np.int64), [len(x) for x in k]) * CONTEXTS + np.concatenate(k).astype(np.int64)
-            gain = np.concatenate(a).astype(np.float64)
-            order = np.argsort(keys)
-            keys, gain = keys[order], gain[order]
-        base = np.log10((c + 1) / (N + 1 * (V + 1)))
-        n, seen, plain, score = [], [], [], []
-        for ids in held_ids:
-            context = contexts_of(ids, after)
-            key = ids.astype(np.int64) * CONTEXTS + context
-            own = np.zeros(len(ids))
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                own = np.where(keys[at] == key, gain[at], 0.0)
-            n.append(len(ids))
-            seen.append(int((c[ids] > 0).sum()))
-            plain.append(math.fsum(base[ids].tolist()))
-            score.append(float(np.log10(own + back[context] * p[ids]).sum()))
-        return pa.table(
-            {
-                "doc_id": docs["doc_id"],
-                "held_out": docs["held"],
-                "n_tokens": pa.array(n, pa.int64()),
-                "n_known": pa.array(seen, pa.int64()),
-                "train_tokens": pa.array([N] * len(n), pa.int64()),
-                "base_score": pa.array(plain, pa.float64()),
-                "score": pa.array(score, pa.float64()),
-            }
-        )
+def _group(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``f`` for ``applyInArrow``, giving freed memory back after a group."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = f(t)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # no such call outside glibc
+            pass
+        return out
 
     return run
 
 
-def _packed(totals: dict):
-    """Model rows for joining: word, c, p, and its contexts' own parts as packed bytes."""
-    _, divisor, _ = _probabilities(totals)
-    d, d0, theta = totals["d"], totals["d0"], CONCENTRATION
+def _pairs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    parts = [unpacked(x) for x in blobs]
+    u = np.concatenate([np.repeat(p[0], p[1].astype(np.int64)) for p in parts])
+    return u, np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]).astype(np.int64), [len(p[2]) for p in parts]
+
+
+class Bucket:
+    """A bucket's pairs: contexts with runs of words (as places in ``words``) and training counts."""
+
+    def __init__(self, data: bytes):
+        self.contexts, runs, self.words, at, c = unpacked(data)
+        self.at, self.c = at.astype(np.int64), c.astype(np.int64)
+        self.runs = runs.astype(np.int64)
+        self.begins = np.cumsum(self.runs) - self.runs
+        self.many = np.flatnonzero(self.c > 1)
+
+    def by_context(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.begins) if len(values) else values
+
+    def by_word(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, values, len(self.words)).astype(np.uint64)
+
+    def totals(self, values: np.ndarray, heavy: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Of each pair's whole context; those of heavy ones are ``known``."""
+        out = self.by_context(values)
+        hot = _held(self.contexts, heavy)
+        out[hot] = known[np.searchsorted(heavy, self.contexts[hot])]
+        return np.repeat(out, self.runs)
+
+    def told(self, bucket: int, buckets: int, t: np.ndarray, heavy: np.ndarray, names: bool = False) -> list[dict]:
+        """Rows of tables by word for the words' buckets, and by heavy context; with ``names`` the words and counts too."""
+        wb = _word_bucket(self.words, buckets)
+        at, lengths = _runs(wb)
+        tables, counts = self.by_word(t), self.by_word(self.c) if names else None
+        rows = []
+        for s, e in zip(at.tolist(), (at + lengths).tolist()):
+            rows.append({"kind": _TABLES, "bucket": bucket, "wb": int(wb[s]), "data": packed(tables[s:e])})
+            if names:
+                rows.append({"kind": _WORDS, "bucket": bucket, "wb": int(wb[s]), "data": packed(self.words[s:e], counts[s:e])})
+        hot = np.flatnonzero(_held(self.contexts, heavy))
+        sums, customers = self.by_context(t)[hot].tolist(), self.by_context(self.c)[hot].tolist()
+        for k, x, y in zip(self.contexts[hot].view(np.int64).tolist(), sums, customers):
+            rows.append({"kind": _HEAVY, "u": k, "x": x})
+            if names:
+                rows.append({"kind": _HEAVY, "u": k, "bucket": 0, "x": y})
+        return [*rows, {"kind": _SUM, "u": 0, "x": int(t.sum())}]
+
+
+def _merge(buckets: int, heavy: np.ndarray):
+    def run(t: pa.Table) -> pa.Table:
+        bucket = t["bucket"][0].as_py()
+        u, w, c, _ = _pairs(t["data"].to_pylist())
+        order, first = _distinct(u, w)
+        c = np.add.reduceat(c[order], first)
+        u, w = u[order[first]], w[order[first]]
+        words = np.unique(w)
+        by = np.argsort(_word_bucket(words, buckets), kind="stable")
+        place = np.empty(len(by), np.uint32)
+        place[by] = np.arange(len(by), dtype=np.uint32)
+        head, runs = _runs(u)
+        data = packed(u[head], runs.astype(np.uint32), words[by], place[np.searchsorted(words, w)], c.astype(np.uint64))
+        rows = Bucket(data).told(bucket, buckets, np.minimum(c, 1), heavy, names=True)
+        sums = {1: int((c == 1).sum()), 2: int((c == 2).sum()), 3: int(c.sum())}
+        return _rows([{"kind": _STATIC, "bucket": bucket, "data": data}, *rows, *({"kind": _SUM, "u": k, "x": x} for k, x in sums.items())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists, flat = b.column(1), b.column(1).flatten()
-            offsets = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
-            context = flat.field("context").to_numpy(zero_copy_only=False)
-            c = flat.field("c").to_numpy(zero_copy_only=False).astype(np.float64)
-            t = b.column(2).flatten().to_numpy(zero_copy_only=False)
-            own = ((c - d * t) / divisor[context]).astype(np.float32)
-            k8 = context.astype(np.uint8)
-            p = (b.column(3).to_numpy() - d0 * b.column(4).to_numpy() + (theta + d0 * totals["T0"]) / (totals["V"] + 1)) / (theta + totals["C0"])
-            total = np.add.reduceat(c, offsets[:-1]) if len(c) else np.empty(0)
-            spans = list(zip(offsets, offsets[1:]))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(total.astype(np.int64)), pa.array(p), pa.array([k8[x:y].tobytes() for x, y in spans], pa.binary()), pa.array([own[x:y].tobytes() for x, y in spans], pa.binary())],
-                names=["word", "c", "p", "k", "a"],
-            )
+    return run
+
+
+# --- step 2: tables ------------------------------------------------------------
+
+
+def lgamma(x: np.ndarray) -> np.ndarray:
+    """By Stirling's series, beyond eight factors."""
+    x = np.asarray(x, np.float64)
+    shift = np.zeros_like(x)
+    for _ in range(8):
+        low = x < 8
+        shift = np.where(low, shift - np.log(np.where(low, x, 1.0)), shift)
+        x = np.where(low, x + 1, x)
+    return shift + (x - 0.5) * np.log(x) - x + 0.918938533204672742 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+
+
+@lru_cache(8)
+def stirling(d: float, most: int = SMALL) -> np.ndarray:
+    """log S(c, t) for c, t up to ``most``: S(c + 1, t) = S(c, t - 1) + (c - d t) S(c, t)."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[0, 0] = 0.0
+    for c in range(most):
+        t = np.arange(1, c + 2)
+        with np.errstate(divide="ignore"):
+            out[c + 1, 1 : c + 2] = np.logaddexp(out[c, t - 1], np.log(np.maximum(c - d * t, 0)) + out[c, t])
+    return out
+
+
+@lru_cache(8)
+def _saddle(d: float) -> tuple[np.ndarray, ...]:
+    """Of z along the saddle point of c! / t! [z**c] g(z)**t, g(z) = (1 - (1 - z)**d) / d: log(c / t - 1), the exponent for one table and its slope, log of the variance."""
+    s = np.linspace(-14, 34, 6000)
+    log_y = -np.logaddexp(0, s)  # y = 1 - z
+    z = -np.expm1(log_y)
+    g = -np.expm1(d * log_y) / d
+    h = z * np.exp((d - 1) * log_y) / g
+    ok = h - 1 > 1e-7
+    z, g, h, log_y = z[ok], g[ok], h[ok], log_y[ok]
+    spread = h * (1 + (1 - d) * z * np.exp(-log_y) - h)
+    x = np.log(h - 1)
+    return x, np.log(g) - h * np.log(z), -np.log(z) * (h - 1), np.log(np.maximum(spread, 1e-300))
+
+
+def _few_tables(c: np.ndarray, t: int, d: float) -> np.ndarray:
+    """log S(c, t) of a small t: the sum over j of (-1)**j binom(t, j) gamma(c - j d) / gamma(-j d), over d**t t!."""
+    total = np.zeros(len(c))
+    for j in range(1, t + 1):
+        if abs(j * d - round(j * d)) > 1e-9:  # else gamma has a pole there
+            total += (-1) ** j * math.comb(t, j) / math.gamma(-j * d) * np.exp(lgamma(c - j * d) - lgamma(c - d))
+    return np.log(np.maximum(total, 1e-300)) + lgamma(c - d) - t * math.log(d) - math.lgamma(t + 1)
+
+
+def log_stirling(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log S(c, t) of large c, 1 <= t <= c: by the saddle point, of few tables by their sum."""
+    x, value, slope, spread = _saddle(d)
+    at = np.clip(np.log(np.maximum(c / t - 1, 1e-300)), x[0], x[-1])
+    k = np.clip(np.searchsorted(x, at) - 1, 0, len(x) - 2)
+    step = x[k + 1] - x[k]
+    f = (at - x[k]) / step
+    hermite = value[k] * (1 + 2 * f) * (1 - f) ** 2 + slope[k] * step * f * (1 - f) ** 2 + value[k + 1] * f * f * (3 - 2 * f) - slope[k + 1] * step * f * f * (1 - f)
+    out = lgamma(c + 1.0) - lgamma(t + 1.0) + t * hermite - 0.5 * (np.log(2 * np.pi * t) + spread[k] + (spread[k + 1] - spread[k]) * f)
+    for k in range(1, FEW + 1):
+        if (few := t == k).any():
+            out[few] = _few_tables(c[few], k, d)
+    return np.where(t >= c, 0.0, out)
+
+
+def draw_tables(c: np.ndarray, other: np.ndarray, p: np.ndarray, t: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes with ``c`` customers, given the restaurants' other tables and the parent's probabilities; ``t`` are the last ones."""
+    out = np.minimum(c, 1)
+    few = np.flatnonzero((c > 1) & (c <= SMALL))
+    few = few[np.argsort(c[few], kind="stable")]
+    table = stirling(d)
+    at, lengths = _runs(c[few])
+    for s, e in zip(at.tolist(), (at + lengths).tolist()):
+        rows = few[s:e]
+        n = int(c[rows[0]])
+        log = np.cumsum(np.log(theta + d * (other[rows][:, None] + np.arange(n))) + np.log(p[rows])[:, None], 1) + table[n, 1 : n + 1]
+        reach = np.cumsum(np.exp(log - log.max(1, keepdims=True)), 1)
+        out[rows] = 1 + (reach < (rng.random(len(rows)) * reach[:, -1])[:, None]).sum(1)
+    many = np.flatnonzero(c > SMALL)
+    if len(many):
+        n, o, log_p = c[many].astype(np.float64), other[many].astype(np.float64), np.log(p[many]) + np.log(d)
+        now = t[many].astype(np.float64)
+        fresh = now <= 1
+        if fresh.any():  # about as many as customers who come one by one would open
+            seen, tables = np.ones(fresh.sum()), np.ones(fresh.sum())
+            grow = (n[fresh]) ** (1 / 40)
+            for _ in range(40):
+                weight = (theta + d * (o[fresh] + tables)) * p[many][fresh]
+                tables += (grow - 1) * seen * weight / (weight + np.maximum(seen - d * tables, 1e-9))
+                seen *= grow
+            now[fresh] = np.clip(np.round(tables), 1, n[fresh])
+        weigh = lambda k: log_stirling(n, k, d) + k * log_p + lgamma(theta / d + o + k)
+        current = weigh(now)
+        for step in range(STEPS):
+            new = now + np.round(rng.standard_normal(len(n)) * np.maximum(1.0, n ** (step % 3 * 0.25)))
+            ok = (new >= 1) & (new <= n)
+            trial = weigh(np.where(ok, new, now))
+            ok &= np.log(rng.random(len(n))) < trial - current
+            now, current = np.where(ok, new, now), np.where(ok, trial, current)
+        out[many] = now.astype(out.dtype)
+    return out
+
+
+def _discount(n1: int, n2: int) -> float:
+    return round(min(0.95, max(0.05, n1 / (n1 + 2 * n2))), 4) if n1 else 0.5
+
+
+def _parent(m: dict, round_: int):
+    """Rows of a word bucket (words, tables, the last state) to its new state and, for each bucket, customers less discounts of its words."""
+
+    def run(t: pa.Table) -> pa.Table:
+        wb = t["wb"][0].as_py()
+        by: dict[int, dict[int, bytes]] = {_WORDS: {}, _TABLES: {}, _PARENT: {}}
+        for kind, bucket, data in zip(t["kind"].to_pylist(), t["bucket"].to_pylist(), t["data"].to_pylist(), strict=True):
+            by[kind][bucket or 0] = data
+        buckets = sorted(by[_WORDS])
+        named = [unpacked(by[_WORDS][b]) for b in buckets]
+        words, place = np.unique(np.concatenate([x[0] for x in named]), return_inverse=True)
+        c = np.bincount(place, np.concatenate([x[1] for x in named]), len(words)).astype(np.uint64)
+        c0 = np.bincount(place, np.concatenate([unpacked(by[_TABLES][b])[0] for b in buckets]), len(words)).astype(np.int64)
+        t0 = np.minimum(c0, 1)
+        if by[_PARENT]:
+            rng = np.random.default_rng([round_, wb, 1])
+            t0 = unpacked(by[_PARENT][0])[0].astype(np.int64)
+            t0 = draw_tables(c0, np.maximum(m["T0"] - t0, 0), np.full(len(c0), 1 / (m["V"] + 1)), t0, m["d0"], THETA0, rng)
+        rows = [{"kind": _PARENT, "wb": wb, "data": packed(t0.astype(np.uint64))}]
+        sums = {4: int((c > 0).sum()), 5: int((c0 == 1).sum()), 6: int((c0 == 2).sum()), 7: int(t0.sum())}
+        rows += [{"kind": _SUM, "u": k, "x": x} for k, x in sums.items()]
+        at = 0
+        for b, x in zip(buckets, named, strict=True):
+            own = place[at : at + len(x[0])]
+            at += len(x[0])
+            rows.append({"kind": _BACK, "bucket": b, "wb": wb, "data": packed(c0[own].astype(np.uint64), t0[own].astype(np.uint64), c[own])})
+        return _rows(rows)
+
+    return run
+
+
+def _read(t: pa.Table, m: dict) -> tuple[int, Bucket, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket's rows: number, pairs, tables, sums of predictive probabilities, the parent's probabilities and the counts of its words."""
+    kinds = t["kind"].to_numpy()
+    data, wb = t["data"].to_pylist(), t["wb"].to_pylist()
+    b = Bucket(data[int(np.flatnonzero(kinds == _STATIC)[0])])
+    back = [unpacked(data[k]) for k in sorted(np.flatnonzero(kinds == _BACK), key=lambda k: wb[k])]
+    c0, t0, c = (np.concatenate([x[k] for x in back]) for k in range(3))
+    p = (c0 - m["d0"] * t0 + (THETA0 + m["d0"] * m["T0"]) / (m["V"] + 1)) / (THETA0 + m["C0"])
+    tables, sums = np.minimum(b.c, 1), np.zeros(len(b.c), np.float32)
+    for k in np.flatnonzero(kinds == _STATE):
+        t_, sums = unpacked(data[k])
+        tables[b.many] = t_
+        sums = sums if len(sums) else np.zeros(len(b.c), np.float32)
+    return t["bucket"][0].as_py(), b, tables, sums, p, c
+
+
+def _predictive(b: Bucket, t: np.ndarray, all_tables: np.ndarray, customers: np.ndarray, p: np.ndarray, m: dict) -> np.ndarray:
+    return (b.c - m["d"] * t + (THETA + m["d"] * all_tables) * p[b.at]) / (THETA + customers)
+
+
+def _contexts(m: dict, buckets: int, heavy: np.ndarray, round_: int):
+    """A bucket's rows to its tables drawn anew, told to the words; sums of predictive probabilities go on."""
+
+    def run(t: pa.Table) -> pa.Table:
+        bucket, b, tables, sums, p, _ = _read(t, m)
+        all_tables = b.totals(tables, heavy, m["heavy_tables"])
+        if round_ > BURN_IN + 1:
+            sums = sums + _predictive(b, tables, all_tables, b.totals(b.c, heavy, m["heavy_customers"]), p, m).astype(np.float32)
+        k = b.many
+        tables[k] = draw_tables(b.c[k], np.maximum(all_tables[k] - tables[k], 0), p[b.at[k]], tables[k], m["d"], THETA, np.random.default_rng([round_, bucket, 0]))
+        state = packed(tables[k].astype(np.uint64), sums if sums.any() else sums[:0])
+        return _rows([{"kind": _STATE, "bucket": bucket, "data": state}, *b.told(bucket, buckets, tables, heavy)])
+
+    return run
+
+
+def _answers(m: dict, heavy: np.ndarray):
+    """A bucket's rows and the blocks' pairs to averaged predictive probabilities and word counts, in the order asked."""
+
+    def run(t: pa.Table) -> pa.Table:
+        asked = t.filter(pa.compute.equal(t["kind"], _ASKED))
+        bucket, b, tables, sums, p, c = _read(t, m)
+        customers = b.totals(b.c, heavy, m["heavy_customers"])
+        mean = (sums + _predictive(b, tables, b.totals(tables, heavy, m["heavy_tables"]), customers, p, m)) / (ROUNDS - BURN_IN)
+        u, w, _, sizes = _pairs(asked["data"].to_pylist())
+        order, first = _distinct(u, w)  # the bucket's pairs are just these, in this order
+        number = np.empty(len(order), np.int64)
+        number[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
+        rows, at = [], 0
+        for block, n in zip(asked["block"].to_pylist(), sizes, strict=True):
+            own = number[at : at + n]
+            at += n
+            rows.append({"block": block, "bucket": bucket, "data": packed(mean[own].astype(np.float32), c[b.at[own]])})
+        return pa.table({"block": pa.array([r["block"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "data": pa.array([r["data"] for r in rows], pa.binary())})
+
+    return run
+
+
+def _sums(df: DataFrame) -> dict[int, int]:
+    return {r.u: int(r.x) for r in df.where(F.col("kind") == _SUM).groupBy("u").agg(F.sum("x").alias("x")).collect()}
+
+
+def fit(pairs: DataFrame, buckets: int, heavy: np.ndarray) -> tuple[DataFrame, dict, list[DataFrame]]:
+    """``pairs`` (bucket, data) to all that answers need, by bucket, the model's totals, and the tables to discard after."""
+    merged = written(pairs.groupBy("bucket").applyInArrow(_group(_merge(buckets, heavy)), _ROW))
+    of = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
+    place = {int(k): i for i, k in enumerate(heavy.view(np.int64).tolist())}
+
+    def heavy_sums(df: DataFrame) -> np.ndarray:
+        out = np.zeros(len(heavy), np.int64)
+        for r in of(df, _HEAVY).groupBy("u").agg(F.sum("x").alias("x")).collect() if len(heavy) else []:
+            out[place[r.u]] = r.x
+        return out
+
+    first = _sums(merged)
+    m: dict = {"N": first.get(3, 0), "d": _discount(first.get(1, 0), first.get(2, 0)), "C0": first.get(0, 0), "heavy_tables": heavy_sums(merged.where("bucket IS NULL")), "heavy_customers": heavy_sums(merged.where("bucket IS NOT NULL")), "V": 0, "T0": 0, "d0": 0.5}
+    tables = merged
+    parent = written(of(merged, _WORDS, _TABLES).groupBy("wb").applyInArrow(_group(_parent(dict(m), 0)), _ROW))
+    for r in range(1, ROUNDS + 2):
+        sums = _sums(parent)
+        m |= {"V": sums.get(4, 0), "T0": sums.get(7, 0)}
+        if r == 1:
+            m["d0"] = _discount(sums.get(5, 0), sums.get(6, 0))
+        known = of(merged, _STATIC).unionByName(of(parent, _BACK))
+        known = known if tables is merged else known.unionByName(of(tables, _STATE))
+        if r > ROUNDS:
+            return known, m, [merged, parent, tables]
+        new = written(known.groupBy("bucket").applyInArrow(_group(_contexts(dict(m), buckets, heavy, r)), _ROW))
+        m |= {"C0": _sums(new).get(0, 0), "heavy_tables": heavy_sums(new)}
+        told = of(merged, _WORDS).unionByName(of(new, _TABLES)).unionByName(of(parent, _PARENT))
+        last, parent = parent, written(told.groupBy("wb").applyInArrow(_group(_parent(dict(m), r)), _ROW))
+        discard(last)
+        if tables is not merged:
+            discard(tables)
+        tables = new
+    raise AssertionError
+
+
+# --- step 3: scores ------------------------------------------------------------
+
+
+def _scorer(m: dict):
+    N, V = m["N"], m["V"]
+
+    def run(t: pa.Table) -> pa.Table:
+        answers = t.filter(pa.compute.is_valid(t["bucket"])).sort_by("bucket")
+        parts = [unpacked(x) for x in answers["data"].to_pylist()]
+        own = np.log10(np.concatenate([x[0] for x in parts]).astype(np.float64))
+        c = np.concatenate([x[1] for x in parts]).astype(np.float64)
+        plain, known = np.log10((c + 1) / (N + V + 1)), (c > 0).astype(np.int64)
+        cols: dict[str, list] = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
+        docs = t.filter(pa.compute.is_null(t["bucket"]))
+        for data, ids, held, sizes in zip(*(docs[k].to_pylist() for k in ("data", "doc_ids", "held", "sizes")), strict=True):
+            numbers = unpacked(data)[0]
+            begins = np.cumsum(sizes) - sizes
+            cols["doc_id"] += ids
+            cols["held_out"] += held
+            cols["n_tokens"] += sizes
+            for k, values in (("n_known", known), ("base_score", plain), ("score", own)):
+                cols[k] += np.add.reduceat(values[numbers], begins).tolist()
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        out = pa.table({k: pa.array(v, kind) for (k, v), kind in zip(cols.items(), kinds, strict=True)})
+        return out.add_column(4, "train_tokens", pa.array([N] * len(out), pa.int64()))
 
     return run
 
 
 def score(docs: DataFrame, *, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
     """Trains on the documents whose crc32(id as text) modulo ``folds`` isn't ``held_out`` and scores all of them."""
+    spark = docs.sparkSession
+    text = F.col("text").cast("string")
+    found = written(docs.select(text.alias("text")).mapInArrow(trimmed(_common), "u long, x long"))
+    total = found.where("u IS NULL").agg(F.sum("x")).first()[0] or 0
+    common = [r.u for r in found.where("u IS NOT NULL").groupBy("u").agg(F.sum("x").alias("x")).where(F.col("x") >= HEAVY * total).collect()]
+    discard(found)
+    heavy = np.sort(np.array(common, np.int64).view(np.uint64))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TOKENS))
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held_out
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (held & F.col("doc_id").isNotNull()).alias("held"), F.col("text").cast("string").alias("text"))
-    numbered = written(read.mapInArrow(_number, _NUMBERED))
-    words = numbered.where("word is not null")
-    pairs = words.where(F.size("counts") > 0).select("word", F.arrays_zip("contexts", "counts").alias("z")).repartition("word").select("word", F.explode("z").alias("z"))
-    counts = written(
-        pairs.groupBy("word", F.col("z.contexts").alias("context")).agg(F.sum("z.counts").alias("c")).groupBy("word").agg(F.collect_list(F.struct("context", "c")).alias("seats"))
-    )
-    seated, totals = fit(counts)
-    discard(counts)
-    model = seated.mapInArrow(_packed(totals), "word binary, c long, p double, k binary, a binary")
-    after = F.when(F.length("word") == 0, F.lit(0)).otherwise(1 + F.pmod(F.conv(F.hex(F.substring("word", -1, 1)), 16, 10).cast("int"), F.lit(CONTEXTS - 1)))
-    answers = words.select(F.col("block").alias("at"), "lid", after.cast("long").alias("after"), "word").join(model, "word", "left").select("at", "lid", "after", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("p", F.lit(0.0)).alias("p"), "k", "a")
-    texts = numbered.where("ids is not null").select("block", "doc_id", "held", "ids")
-    return texts.groupBy("block").cogroup(answers.groupBy("at")).applyInArrow(
-        _scorer(totals), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    )
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (held & F.col("doc_id").isNotNull()).alias("held"), text.alias("text"))
+    blocks = written(read.mapInArrow(trimmed(_blocks(buckets, heavy)), _BLOCKS))
+    pairs = blocks.where("bucket IS NOT NULL")
+    known, m, done = fit(pairs.select("bucket", "data"), buckets, heavy)
+    none = lambda kind: F.lit(None).cast(kind)
+    asked = pairs.select(F.lit(_ASKED).alias("kind"), "bucket", none("int").alias("wb"), "block", none("long").alias("u"), none("long").alias("x"), "data")
+    answers = written(known.unionByName(asked).groupBy("bucket").applyInArrow(_group(_answers(dict(m), heavy)), "block long, bucket int, data binary"))
+    for df in done:
+        discard(df)
+    both = blocks.where("bucket IS NULL").unionByName(answers.select("block", "bucket", "data", none("array<bigint>").alias("doc_ids"), none("array<boolean>").alias("held"), none("array<int>").alias("sizes")))
+    out = both.groupBy("block").applyInArrow(_group(_scorer(m)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

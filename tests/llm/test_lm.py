@@ -8,6 +8,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from cardloom.llm import lm
 
 ROWS = [(1, "The the THE end", 1), (2, None, 1), (3, "", 1), (3, "É the\tzz\x00q", 1), (3, "É the\tzz\x00q", 1), (None, "null id", 1)]
@@ -38,27 +40,93 @@ def test_base_and_model(docs):
 
 
 def test_distribution(spark):
-    """In every context the probabilities of all known words and one unknown sum to 1."""
+    """In every context the averaged probabilities of all known words and one unknown sum to 1, a spread context's too."""
     rng = np.random.default_rng(0)
-    rows = [(f"w{i}".encode(), [(int(k), int(rng.integers(1, 300))) for k in rng.choice(lm.CONTEXTS, rng.integers(1, 9), replace=False)]) for i in range(400)]
-    seated, totals = lm.fit(spark.createDataFrame(rows, lm._SEATS).repartition(3))
-    back, divisor, unknown = lm._probabilities(totals)
-    model = seated.mapInArrow(lm._packed(totals), "word binary, c long, p double, k binary, a binary").collect()
-    sums = back * (sum(r.p for r in model) + unknown)
-    for r in model:
-        sums[np.frombuffer(r.k, np.uint8)] += np.frombuffer(r.a, np.float32)
-    assert np.allclose(sums, 1, atol=1e-4)
-
-
-def test_seating():
-    """Tables of a dish follow the Chinese restaurant: mean against direct simulation."""
+    contexts, words = (np.sort(rng.integers(1, 1 << 63, n, dtype=np.uint64)) for n in (20, 41))
+    heavy, buckets = contexts[3:4], 3
+    count = rng.integers(1, 300, (20, 41)) * (rng.random((20, 41)) < 0.3)
+    count[:, 40] = 0
+    u, w, c = np.repeat(contexts, 41), np.tile(words, 20), count.ravel().astype(np.uint32)
+    b = lm._bucket(u, w, buckets, heavy)
+    assert len(set(b[u == heavy[0]])) == buckets and all(len(set(b[u == x])) == 1 for x in contexts if x != heavy[0])
+    blobs = []
+    for k in range(buckets):
+        own = b == k
+        at, runs = lm._runs(u[own])
+        blobs.append((k, lm.packed(u[own][at], runs.astype(np.uint32), w[own], c[own])))
+    known, m, _ = lm.fit(spark.createDataFrame(blobs, "bucket int, data binary"), buckets, heavy)
+    none = lambda kind: F.lit(None).cast(kind)
+    asked = spark.createDataFrame(blobs, "bucket int, data binary").select(F.lit(lm._ASKED).alias("kind"), "bucket", none("int").alias("wb"), F.lit(1).cast("long").alias("block"), none("long").alias("u"), none("long").alias("x"), "data")
+    answers = known.unionByName(asked).groupBy("bucket").applyInArrow(lm._answers(m, heavy), "block long, bucket int, data binary").collect()
+    p, n = np.empty(len(u)), np.empty(len(u))
+    for r in answers:
+        p[b == r.bucket], n[b == r.bucket] = lm.unpacked(bytes(r.data))
+    assert m["N"] == c.sum() and m["V"] == (count.sum(0) > 0).sum()
+    assert (n == np.tile(count.sum(0), 20)).all() and (p > 0).all()
+    assert np.allclose(p.reshape(20, 41).sum(1), 1, atol=1e-5)
+
+
+def test_spread_contexts(docs, monkeypatch):
+    """Base figures and coverage stay the same when common words are spread over buckets and blocks are small."""
+    want = {(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in lm.score(docs).collect()}
+    monkeypatch.setattr(lm, "HEAVY", 1 / 50)
+    assert {(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in lm.score(docs).collect()} == want
+
+
+def test_stirling():
+    """The recurrence against counting seatings, the saddle point against the recurrence."""
+    d = 0.6
+
+    def weight(c, t, sizes=()):
+        """Sum over all ways to seat c customers at t tables of the product of (size - d)."""
+        if not c:
+            return float(len(sizes) == t)
+        total = weight(c - 1, t, (*sizes, 1)) if len(sizes) < t else 0.0
+        return total + sum((s - d) * weight(c - 1, t, (*sizes[:i], s + 1, *sizes[i + 1 :])) for i, s in enumerate(sizes))
+
+    for c in range(1, 7):
+        for t in range(1, c + 1):
+            assert math.isclose(weight(c, t), math.exp(lm.stirling(d)[c, t]), rel_tol=1e-9)
+    big = lm.stirling(d, 400)
+    for c in (80, 400):
+        t = np.arange(1, c - 1)
+        off = lm.log_stirling(np.full(len(t), float(c)), t.astype(float), d) - big[c, 1 : c - 1]
+        assert np.abs(off[: lm.FEW]).max() < 1e-6 and np.abs(off).max() < 0.08
+
+
+def test_tables():
+    """Tables of a dish: taking customers out and reseating them one by one gives the same distribution."""
+    d, theta, p, other, c = 0.5, 2.0, 0.05, 30, 40
     rng = np.random.default_rng(1)
-    got = lm.seat(np.full(4000, 40.0), np.full(4000, 2.0), 0.5, rng).mean()
-    sims = []
-    for _ in range(4000):
-        t = 1
-        for n in range(1, 40):
-            t += rng.random() < 2.0 / (2.0 + n - 0.5 * t)
-        sims.append(t)
-    assert abs(got - np.mean(sims)) < 0.3
-    assert 40 < lm.seat(np.array([1e5]), np.array([50.0]), 0.5, rng)[0] < 5000
+    sizes, seen = [c], []
+    for step in range(60_000):
+        k = rng.choice(len(sizes), p=np.array(sizes) / c)
+        sizes[k] -= 1
+        if not sizes[k]:
+            sizes.pop(k)
+        odds = np.array([s - d for s in sizes] + [(theta + d * (other + len(sizes))) * p])
+        k = rng.choice(len(odds), p=odds / odds.sum())
+        sizes = [*sizes, 1] if k == len(sizes) else [s + (i == k) for i, s in enumerate(sizes)]
+        if step > 2000:
+            seen.append(len(sizes))
+
+    def draw(c, t, n, small):
+        before, lm.SMALL = lm.SMALL, small
+        try:
+            out = np.full(n, t)
+            for _ in range(1 if c <= small else 12):
+                out = lm.draw_tables(np.full(n, c), np.full(n, other), np.full(n, p), out, d, theta, rng)
+            return out
+        finally:
+            lm.SMALL = before
+
+    exact, steps = draw(c, 1, 20_000, 64), draw(c, 1, 20_000, 8)
+    assert abs(exact.mean() - np.mean(seen)) < 0.25 and abs(exact.std() - np.std(seen)) < 0.25
+    assert abs(steps.mean() - exact.mean()) < 0.1 and abs(steps.std() - exact.std()) < 0.1
+    assert 20 < lm.draw_tables(np.array([10**5]), np.array([other]), np.array([p]), np.array([1]), d, theta, rng)[0] < 5000
+
+
+def test_packed():
+    for a in (np.arange(5, dtype=np.uint32), np.empty(0, np.uint64), np.array([1 << 63], np.uint64), np.array([0.5, -1], np.float32)):
+        x, y = lm.unpacked(lm.packed(a, a[:1]))
+        assert (x == a).all() and x.dtype == a.dtype and (y == a[:1]).all()

@@ -5,12 +5,13 @@ so contexts grow with the corpus; all share one parent over single tokens, whose
 base is uniform over the known tokens and one unknown. Customers of a context are
 its training tokens; the tables of all contexts are the parent's customers.
 
-1. Each block of documents is turned into pairs (preceding word, word), numbered
-   within the block. Its distinct pairs, with their training counts, go to
-   buckets by the preceding word as packed arrays: a pair costs some nine bytes,
-   never a row. Preceding words that hold over ``2 * HEAVY`` of all tokens are
-   spread by the pair instead, so no bucket holds a common word; of these words,
-   ``1 / HEAVY`` at most, the driver sums the table counts.
+1. Each block of documents lists its distinct words; one exchange counts them all
+   and gives each a number. Each block then becomes pairs (preceding word, word),
+   numbered within the block, and its distinct pairs, with their training counts, go
+   to buckets by the preceding word as packed arrays: a pair costs some four bytes,
+   never a row. Preceding words that hold over ``HEAVY`` of all tokens are spread by
+   the pair instead, so no bucket holds a common word; of these words, ``1 / HEAVY``
+   at most, the driver sums the table counts.
 2. Tables are sampled by Gibbs. The number of tables t at which c customers eat
    one dish in a restaurant has, given the restaurant's other tables T and the
    parent's probability p of the dish, a conditional proportional to
@@ -53,10 +54,12 @@ FOLDS, HELD_OUT = 7, 2
 #: Concentrations of the contexts and of their parent.
 THETA, THETA0 = 1.0, 1.0
 ROUNDS, BURN_IN = 4, 1
-#: A block ends when it holds so many tokens; a bucket is meant to hold so many.
-BLOCK_TOKENS, BUCKET_TOKENS = 2_500_000, 2_000_000
-#: A word with this share of a block's tokens is reported as perhaps common.
+#: A block ends when it holds so many tokens; a bucket is meant to hold so many bytes of text.
+BLOCK_TOKENS, BUCKET_BYTES = 2_500_000, 12_000_000
+#: Words with this share of all tokens are spread over buckets as contexts.
 HEAVY = 1 / 32768
+#: Answers are made for so many parts of the buckets in turn, which bounds what lies in shuffle files.
+PARTS = 4
 #: Dishes of more customers are sampled by Metropolis steps.
 SMALL = 64
 STEPS = 12
@@ -66,7 +69,7 @@ FEW = 8
 END = np.uint64(0)
 
 # Kinds of rows between the steps.
-_STATIC, _HEAVY, _WORDS, _TABLES, _PARENT, _BACK, _STATE, _ASKED, _SUM = range(9)
+_STATIC, _HEAVY, _WORDS, _TABLES, _PARENT, _BACK, _STATE, _ASKED, _SUM, _KNOWN, _TRAIN = range(11)
 _ROW = "kind int, bucket int, wb int, block long, u long, x long, data binary"
 _TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 _NAMES = ["kind", "bucket", "wb", "block", "u", "x", "data"]
@@ -126,7 +129,17 @@ def _bucket(u: np.ndarray, w: np.ndarray, buckets: int, heavy: np.ndarray) -> np
 
 
 def _word_bucket(w: np.ndarray, buckets: int) -> np.ndarray:
-    return ((w >> np.uint64(17)) % np.uint64(buckets)).astype(np.int64)
+    """Numbers are given by word buckets in turn."""
+    return (w % np.uint64(buckets)).astype(np.int64)
+
+
+def _rising(a: np.ndarray) -> np.ndarray:
+    """Sorted numbers as their steps, which are small."""
+    return np.diff(a, prepend=np.uint64(0)) if len(a) else a
+
+
+def _risen(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.uint64)
 
 
 # --- step 1: blocks, buckets ---------------------------------------------------
@@ -145,34 +158,16 @@ def _tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield len(sizes), out, sizes
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with a share of ``HEAVY`` of some tokens (u, x), and the number of tokens (u null).
-
-    A word of twice that share of all tokens is reported with half its count at least.
-    """
-    some, size = [], 0
+_BLOCKS = "block long, bucket int, data binary, doc_ids array<long>, held array<boolean>, sizes array<int>, base array<double>, known array<long>"
+_BLOCK_TYPES = {"bucket": pa.int32(), "data": pa.binary(), "doc_ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int32()), "base": pa.list_(pa.float64()), "known": pa.list_(pa.int64())}
 
-    def out() -> pa.RecordBatch:
-        names, n = np.unique(np.concatenate(some), return_counts=True)
-        many = n >= HEAVY * size
-        return pa.RecordBatch.from_arrays([pa.array([*names[many].view(np.int64).tolist(), None], pa.int64()), pa.array([*n[many].tolist(), size], pa.int64())], names=["u", "x"])
 
-    for b in batches:
-        for _, w, _ in _tokens(b.column(0)):
-            some.append(w)
-            size += len(w)
-            if size >= BLOCK_TOKENS:
-                yield out()
-                some, size = [], 0
-    if size:
-        yield out()
+def _block_row(block: int, **cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([cols.get(k)], t) for k, t in _BLOCK_TYPES.items())], names=["block", *_BLOCK_TYPES])
 
 
-_BLOCKS = "block long, bucket int, data binary, doc_ids array<long>, held array<boolean>, sizes array<int>"
-
-
-def _blocks(buckets: int, heavy: np.ndarray):
-    """Documents (doc_id, held, text) to a block's documents, as numbers of its pairs, and its pairs by bucket."""
+def _blocks(buckets: int):
+    """Documents (doc_id, held, text) to a block's documents, as places in its list of words, and this list by word bucket, with counts in all and in training tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -180,33 +175,22 @@ def _blocks(buckets: int, heavy: np.ndarray):
         part, chunk = TaskContext.get().partitionId(), 0
         ids, held, sizes, tokens, size = [], [], [], [], 0
 
-        def row(block: int, n: int, **cols) -> pa.RecordBatch:
-            kinds = {"bucket": pa.int32(), "data": pa.binary(), "doc_ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int32())}
-            return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), *(pa.array(cols.get(k, [None] * n), t) for k, t in kinds.items())], names=["block", *kinds])
-
         def flush() -> Iterator[pa.RecordBatch]:
-            block = part << 24 | chunk
-            w, n = np.concatenate(tokens), np.concatenate(sizes)
-            u = np.r_[END, w[:-1]]  # the end of one text stands before the next
-            order, first = _distinct(u, w)
-            train = np.repeat(~np.array(held, bool), n)[order]
-            count = np.add.reduceat(train.astype(np.uint32), first, dtype=np.uint32)
-            u, w = u[order[first]], w[order[first]]
-            b = _bucket(u, w, buckets, heavy)
-            by = np.argsort(b, kind="stable")
+            block, n = part << 24 | chunk, np.concatenate(sizes)
+            words, place, count = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+            train = np.bincount(place[np.repeat(~np.array(held, bool), n)], minlength=len(words))
+            wb = ((words >> np.uint64(17)) % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(wb, kind="stable")
             rank = np.empty(len(by), np.uint32)
             rank[by] = np.arange(len(by), dtype=np.uint32)
-            numbers = np.empty(len(order), np.uint32)
-            numbers[order] = np.repeat(rank, np.diff(np.r_[first, len(order)]))
-            u, w, count, b = u[by], w[by], count[by], b[by]
-            at, lengths = _runs(b)
+            at, lengths = _runs(wb[by])
             for s, e in zip(at.tolist(), (at + lengths).tolist()):
-                head, run_ = _runs(u[s:e])
-                yield row(block, 1, bucket=[int(b[s])], data=[packed(u[s:e][head], run_.astype(np.uint32), w[s:e], count[s:e])])
+                own = by[s:e]
+                yield _block_row(block, bucket=int(wb[own[0]]), data=packed(_rising(words[own]), count[own].astype(np.uint32), train[own].astype(np.uint32)))
             begins = np.r_[0, np.cumsum(n)]
             for k in range(0, len(ids), 5000):
                 to = min(k + 5000, len(ids))
-                yield row(block, 1, data=[packed(numbers[begins[k] : begins[to]])], doc_ids=[ids[k:to]], held=[held[k:to]], sizes=[n[k:to]])
+                yield _block_row(block, data=packed(rank[place[begins[k] : begins[to]]]), doc_ids=ids[k:to], held=held[k:to], sizes=n[k:to])
 
         for b in batches:
             doc_ids, out, done = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
@@ -228,6 +212,75 @@ def _blocks(buckets: int, heavy: np.ndarray):
     return run
 
 
+_NUMBERED = "block long, bucket int, data binary, kind int, x long"
+
+
+def _numbered(buckets: int, total: int):
+    """A word bucket's lists to numbers and training counts for each block; common words; sums of known words and training tokens."""
+
+    def run(t: pa.Table) -> pa.Table:
+        wb = t["bucket"][0].as_py()
+        parts = [unpacked(x) for x in t["data"].to_pylist()]
+        words, place = np.unique(np.concatenate([_risen(x[0]) for x in parts]), return_inverse=True)
+        count, train = (np.bincount(place, np.concatenate([x[k] for x in parts]), len(words)).astype(np.uint64) for k in (1, 2))
+        rows, at = [], 0
+        for block, x in zip(t["block"].to_pylist(), parts, strict=True):
+            own = place[at : at + len(x[0])]
+            at += len(own)
+            rows.append((block, wb, packed(_rising(own.astype(np.uint64)), train[own]), None, None))
+        number = np.arange(len(words), dtype=np.int64) * buckets + wb
+        rows += [(None, None, None, _HEAVY, k) for k in number[count >= HEAVY * total].tolist()]
+        rows += [(None, None, None, k, int(x)) for k, x in ((_KNOWN, (train > 0).sum()), (_TRAIN, train.sum()))]
+        cols = zip(*rows, strict=True)
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("block", "bucket", "data", "kind", "x"), cols, (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64()), strict=True)})
+
+    return run
+
+
+def _paired(buckets: int, heavy: np.ndarray, m: dict):
+    """A block's documents and its words' numbers to its documents, as places in its list of pairs and with base figures, and this list by bucket."""
+
+    def run(t: pa.Table) -> pa.Table:
+        block = t["block"][0].as_py()
+        lists = t.filter(pa.compute.is_valid(t["bucket"]))
+        each = sorted((b, *unpacked(x)) for b, x in zip(lists["bucket"].to_pylist(), lists["data"].to_pylist(), strict=True))
+        number = np.concatenate([_risen(x) * np.uint64(buckets) + np.uint64(b) for b, x, _ in each])
+        c = np.concatenate([x for _, _, x in each]).astype(np.float64)
+        docs = t.filter(pa.compute.is_null(t["bucket"]))
+        at = [unpacked(x)[0] for x in docs["data"].to_pylist()]
+        sizes = [np.array(x, np.int64) for x in docs["sizes"].to_pylist()]
+        held = docs["held"].to_pylist()
+        every, n = np.concatenate(at), np.concatenate(sizes)
+        w = number[every]
+        u = np.r_[w[-1], w[:-1]]  # every text ends with the end token, which stands before the next
+        plain, known = np.log10((c + 1) / (m["N"] + m["V"] + 1)), (c > 0).astype(np.int64)
+        order, first = _distinct(u, w)
+        train = np.repeat(~np.concatenate([np.array(x, bool) for x in held]), n)[order]
+        count = np.add.reduceat(train.astype(np.uint32), first, dtype=np.uint32)
+        u, w = u[order[first]], w[order[first]]
+        b = _bucket(u, w, buckets, heavy)
+        by = np.argsort(b, kind="stable")
+        rank = np.empty(len(by), np.uint32)
+        rank[by] = np.arange(len(by), dtype=np.uint32)
+        places = np.empty(len(order), np.uint32)
+        places[order] = np.repeat(rank, np.diff(np.r_[first, len(order)]))
+        u, w, count, b = u[by], w[by], count[by], b[by]
+        runs, lengths = _runs(b)
+        out = []
+        for s, e in zip(runs.tolist(), (runs + lengths).tolist()):
+            head, run_ = _runs(u[s:e])
+            out.append(_block_row(block, bucket=int(b[s]), data=packed(_rising(u[s:e][head]), run_.astype(np.uint32), w[s:e], count[s:e])))
+        begin = 0
+        for ids, out_, k, own in zip(docs["doc_ids"].to_pylist(), held, sizes, at, strict=True):
+            begins = np.cumsum(k) - k
+            figures = {"base": np.add.reduceat(plain[own], begins), "known": np.add.reduceat(known[own], begins)}
+            out.append(_block_row(block, data=packed(places[begin : begin + len(own)]), doc_ids=ids, held=out_, sizes=k, **figures))
+            begin += len(own)
+        return pa.Table.from_batches(out)
+
+    return run
+
+
 def _group(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
     """``f`` for ``applyInArrow``, giving freed memory back after a group."""
 
@@ -245,7 +298,7 @@ def _group(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
 
 def _pairs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     parts = [unpacked(x) for x in blobs]
-    u = np.concatenate([np.repeat(p[0], p[1].astype(np.int64)) for p in parts])
+    u = np.concatenate([np.repeat(_risen(p[0]), p[1].astype(np.int64)) for p in parts])
     return u, np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]).astype(np.int64), [len(p[2]) for p in parts]
 
 
@@ -253,7 +306,8 @@ class Bucket:
     """A bucket's pairs: contexts with runs of words (as places in ``words``) and training counts."""
 
     def __init__(self, data: bytes):
-        self.contexts, runs, self.words, at, c = unpacked(data)
+        contexts, runs, words, at, c = unpacked(data)
+        self.contexts, self.words = _risen(contexts), _risen(words)
         self.at, self.c = at.astype(np.int64), c.astype(np.int64)
         self.runs = runs.astype(np.int64)
         self.begins = np.cumsum(self.runs) - self.runs
@@ -273,15 +327,17 @@ class Bucket:
         return np.repeat(out, self.runs)
 
     def told(self, bucket: int, buckets: int, t: np.ndarray, heavy: np.ndarray, names: bool = False) -> list[dict]:
-        """Rows of tables by word for the words' buckets, and by heavy context; with ``names`` the words and counts too."""
+        """Rows of tables by word for the words' buckets, and by heavy context; with ``names`` the words and the contexts' customers too."""
         wb = _word_bucket(self.words, buckets)
-        at, lengths = _runs(wb)
-        tables, counts = self.by_word(t), self.by_word(self.c) if names else None
+        by = np.argsort(wb, kind="stable")
+        at, lengths = _runs(wb[by])
+        tables = self.by_word(t)
         rows = []
         for s, e in zip(at.tolist(), (at + lengths).tolist()):
-            rows.append({"kind": _TABLES, "bucket": bucket, "wb": int(wb[s]), "data": packed(tables[s:e])})
+            own = by[s:e]
+            rows.append({"kind": _TABLES, "bucket": bucket, "wb": int(wb[own[0]]), "data": packed(tables[own])})
             if names:
-                rows.append({"kind": _WORDS, "bucket": bucket, "wb": int(wb[s]), "data": packed(self.words[s:e], counts[s:e])})
+                rows.append({"kind": _WORDS, "bucket": bucket, "wb": int(wb[own[0]]), "data": packed(_rising(self.words[own]))})
         hot = np.flatnonzero(_held(self.contexts, heavy))
         sums, customers = self.by_context(t)[hot].tolist(), self.by_context(self.c)[hot].tolist()
         for k, x, y in zip(self.contexts[hot].view(np.int64).tolist(), sums, customers):
@@ -298,14 +354,11 @@ def _merge(buckets: int, heavy: np.ndarray):
         order, first = _distinct(u, w)
         c = np.add.reduceat(c[order], first)
         u, w = u[order[first]], w[order[first]]
-        words = np.unique(w)
-        by = np.argsort(_word_bucket(words, buckets), kind="stable")
-        place = np.empty(len(by), np.uint32)
-        place[by] = np.arange(len(by), dtype=np.uint32)
+        words, place = np.unique(w, return_inverse=True)
         head, runs = _runs(u)
-        data = packed(u[head], runs.astype(np.uint32), words[by], place[np.searchsorted(words, w)], c.astype(np.uint64))
+        data = packed(_rising(u[head]), runs.astype(np.uint32), _rising(words), place.astype(np.uint32), c.astype(np.uint64))
         rows = Bucket(data).told(bucket, buckets, np.minimum(c, 1), heavy, names=True)
-        sums = {1: int((c == 1).sum()), 2: int((c == 2).sum()), 3: int(c.sum())}
+        sums = {1: int((c == 1).sum()), 2: int((c == 2).sum())}
         return _rows([{"kind": _STATIC, "bucket": bucket, "data": data}, *rows, *({"kind": _SUM, "u": k, "x": x} for k, x in sums.items())])
 
     return run
@@ -427,9 +480,8 @@ def _parent(m: dict, round_: int):
         for kind, bucket, data in zip(t["kind"].to_pylist(), t["bucket"].to_pylist(), t["data"].to_pylist(), strict=True):
             by[kind][bucket or 0] = data
         buckets = sorted(by[_WORDS])
-        named = [unpacked(by[_WORDS][b]) for b in buckets]
-        words, place = np.unique(np.concatenate([x[0] for x in named]), return_inverse=True)
-        c = np.bincount(place, np.concatenate([x[1] for x in named]), len(words)).astype(np.uint64)
+        named = [_risen(unpacked(by[_WORDS][b])[0]) for b in buckets]
+        words, place = np.unique(np.concatenate(named), return_inverse=True)
         c0 = np.bincount(place, np.concatenate([unpacked(by[_TABLES][b])[0] for b in buckets]), len(words)).astype(np.int64)
         t0 = np.minimum(c0, 1)
         if by[_PARENT]:
@@ -437,72 +489,74 @@ def _parent(m: dict, round_: int):
             t0 = unpacked(by[_PARENT][0])[0].astype(np.int64)
             t0 = draw_tables(c0, np.maximum(m["T0"] - t0, 0), np.full(len(c0), 1 / (m["V"] + 1)), t0, m["d0"], THETA0, rng)
         rows = [{"kind": _PARENT, "wb": wb, "data": packed(t0.astype(np.uint64))}]
-        sums = {4: int((c > 0).sum()), 5: int((c0 == 1).sum()), 6: int((c0 == 2).sum()), 7: int(t0.sum())}
+        sums = {5: int((c0 == 1).sum()), 6: int((c0 == 2).sum()), 7: int(t0.sum())}
         rows += [{"kind": _SUM, "u": k, "x": x} for k, x in sums.items()]
         at = 0
         for b, x in zip(buckets, named, strict=True):
-            own = place[at : at + len(x[0])]
-            at += len(x[0])
-            rows.append({"kind": _BACK, "bucket": b, "wb": wb, "data": packed(c0[own].astype(np.uint64), t0[own].astype(np.uint64), c[own])})
+            own = place[at : at + len(x)]
+            at += len(x)
+            rows.append({"kind": _BACK, "bucket": b, "wb": wb, "x": round_, "data": packed(c0[own].astype(np.uint64), t0[own].astype(np.uint64))})
         return _rows(rows)
 
     return run
 
 
-def _read(t: pa.Table, m: dict) -> tuple[int, Bucket, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a bucket's rows: number, pairs, tables, sums of predictive probabilities, the parent's probabilities and the counts of its words."""
-    kinds = t["kind"].to_numpy()
-    data, wb = t["data"].to_pylist(), t["wb"].to_pylist()
-    b = Bucket(data[int(np.flatnonzero(kinds == _STATIC)[0])])
-    back = [unpacked(data[k]) for k in sorted(np.flatnonzero(kinds == _BACK), key=lambda k: wb[k])]
-    c0, t0, c = (np.concatenate([x[k] for x in back]) for k in range(3))
-    p = (c0 - m["d0"] * t0 + (THETA0 + m["d0"] * m["T0"]) / (m["V"] + 1)) / (THETA0 + m["C0"])
-    tables, sums = np.minimum(b.c, 1), np.zeros(len(b.c), np.float32)
-    for k in np.flatnonzero(kinds == _STATE):
-        t_, sums = unpacked(data[k])
-        tables[b.many] = t_
-        sums = sums if len(sums) else np.zeros(len(b.c), np.float32)
-    return t["bucket"][0].as_py(), b, tables, sums, p, c
+class Sample:
+    """What a bucket knows of one round: its tables, by pair, and the parent's probabilities of its words."""
+
+    def __init__(self, t: pa.Table, b: Bucket, buckets: int, m: dict, total: dict):
+        rows = t.filter(pa.compute.equal(t["x"], total["round"]))
+        back = rows.filter(pa.compute.equal(rows["kind"], _BACK)).sort_by("wb")
+        parts = [unpacked(x) for x in back["data"].to_pylist()]
+        by = np.argsort(_word_bucket(b.words, buckets), kind="stable")
+        self.p = np.empty(len(b.words))
+        self.p[by] = np.concatenate([c0 - m["d0"] * t0 for c0, t0 in parts])
+        self.p = (self.p + (THETA0 + m["d0"] * total["T0"]) / (m["V"] + 1)) / (THETA0 + total["C0"])
+        self.tables = np.minimum(b.c, 1)
+        for x in rows.filter(pa.compute.equal(rows["kind"], _STATE))["data"].to_pylist():
+            self.tables[b.many] = unpacked(x)[0]
+
+
+def _bucket_of(t: pa.Table) -> tuple[int, Bucket]:
+    return t["bucket"][0].as_py(), Bucket(t.filter(pa.compute.equal(t["kind"], _STATIC))["data"][0].as_py())
 
 
 def _predictive(b: Bucket, t: np.ndarray, all_tables: np.ndarray, customers: np.ndarray, p: np.ndarray, m: dict) -> np.ndarray:
     return (b.c - m["d"] * t + (THETA + m["d"] * all_tables) * p[b.at]) / (THETA + customers)
 
 
-def _contexts(m: dict, buckets: int, heavy: np.ndarray, round_: int):
-    """A bucket's rows to its tables drawn anew, told to the words; sums of predictive probabilities go on."""
+def _contexts(m: dict, total: dict, buckets: int, heavy: np.ndarray, round_: int):
+    """A bucket's rows to its tables drawn anew, told to the words."""
 
     def run(t: pa.Table) -> pa.Table:
-        bucket, b, tables, sums, p, _ = _read(t, m)
-        all_tables = b.totals(tables, heavy, m["heavy_tables"])
-        if round_ > BURN_IN + 1:
-            sums = sums + _predictive(b, tables, all_tables, b.totals(b.c, heavy, m["heavy_customers"]), p, m).astype(np.float32)
-        k = b.many
-        tables[k] = draw_tables(b.c[k], np.maximum(all_tables[k] - tables[k], 0), p[b.at[k]], tables[k], m["d"], THETA, np.random.default_rng([round_, bucket, 0]))
-        state = packed(tables[k].astype(np.uint64), sums if sums.any() else sums[:0])
-        return _rows([{"kind": _STATE, "bucket": bucket, "data": state}, *b.told(bucket, buckets, tables, heavy)])
+        bucket, b = _bucket_of(t)
+        last = Sample(t, b, buckets, m, total)
+        k, tables = b.many, last.tables
+        other = b.totals(tables, heavy, total["heavy"])[k] - tables[k]
+        tables[k] = draw_tables(b.c[k], np.maximum(other, 0), last.p[b.at[k]], tables[k], m["d"], THETA, np.random.default_rng([round_, bucket, 0]))
+        return _rows([{"kind": _STATE, "bucket": bucket, "x": round_, "data": packed(tables[k].astype(np.uint64))}, *b.told(bucket, buckets, tables, heavy)])
 
     return run
 
 
-def _answers(m: dict, heavy: np.ndarray):
-    """A bucket's rows and the blocks' pairs to averaged predictive probabilities and word counts, in the order asked."""
+def _answers(m: dict, totals: list[dict], buckets: int, heavy: np.ndarray):
+    """A bucket's rows and the blocks' pairs to averaged predictive probabilities, in the order asked."""
 
     def run(t: pa.Table) -> pa.Table:
         asked = t.filter(pa.compute.equal(t["kind"], _ASKED))
-        bucket, b, tables, sums, p, c = _read(t, m)
-        customers = b.totals(b.c, heavy, m["heavy_customers"])
-        mean = (sums + _predictive(b, tables, b.totals(tables, heavy, m["heavy_tables"]), customers, p, m)) / (ROUNDS - BURN_IN)
+        bucket, b = _bucket_of(t)
+        customers = b.totals(b.c, heavy, m["customers"])
+        mean = np.zeros(len(b.c))
+        for total in totals:
+            one = Sample(t, b, buckets, m, total)
+            mean += _predictive(b, one.tables, b.totals(one.tables, heavy, total["heavy"]), customers, one.p, m) / len(totals)
         u, w, _, sizes = _pairs(asked["data"].to_pylist())
         order, first = _distinct(u, w)  # the bucket's pairs are just these, in this order
         number = np.empty(len(order), np.int64)
         number[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
-        rows, at = [], 0
-        for block, n in zip(asked["block"].to_pylist(), sizes, strict=True):
-            own = number[at : at + n]
-            at += n
-            rows.append({"block": block, "bucket": bucket, "data": packed(mean[own].astype(np.float32), c[b.at[own]])})
-        return pa.table({"block": pa.array([r["block"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "data": pa.array([r["data"] for r in rows], pa.binary())})
+        ends = np.cumsum(sizes)
+        data = [packed(mean[number[e - n : e]].astype(np.float32)) for n, e in zip(sizes, ends.tolist(), strict=True)]
+        return pa.table({"block": asked["block"].combine_chunks(), "bucket": pa.array([bucket] * len(data), pa.int32()), "data": pa.array(data, pa.binary())})
 
     return run
 
@@ -511,67 +565,66 @@ def _sums(df: DataFrame) -> dict[int, int]:
     return {r.u: int(r.x) for r in df.where(F.col("kind") == _SUM).groupBy("u").agg(F.sum("x").alias("x")).collect()}
 
 
-def fit(pairs: DataFrame, buckets: int, heavy: np.ndarray) -> tuple[DataFrame, dict, list[DataFrame]]:
-    """``pairs`` (bucket, data) to all that answers need, by bucket, the model's totals, and the tables to discard after."""
+def fit(pairs: DataFrame, buckets: int, heavy: np.ndarray, known: int) -> tuple[DataFrame, dict, list[dict], list[DataFrame]]:
+    """``pairs`` (bucket, data) to what answers need, by bucket; the model's figures, those of each round kept, and the tables to discard after."""
     merged = written(pairs.groupBy("bucket").applyInArrow(_group(_merge(buckets, heavy)), _ROW))
     of = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
     place = {int(k): i for i, k in enumerate(heavy.view(np.int64).tolist())}
 
-    def heavy_sums(df: DataFrame) -> np.ndarray:
+    def by_heavy(df: DataFrame) -> np.ndarray:
         out = np.zeros(len(heavy), np.int64)
         for r in of(df, _HEAVY).groupBy("u").agg(F.sum("x").alias("x")).collect() if len(heavy) else []:
             out[place[r.u]] = r.x
         return out
 
-    first = _sums(merged)
-    m: dict = {"N": first.get(3, 0), "d": _discount(first.get(1, 0), first.get(2, 0)), "C0": first.get(0, 0), "heavy_tables": heavy_sums(merged.where("bucket IS NULL")), "heavy_customers": heavy_sums(merged.where("bucket IS NOT NULL")), "V": 0, "T0": 0, "d0": 0.5}
-    tables = merged
-    parent = written(of(merged, _WORDS, _TABLES).groupBy("wb").applyInArrow(_group(_parent(dict(m), 0)), _ROW))
-    for r in range(1, ROUNDS + 2):
-        sums = _sums(parent)
-        m |= {"V": sums.get(4, 0), "T0": sums.get(7, 0)}
-        if r == 1:
-            m["d0"] = _discount(sums.get(5, 0), sums.get(6, 0))
-        known = of(merged, _STATIC).unionByName(of(parent, _BACK))
-        known = known if tables is merged else known.unionByName(of(tables, _STATE))
-        if r > ROUNDS:
-            return known, m, [merged, parent, tables]
-        new = written(known.groupBy("bucket").applyInArrow(_group(_contexts(dict(m), buckets, heavy, r)), _ROW))
-        m |= {"C0": _sums(new).get(0, 0), "heavy_tables": heavy_sums(new)}
-        told = of(merged, _WORDS).unionByName(of(new, _TABLES)).unionByName(of(parent, _PARENT))
-        last, parent = parent, written(told.groupBy("wb").applyInArrow(_group(_parent(dict(m), r)), _ROW))
-        discard(last)
-        if tables is not merged:
-            discard(tables)
-        tables = new
-    raise AssertionError
+    def parents(tables: DataFrame, *last: DataFrame) -> DataFrame:
+        told = of(merged, _WORDS).unionByName(of(tables, _TABLES))
+        for df in last:
+            told = told.unionByName(of(df, _PARENT))
+        return written(told.groupBy("wb").applyInArrow(_group(_parent({**m, **total}, total["round"])), _ROW))
+
+    sums = _sums(merged)
+    m: dict = {"V": known, "d": _discount(sums.get(1, 0), sums.get(2, 0)), "d0": 0.5, "customers": by_heavy(merged.where("bucket IS NOT NULL"))}
+    total = {"round": 0, "C0": sums.get(0, 0), "T0": 0, "heavy": by_heavy(merged.where("bucket IS NULL"))}
+    parent, tables = parents(merged), None
+    sums = _sums(parent)
+    m["d0"] = _discount(sums.get(5, 0), sums.get(6, 0))
+    total["T0"] = sums.get(7, 0)
+    static, kept, totals = of(merged, _STATIC), [], []
+    for r in range(1, ROUNDS + 1):
+        told = static.unionByName(of(parent, _BACK))
+        told = told if tables is None else told.unionByName(of(tables, _STATE))
+        new = written(told.groupBy("bucket").applyInArrow(_group(_contexts(m, dict(total), buckets, heavy, r)), _ROW))
+        total = {"round": r, "C0": _sums(new).get(0, 0), "T0": total["T0"], "heavy": by_heavy(new)}
+        fresh = parents(new, parent)
+        total["T0"] = _sums(fresh).get(7, 0)
+        for df in (parent, tables) if r <= BURN_IN + 1 else ():
+            if df is not None:
+                discard(df)
+        parent, tables = fresh, new
+        if r > BURN_IN:
+            kept += [fresh, new]
+            totals.append(total)
+    for df in kept:
+        static = static.unionByName(of(df, _BACK, _STATE))
+    return static, m, totals, [merged, *kept]
 
 
 # --- step 3: scores ------------------------------------------------------------
 
 
-def _scorer(m: dict):
-    N, V = m["N"], m["V"]
-
+def _scorer(train_tokens: int):
     def run(t: pa.Table) -> pa.Table:
         answers = t.filter(pa.compute.is_valid(t["bucket"])).sort_by("bucket")
-        parts = [unpacked(x) for x in answers["data"].to_pylist()]
-        own = np.log10(np.concatenate([x[0] for x in parts]).astype(np.float64))
-        c = np.concatenate([x[1] for x in parts]).astype(np.float64)
-        plain, known = np.log10((c + 1) / (N + V + 1)), (c > 0).astype(np.int64)
-        cols: dict[str, list] = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
+        own = np.log10(np.concatenate([unpacked(x)[0] for x in answers["data"].to_pylist()]).astype(np.float64))
         docs = t.filter(pa.compute.is_null(t["bucket"]))
-        for data, ids, held, sizes in zip(*(docs[k].to_pylist() for k in ("data", "doc_ids", "held", "sizes")), strict=True):
-            numbers = unpacked(data)[0]
-            begins = np.cumsum(sizes) - sizes
-            cols["doc_id"] += ids
-            cols["held_out"] += held
-            cols["n_tokens"] += sizes
-            for k, values in (("n_known", known), ("base_score", plain), ("score", own)):
-                cols[k] += np.add.reduceat(values[numbers], begins).tolist()
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        out = pa.table({k: pa.array(v, kind) for (k, v), kind in zip(cols.items(), kinds, strict=True)})
-        return out.add_column(4, "train_tokens", pa.array([N] * len(out), pa.int64()))
+        scores = []
+        for data, sizes in zip(docs["data"].to_pylist(), docs["sizes"].to_pylist(), strict=True):
+            scores.append(np.add.reduceat(own[unpacked(data)[0]], np.cumsum(sizes) - sizes))
+        flat = lambda k: pa.concat_arrays([x.flatten() for x in docs[k].chunks])
+        cols = {"doc_id": flat("doc_ids"), "held_out": flat("held"), "n_tokens": flat("sizes").cast(pa.int64()), "n_known": flat("known")}
+        n = len(cols["doc_id"])
+        return pa.table({**cols, "train_tokens": pa.array([train_tokens] * n, pa.int64()), "base_score": flat("base"), "score": pa.array(np.concatenate(scores))})
 
     return run
 
@@ -580,22 +633,32 @@ def score(docs: DataFrame, *, folds: int = FOLDS, held_out: int = HELD_OUT) -> D
     """Trains on the documents whose crc32(id as text) modulo ``folds`` isn't ``held_out`` and scores all of them."""
     spark = docs.sparkSession
     text = F.col("text").cast("string")
-    found = written(docs.select(text.alias("text")).mapInArrow(trimmed(_common), "u long, x long"))
-    total = found.where("u IS NULL").agg(F.sum("x")).first()[0] or 0
-    common = [r.u for r in found.where("u IS NOT NULL").groupBy("u").agg(F.sum("x").alias("x")).where(F.col("x") >= HEAVY * total).collect()]
-    discard(found)
-    heavy = np.sort(np.array(common, np.int64).view(np.uint64))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TOKENS))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held_out
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (held & F.col("doc_id").isNotNull()).alias("held"), text.alias("text"))
-    blocks = written(read.mapInArrow(trimmed(_blocks(buckets, heavy)), _BLOCKS))
-    pairs = blocks.where("bucket IS NOT NULL")
-    known, m, done = fit(pairs.select("bucket", "data"), buckets, heavy)
+    lists = written(read.mapInArrow(trimmed(_blocks(buckets)), _BLOCKS))
+    total = lists.where("bucket IS NULL").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + x))).first()[0] or 0
+    numbers = written(lists.where("bucket IS NOT NULL").select("block", "bucket", "data").groupBy("bucket").applyInArrow(_group(_numbered(buckets, total)), _NUMBERED))
+    common = [r.x for r in numbers.where(F.col("kind") == _HEAVY).select("x").collect()]  # 1 / HEAVY at most
+    sums = {r.kind: int(r.x) for r in numbers.where(F.col("kind").isin(_KNOWN, _TRAIN)).groupBy("kind").agg(F.sum("x").alias("x")).collect()}
+    heavy = np.sort(np.array(common, np.int64).view(np.uint64))
+    n, v = sums.get(_TRAIN, 0), sums.get(_KNOWN, 0)
     none = lambda kind: F.lit(None).cast(kind)
+    wide = lambda df: df.select("block", "bucket", "data", none("array<bigint>").alias("doc_ids"), none("array<boolean>").alias("held"), none("array<int>").alias("sizes"), none("array<double>").alias("base"), none("array<bigint>").alias("known"))
+    told = lists.where("bucket IS NULL").unionByName(wide(numbers.where("kind IS NULL")))
+    blocks = written(told.groupBy("block").applyInArrow(_group(_paired(buckets, heavy, {"N": n, "V": v})), _BLOCKS))
+    discard(lists)
+    discard(numbers)
+    pairs = blocks.where("bucket IS NOT NULL")
+    known, m, totals, done = fit(pairs.select("bucket", "data"), buckets, heavy, v)
     asked = pairs.select(F.lit(_ASKED).alias("kind"), "bucket", none("int").alias("wb"), "block", none("long").alias("u"), none("long").alias("x"), "data")
-    answers = written(known.unionByName(asked).groupBy("bucket").applyInArrow(_group(_answers(dict(m), heavy)), "block long, bucket int, data binary"))
+    rows = known.unionByName(asked)
+    answers = [written(rows.where(F.col("bucket") % PARTS == k).groupBy("bucket").applyInArrow(_group(_answers(m, totals, buckets, heavy)), "block long, bucket int, data binary")) for k in range(PARTS)]
     for df in done:
         discard(df)
-    both = blocks.where("bucket IS NULL").unionByName(answers.select("block", "bucket", "data", none("array<bigint>").alias("doc_ids"), none("array<boolean>").alias("held"), none("array<int>").alias("sizes")))
-    out = both.groupBy("block").applyInArrow(_group(_scorer(m)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    both = blocks.where("bucket IS NULL")
+    for df in answers:
+        both = both.unionByName(wide(df))
+    out = both.groupBy("block").applyInArrow(_group(_scorer(n)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -122,7 +122,11 @@ def test_tables():
     exact, steps = draw(c, 1, 20_000, 64), draw(c, 1, 20_000, 8)
     assert abs(exact.mean() - np.mean(seen)) < 0.25 and abs(exact.std() - np.std(seen)) < 0.25
     assert abs(steps.mean() - exact.mean()) < 0.1 and abs(steps.std() - exact.std()) < 0.1
-    assert 20 < lm.draw_tables(np.array([10**5]), np.array([other]), np.array([p]), np.array([1]), d, theta, rng)[0] < 5000
+    c, t = 10**5, np.arange(1.0, 2000)  # against the whole conditional
+    log = lm.log_stirling(np.full(len(t), float(c)), t, d) + t * np.log(p * d) + lm.lgamma(theta / d + other + t)
+    weight = np.exp(log - log.max())
+    mean = (weight * t).sum() / weight.sum()
+    assert abs(draw(c, 1, 4000, 64).mean() - mean) < 0.3
 
 
 def test_packed():

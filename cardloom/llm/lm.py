@@ -55,7 +55,7 @@ FOLDS, HELD_OUT = 7, 2
 THETA, THETA0 = 1.0, 1.0
 ROUNDS, BURN_IN = 4, 1
 #: A block ends when it holds so many tokens; a bucket is meant to hold so many bytes of text.
-BLOCK_TOKENS, BUCKET_BYTES = 2_500_000, 12_000_000
+BLOCK_TOKENS, BUCKET_BYTES = 1_500_000, 8_000_000
 #: Words with this share of all tokens are spread over buckets as contexts.
 HEAVY = 1 / 32768
 #: Answers are made for so many parts of the buckets in turn, which bounds what lies in shuffle files.
@@ -172,6 +172,7 @@ def _blocks(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        _trim()
         part, chunk = TaskContext.get().partitionId(), 0
         ids, held, sizes, tokens, size = [], [], [], [], 0
 
@@ -206,6 +207,7 @@ def _blocks(buckets: int):
                     chunk, size = chunk + 1, 0
                     for x in (ids, held, sizes, tokens):
                         x.clear()
+                    _trim()
         if ids:
             yield from flush()
 
@@ -281,16 +283,23 @@ def _paired(buckets: int, heavy: np.ndarray, m: dict):
     return run
 
 
+def _trim() -> None:
+    """Freed memory goes back, and Arrow takes what it needs from the system, so that idle workers hold none."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no such call outside glibc
+        pass
+
+
 def _group(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
-    """``f`` for ``applyInArrow``, giving freed memory back after a group."""
+    """``f`` for ``applyInArrow``, giving freed memory back before and after a group."""
 
     def run(t: pa.Table) -> pa.Table:
+        _trim()
         out = f(t)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # no such call outside glibc
-            pass
+        del t
+        _trim()
         return out
 
     return run
@@ -445,20 +454,19 @@ def draw_tables(c: np.ndarray, other: np.ndarray, p: np.ndarray, t: np.ndarray,
     many = np.flatnonzero(c > SMALL)
     if len(many):
         n, o, log_p = c[many].astype(np.float64), other[many].astype(np.float64), np.log(p[many]) + np.log(d)
-        now = t[many].astype(np.float64)
-        fresh = now <= 1
-        if fresh.any():  # about as many as customers who come one by one would open
-            seen, tables = np.ones(fresh.sum()), np.ones(fresh.sum())
-            grow = (n[fresh]) ** (1 / 40)
-            for _ in range(40):
-                weight = (theta + d * (o[fresh] + tables)) * p[many][fresh]
-                tables += (grow - 1) * seen * weight / (weight + np.maximum(seen - d * tables, 1e-9))
-                seen *= grow
-            now[fresh] = np.clip(np.round(tables), 1, n[fresh])
+        # About as many as customers who come one by one would open: the start of a dish, and the scale of all its steps.
+        seen, tables = np.ones(len(n)), np.ones(len(n))
+        grow = n ** (1 / 40)
+        for _ in range(40):
+            weight = (theta + d * (o + tables)) * p[many]
+            tables += (grow - 1) * seen * weight / (weight + np.maximum(seen - d * tables, 1e-9))
+            seen *= grow
+        now = np.where(t[many] > 1, t[many], np.clip(np.round(tables), 1, n))
+        scales = [np.maximum(1.0, k * np.sqrt(tables)) for k in (0.7, 1.5, 3.0)]
         weigh = lambda k: log_stirling(n, k, d) + k * log_p + lgamma(theta / d + o + k)
         current = weigh(now)
         for step in range(STEPS):
-            new = now + np.round(rng.standard_normal(len(n)) * np.maximum(1.0, n ** (step % 3 * 0.25)))
+            new = now + np.round(rng.standard_normal(len(n)) * scales[step % 3])
             ok = (new >= 1) & (new <= n)
             trial = weigh(np.where(ok, new, now))
             ok &= np.log(rng.random(len(n))) < trial - current

@@ -9,9 +9,9 @@ its training tokens; the tables of all contexts are the parent's customers.
    and gives each a number. Each block then becomes pairs (preceding word, word),
    numbered within the block, and its distinct pairs, with their training counts, go
    to buckets by the preceding word as packed arrays: a pair costs some four bytes,
-   never a row. Preceding words that hold over ``HEAVY`` of all tokens are spread by
-   the pair instead, so no bucket holds a common word; of these words, ``1 / HEAVY``
-   at most, the driver sums the table counts.
+   never a row. Preceding words with an eighth of a bucket's share of all tokens
+   (``HEAVY`` at least) are spread by the pair instead, so no bucket holds a common
+   word; of these words, ``1 / HEAVY`` at most, the driver sums the table counts.
 2. Tables are sampled by Gibbs. The number of tables t at which c customers eat
    one dish in a restaurant has, given the restaurant's other tables T and the
    parent's probability p of the dish, a conditional proportional to
@@ -56,7 +56,7 @@ THETA, THETA0 = 1.0, 1.0
 ROUNDS, BURN_IN = 4, 1
 #: A block ends when it holds so many tokens; a bucket is meant to hold so many bytes of text.
 BLOCK_TOKENS, BUCKET_BYTES = 1_500_000, 8_000_000
-#: Words with this share of all tokens are spread over buckets as contexts.
+#: As contexts, words are spread over buckets that hold this share of all tokens, or, if that is more, an eighth of a bucket's.
 HEAVY = 1 / 32768
 #: Answers are made for so many parts of the buckets in turn, which bounds what lies in shuffle files.
 PARTS = 4
@@ -231,7 +231,7 @@ def _numbered(buckets: int, total: int):
             at += len(own)
             rows.append((block, wb, packed(_rising(own.astype(np.uint64)), train[own]), None, None))
         number = np.arange(len(words), dtype=np.int64) * buckets + wb
-        rows += [(None, None, None, _HEAVY, k) for k in number[count >= HEAVY * total].tolist()]
+        rows += [(None, None, None, _HEAVY, k) for k in number[count >= max(HEAVY, 1 / (8 * buckets)) * total].tolist()]
         rows += [(None, None, None, k, int(x)) for k, x in ((_KNOWN, (train > 0).sum()), (_TRAIN, train.sum()))]
         cols = zip(*rows, strict=True)
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("block", "bucket", "data", "kind", "x"), cols, (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64()), strict=True)})

@@ -54,8 +54,10 @@ FOLDS, HELD_OUT = 7, 2
 #: Concentrations of the contexts and of their parent.
 THETA, THETA0 = 1.0, 1.0
 ROUNDS, BURN_IN = 4, 1
-#: A block ends when it holds so many tokens; a bucket is meant to hold so many bytes of text.
-BLOCK_TOKENS, BUCKET_BYTES = 1_500_000, 8_000_000
+#: A block ends when it holds so many tokens; a bucket of pairs, or of words, is meant to hold so many bytes of text.
+BLOCK_TOKENS, BUCKET_BYTES, WORD_BYTES = 1_500_000, 10_000_000, 64_000_000
+#: Buckets of either kind there are at least.
+LEAST = 8
 #: As contexts, words are spread over buckets that hold this share of all tokens, or, if that is more, an eighth of a bucket's.
 HEAVY = 1 / 32768
 #: Answers are made for so many parts of the buckets in turn, which bounds what lies in shuffle files.
@@ -217,7 +219,7 @@ def _blocks(buckets: int):
 _NUMBERED = "block long, bucket int, data binary, kind int, x long"
 
 
-def _numbered(buckets: int, total: int):
+def _numbered(buckets: int, least: float):
     """A word bucket's lists to numbers and training counts for each block; common words; sums of known words and training tokens."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -231,7 +233,7 @@ def _numbered(buckets: int, total: int):
             at += len(own)
             rows.append((block, wb, packed(_rising(own.astype(np.uint64)), train[own]), None, None))
         number = np.arange(len(words), dtype=np.int64) * buckets + wb
-        rows += [(None, None, None, _HEAVY, k) for k in number[count >= max(HEAVY, 1 / (8 * buckets)) * total].tolist()]
+        rows += [(None, None, None, _HEAVY, k) for k in number[count >= least].tolist()]
         rows += [(None, None, None, k, int(x)) for k, x in ((_KNOWN, (train > 0).sum()), (_TRAIN, train.sum()))]
         cols = zip(*rows, strict=True)
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("block", "bucket", "data", "kind", "x"), cols, (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64()), strict=True)})
@@ -239,14 +241,14 @@ def _numbered(buckets: int, total: int):
     return run
 
 
-def _paired(buckets: int, heavy: np.ndarray, m: dict):
+def _paired(buckets: int, word_buckets: int, heavy: np.ndarray, m: dict):
     """A block's documents and its words' numbers to its documents, as places in its list of pairs and with base figures, and this list by bucket."""
 
     def run(t: pa.Table) -> pa.Table:
         block = t["block"][0].as_py()
         lists = t.filter(pa.compute.is_valid(t["bucket"]))
         each = sorted((b, *unpacked(x)) for b, x in zip(lists["bucket"].to_pylist(), lists["data"].to_pylist(), strict=True))
-        number = np.concatenate([_risen(x) * np.uint64(buckets) + np.uint64(b) for b, x, _ in each])
+        number = np.concatenate([_risen(x) * np.uint64(word_buckets) + np.uint64(b) for b, x, _ in each])
         c = np.concatenate([x for _, _, x in each]).astype(np.float64)
         docs = t.filter(pa.compute.is_null(t["bucket"]))
         at = [unpacked(x)[0] for x in docs["data"].to_pylist()]
@@ -573,9 +575,9 @@ def _sums(df: DataFrame) -> dict[int, int]:
     return {r.u: int(r.x) for r in df.where(F.col("kind") == _SUM).groupBy("u").agg(F.sum("x").alias("x")).collect()}
 
 
-def fit(pairs: DataFrame, buckets: int, heavy: np.ndarray, known: int) -> tuple[DataFrame, dict, list[dict], list[DataFrame]]:
+def fit(pairs: DataFrame, word_buckets: int, heavy: np.ndarray, known: int) -> tuple[DataFrame, dict, list[dict], list[DataFrame]]:
     """``pairs`` (bucket, data) to what answers need, by bucket; the model's figures, those of each round kept, and the tables to discard after."""
-    merged = written(pairs.groupBy("bucket").applyInArrow(_group(_merge(buckets, heavy)), _ROW))
+    merged = written(pairs.groupBy("bucket").applyInArrow(_group(_merge(word_buckets, heavy)), _ROW))
     of = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
     place = {int(k): i for i, k in enumerate(heavy.view(np.int64).tolist())}
 
@@ -602,7 +604,7 @@ def fit(pairs: DataFrame, buckets: int, heavy: np.ndarray, known: int) -> tuple[
     for r in range(1, ROUNDS + 1):
         told = static.unionByName(of(parent, _BACK))
         told = told if tables is None else told.unionByName(of(tables, _STATE))
-        new = written(told.groupBy("bucket").applyInArrow(_group(_contexts(m, dict(total), buckets, heavy, r)), _ROW))
+        new = written(told.groupBy("bucket").applyInArrow(_group(_contexts(m, dict(total), word_buckets, heavy, r)), _ROW))
         total = {"round": r, "C0": _sums(new).get(0, 0), "T0": total["T0"], "heavy": by_heavy(new)}
         fresh = parents(new, parent)
         total["T0"] = _sums(fresh).get(7, 0)
@@ -639,15 +641,14 @@ def _scorer(train_tokens: int):
 
 def score(docs: DataFrame, *, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
     """Trains on the documents whose crc32(id as text) modulo ``folds`` isn't ``held_out`` and scores all of them."""
-    spark = docs.sparkSession
     text = F.col("text").cast("string")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    buckets, words = max(LEAST, -(-size // BUCKET_BYTES)), max(LEAST, -(-size // WORD_BYTES))
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held_out
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (held & F.col("doc_id").isNotNull()).alias("held"), text.alias("text"))
-    lists = written(read.mapInArrow(trimmed(_blocks(buckets)), _BLOCKS))
+    lists = written(read.mapInArrow(trimmed(_blocks(words)), _BLOCKS))
     total = lists.where("bucket IS NULL").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + x))).first()[0] or 0
-    numbers = written(lists.where("bucket IS NOT NULL").select("block", "bucket", "data").groupBy("bucket").applyInArrow(_group(_numbered(buckets, total)), _NUMBERED))
+    numbers = written(lists.where("bucket IS NOT NULL").select("block", "bucket", "data").groupBy("bucket").applyInArrow(_group(_numbered(words, max(HEAVY, 1 / (8 * buckets)) * total)), _NUMBERED))
     common = [r.x for r in numbers.where(F.col("kind") == _HEAVY).select("x").collect()]  # 1 / HEAVY at most
     sums = {r.kind: int(r.x) for r in numbers.where(F.col("kind").isin(_KNOWN, _TRAIN)).groupBy("kind").agg(F.sum("x").alias("x")).collect()}
     heavy = np.sort(np.array(common, np.int64).view(np.uint64))
@@ -655,14 +656,14 @@ def score(docs: DataFrame, *, folds: int = FOLDS, held_out: int = HELD_OUT) -> D
     none = lambda kind: F.lit(None).cast(kind)
     wide = lambda df: df.select("block", "bucket", "data", none("array<bigint>").alias("doc_ids"), none("array<boolean>").alias("held"), none("array<int>").alias("sizes"), none("array<double>").alias("base"), none("array<bigint>").alias("known"))
     told = lists.where("bucket IS NULL").unionByName(wide(numbers.where("kind IS NULL")))
-    blocks = written(told.groupBy("block").applyInArrow(_group(_paired(buckets, heavy, {"N": n, "V": v})), _BLOCKS))
+    blocks = written(told.groupBy("block").applyInArrow(_group(_paired(buckets, words, heavy, {"N": n, "V": v})), _BLOCKS))
     discard(lists)
     discard(numbers)
     pairs = blocks.where("bucket IS NOT NULL")
-    known, m, totals, done = fit(pairs.select("bucket", "data"), buckets, heavy, v)
+    known, m, totals, done = fit(pairs.select("bucket", "data"), words, heavy, v)
     asked = pairs.select(F.lit(_ASKED).alias("kind"), "bucket", none("int").alias("wb"), "block", none("long").alias("u"), none("long").alias("x"), "data")
     rows = known.unionByName(asked)
-    answers = [written(rows.where(F.col("bucket") % PARTS == k).groupBy("bucket").applyInArrow(_group(_answers(m, totals, buckets, heavy)), "block long, bucket int, data binary")) for k in range(PARTS)]
+    answers = [written(rows.where(F.col("bucket") % PARTS == k).groupBy("bucket").applyInArrow(_group(_answers(m, totals, words, heavy)), "block long, bucket int, data binary")) for k in range(PARTS)]
     for df in done:
         discard(df)
     both = blocks.where("bucket IS NULL")

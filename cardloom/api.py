@@ -1,8 +1,9 @@
 """The five calls: remember, recall, forget, status, consolidate.
 
 A ``Memory`` keeps Parquet tables under one folder, each version in a folder of
-its own with a pointer file that is replaced last, so readers never see half a
-write and a failed run leaves the old version.
+its own. One pointer file names the versions of all tables; it is written aside
+and renamed last, so readers never see half a write, a run's tables change
+together, and a failed run leaves the old versions.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .functions import policy, score
 from .functions.text import card_id, first_line, normalize, normalize_tags
+from .operators import brief as brief_ops
 from .operators import consolidate as ops
 from .operators import recall as recall_ops
 from .operators.similarity import with_tokens
@@ -50,21 +52,29 @@ class Memory:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _version(self, name: str) -> str | None:
-        fs, p = self._fs(f"{self.root}/{name}.version")
-        return self.spark.read.text(p.toString()).first()[0] if fs.exists(p) else None
+    def _versions(self) -> dict[str, str]:
+        fs, p = self._fs(f"{self.root}/versions")
+        return json.loads(self.spark.read.text(p.toString()).first()[0]) if fs.exists(p) else {}
 
     def table(self, name: str, schema: str = CARD) -> DataFrame:
-        v = self._version(name)
+        v = self._versions().get(name)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{v}") if v else self.spark.createDataFrame([], schema)
 
-    def _put(self, name: str, df: DataFrame) -> None:
-        v = uuid.uuid4().hex
-        df.write.parquet(f"{self.root}/{name}/{v}")
-        fs, p = self._fs(f"{self.root}/{name}.version")
-        out = fs.create(p, True)
-        out.write(bytearray(v.encode()))
+    def _put(self, **tables: DataFrame) -> None:
+        """New versions of some tables, all of them at once."""
+        versions = self._versions()
+        for name, df in tables.items():
+            versions[name] = uuid.uuid4().hex
+            df.write.parquet(f"{self.root}/{name}/{versions[name]}")
+        fs, new = self._fs(f"{self.root}/versions.{uuid.uuid4().hex}")
+        out = fs.create(new, True)
+        out.write(bytearray(json.dumps(versions).encode()))
         out.close()
+        sc = self.spark.sparkContext
+        rename = sc._jvm.org.apache.hadoop.fs.Options.Rename
+        how = sc._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), sc._jsc.hadoopConfiguration()).rename(new, self._fs(f"{self.root}/versions")[1], how)
 
     def _audit(self, rows: DataFrame) -> None:
         logs.append(rows, f"{self.root}/audit")
@@ -95,15 +105,20 @@ class Memory:
             at.alias("updated"), at.alias("last_accessed"), F.lit(0).cast("long").alias("access_count"), F.lit(None).cast("timestamp").alias("valid_until"), F.array().cast("array<string>").alias("links"),
             first_line(text).alias("title"), F.regexp_replace(text, r"\A[^\n]*\n?", "").alias("body"),
         )
-        self._put("cards", self.table("cards").join(card.select("store", "id"), ["store", "id"], "left_anti").unionByName(card))
+        self._put(cards=self.table("cards").join(card.select("store", "id"), ["store", "id"], "left_anti").unionByName(card))
         new = card.first()
         return {"id": new.id, "store": store, "title": new.title, "blocked": False, "reason": []}
 
-    def recall(self, query: str, now: str, *, k: int = 8, project: str | None = None) -> dict:
+    def recall(self, query: str, now: str, *, k: int = 8, project: str | None = None, note: bool = True) -> dict:
+        """Hits and counts by store; with ``note`` the access is logged, for the next run to fold."""
         self._on()
         cards = self.table("cards")
         stores = ["global", project] if project else ["global"]
         hits = recall_ops.recall(cards, query, F.lit(now).cast("timestamp"), k=k, stores=stores).orderBy("rank").collect()
+        if hits and note:
+            touched = self.spark.createDataFrame([(h.store, h.id) for h in hits], "store string, id string")
+            rows = touched.groupBy("store").agg(F.collect_list("id").alias("ids")).select(F.lit(now).cast("timestamp").alias("ts"), "store", "ids")
+            logs.append(rows, f"{self.root}/access")
         counts = {r.store: r["count"] for r in cards.where(F.col("store").isin(stores)).groupBy("store").count().collect()}
         return {"hits": [r.asDict() for r in hits], "counts": counts}
 
@@ -115,13 +130,15 @@ class Memory:
 
             gone = forget_targets(cards, [id], project).select("store", "id")
         else:
-            gone = self.spark.createDataFrame([(h["store"], h["id"]) for h in self.recall(query or "", now, k=3, project=project)["hits"]], "store string, id string")
+            gone = self.spark.createDataFrame([(h["store"], h["id"]) for h in self.recall(query or "", now, k=3, project=project, note=False)["hits"]], "store string, id string")
         rows = gone.collect()
         if rows:
             keys = self.spark.createDataFrame(rows, "store string, id string")
+            left = {"cards": cards.join(keys, ["store", "id"], "left_anti")}
             if not hard:
-                self._put("archive", self.table("archive").unionByName(cards.join(keys, ["store", "id"], "left_semi")))
-            self._put("cards", cards.join(keys, ["store", "id"], "left_anti"))
+                left["archive"] = self.table("archive").unionByName(cards.join(keys, ["store", "id"], "left_semi"))
+            self._put(**left)
+            self._audit(keys.select(F.lit(now).cast("timestamp").alias("ts"), "store", F.lit("delete" if hard else "archive").alias("op"), "id"))
         return {"removed": [r.asDict() for r in rows]}
 
     def status(self) -> dict:
@@ -130,25 +147,69 @@ class Memory:
         gone = {r.store: r["count"] for r in archive.groupBy("store").count().collect()}
         return {"enabled": self.settings.enabled, "schema": 1, "stores": [{"store": s, "cards": live.get(s, 0), "archived": gone.get(s, 0)} for s in sorted({*live, *gone})]}
 
+    def brief(self, now: str, *, project: str | None = None) -> str:
+        """The session's brief: the best cards of the global store and of the project, within the budget; not logged as access."""
+        self._on()
+        cards, at, s = self.table("cards"), F.lit(now).cast("timestamp"), self.settings
+        of = lambda stores, k: recall_ops.recall(cards, "", at, k=k, stores=stores)
+        own = of(["global", project], s.project_k).where(F.col("store") == project) if project else of(["global"], 1).limit(0)
+        return brief_ops.brief(of(["global"], s.global_k), own, project, s.brief_bytes)
+
     def consolidate(self, inbox: DataFrame, now: str, *, store: str = "global") -> dict:
-        """Takes in ``inbox`` (seq, content), then decays, archives and links; replaying it changes nothing."""
+        """Takes in what of ``inbox`` (seq, content) the store hasn't consumed; folds accesses, decays, archives and links.
+
+        The consumed offset is published together with the tables, so replaying a
+        run changes nothing; a run that fails leaves tables and offset as they were
+        and its error in the state.
+        """
         self._on()
+        state = self.table("state", logs.STATE)
+        try:
+            return self._run(inbox, now, store, state)
+        except Exception as e:
+            row = self.spark.createDataFrame([(store, str(e)[:500])], "store string, last_error string")
+            old = state.where(F.col("store") == store).select("store", "inbox_offset", "last_run")
+            failed = row.join(old, "store", "left").select("store", "inbox_offset", "last_run", F.lit("error").alias("last_result"), "last_error")
+            self._put(state=state.where(F.col("store") != store).unionByName(failed))
+            raise
+
+    def _run(self, inbox: DataFrame, now: str, store: str, state: DataFrame) -> dict:
         at = F.lit(now).cast("timestamp")
         cards = self.table("cards")
-        decided = ops.ingest(cards.where(F.col("store") == store), inbox, self.deny, self.settings.pii_mode).persist()
-        by = ops.bumps(decided)
-        bumped = cards.join(by, "id", "left").withColumns({"confidence": F.when(F.col("by").isNotNull(), score.bump(F.col("confidence"), F.col("by"))).otherwise(F.col("confidence")), "updated": F.when(F.col("by").isNotNull(), at).otherwise(F.col("updated"))}).drop("by")
+        told = inbox.withColumn("store", F.lit(store))
+        fresh = logs.from_offset(told, state)
+        decided = ops.ingest(cards.where(F.col("store") == store), fresh.drop("store"), self.deny, self.settings.pii_mode).persist()
+        by = ops.bumps(decided).withColumn("store", F.lit(store))
+        hit = F.col("by").isNotNull()
+        bumped = cards.join(by, ["store", "id"], "left").withColumns({"confidence": F.when(hit, score.bump(F.col("confidence"), F.col("by"))).otherwise(F.col("confidence")), "updated": F.when(hit, at).otherwise(F.col("updated"))}).drop("by")
         minted = ops.new_cards(decided, store, at).withColumns({"tags": F.array().cast("array<string>"), "importance": F.lit(5), "last_accessed": at, "valid_until": F.lit(None).cast("timestamp"), "links": F.array().cast("array<string>")})
         merged = bumped.unionByName(minted.select(*bumped.columns).join(cards.select("store", "id"), ["store", "id"], "left_anti"))
+        log = f"{self.root}/access"
+        seen = logs.read_or_empty(self.spark, log, logs.ACCESS).where(F.col("store") == store)
+        folded = ops.access_fold(merged.where(F.col("store") == store), seen.select("ts", "ids")).withColumn("store", F.lit(store))
+        merged = ops.patch(merged, folded)
         # Decay looks at the cards as they were when the run began.
         why = cards.select("store", "id", ops.archive_reason(self.retention, at).alias("why")).where("why IS NOT NULL")
         gone = merged.join(why.select("store", "id"), ["store", "id"], "left_semi")
         left = merged.join(why.select("store", "id"), ["store", "id"], "left_anti")
         links = ops.relink(with_tokens(left)).withColumnRenamed("links", "new_links")
-        linked = left.join(links, ["store", "id"], "left").withColumn("links", F.coalesce("new_links", F.array().cast("array<string>"))).drop("new_links")
+        linked = left.join(links, ["store", "id"], "left").withColumn("new_links", F.coalesce("new_links", F.array().cast("array<string>")))
+        relinked = linked.where(~F.col("links").eqNullSafe(F.col("new_links"))).count()
         n = {r.action: r["count"] for r in decided.groupBy("action").count().collect()}
         archived = gone.count()
-        self._put("archive", self.table("archive").unionByName(gone.select(*self.table("archive").columns)))
-        self._put("cards", linked.select(*cards.columns))
+        others = self.spark.createDataFrame(logs.read_or_empty(self.spark, log, logs.ACCESS).where(F.col("store") != store).collect(), logs.ACCESS)
+        self._put(
+            cards=linked.withColumn("links", F.col("new_links")).select(*cards.columns),
+            archive=self.table("archive").unionByName(gone.select(*self.table("archive").columns)),
+            state=state.where(F.col("store") != store).unionByName(logs.advance(fresh, state, at).where(F.col("store") == store)),
+        )
+        logs.clear(self.spark, log)
+        if others.limit(1).count():
+            logs.append(others, log)
+        stamp, kept = at.alias("ts"), lambda name: F.lit(name).alias("op")
+        self._audit(why.select(stamp, "store", kept("archive"), "id", F.col("why").alias("detail")).unionByName(decided.where("action = 'blocked'").select(stamp, F.lit(store).alias("store"), kept("block"), F.lit(None).cast("string").alias("id"), F.array_join("reasons", ",").alias("detail"))))
         decided.unpersist()
-        return {"started": True, "ts": now, "added": n.get("add", 0), "updated": n.get("update", 0), "noop": n.get("noop", 0), "blocked": n.get("blocked", 0), "archived": archived}
+        out = {"started": True, "ts": now, "added": n.get("add", 0), "updated": n.get("update", 0), "noop": n.get("noop", 0), "blocked": n.get("blocked", 0), "archived": archived, "relinked": relinked}
+        lines = [f"# Run of {now}", "", f"store: {store}", *(f"- {k}: {out[k]}" for k in ("added", "updated", "noop", "blocked", "archived", "relinked"))]
+        logs.write_report(self.spark, f"{self.root}/reports", f"{now}-{store}".replace(" ", "-").replace(":", ""), "\n".join([*lines, ""]))
+        return out

@@ -36,3 +36,21 @@ def candidates(tails_: DataFrame) -> DataFrame:
     """(session, seq, content, kind) from what the user said, five a session at most."""
     found = tails_.select("session", F.posexplode(intent_sentences(F.col("user_tail"))).alias("seq", "content"))
     return found.withColumn("kind", kind_of(F.col("content")))
+
+
+def content_text(content: F.Column) -> F.Column:
+    """Text of a message's blocks (array of struct<type, text>): those of type text, joined by a space."""
+    return F.array_join(F.transform(F.filter(content, lambda x: x["type"] == "text"), lambda x: x["text"]), " ")
+
+
+def eligible(events: DataFrame, *, enabled: bool = True, mode: str = "auto") -> DataFrame:
+    """Turn ends to capture from: none unless capture is automatic, and none of delegated sessions."""
+    if not enabled or mode != "auto":
+        return events.limit(0)
+    return events.where((F.col("type") == "turn/end") & (F.coalesce(F.col("delegation_depth"), F.lit(0)) <= 0))
+
+
+def staged(heuristic: DataFrame, model: DataFrame) -> DataFrame:
+    """Candidates of both passes (session, seq, content, kind) in one order: heuristic ones first; ``via`` tells which."""
+    both = heuristic.withColumn("via", F.lit("heuristic")).unionByName(model.withColumn("via", F.lit("model")))
+    return both.withColumn("seq", F.row_number().over(Window.partitionBy("session").orderBy(F.col("via") != "heuristic", "seq")) - 1)

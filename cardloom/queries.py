@@ -161,10 +161,10 @@ def kind_classify(spark, d):
 
 
 @query(
-    f"WITH {MESSAGES_SQL}, k AS (SELECT * REPLACE (trim(text, ' ' || chr(10)) AS text) FROM messages WHERE role IN ('user', 'assistant')), c AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY session ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM k WHERE text <> '') SELECT session, count(*) AS n_messages, md5(substr(string_agg(text, chr(10) ORDER BY turn) || chr(10), 1, 2000)) AS tail_md5 FROM c WHERE b < 2000 GROUP BY session HAVING length(trim(substr(string_agg(text, chr(10) ORDER BY turn) || chr(10), 1, 2000), ' ' || chr(10))) >= 120"
+    f"WITH {MESSAGES_SQL}, k AS (SELECT * REPLACE (trim(text, ' ' || chr(10)) AS text) FROM messages WHERE role IN ('user', 'assistant')), c AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY session ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM k WHERE text <> '') SELECT session, count(*) AS n_messages, md5(substr(string_agg(text, chr(10) ORDER BY turn) || chr(10), 1, 20000)) AS tail_md5 FROM c WHERE b < 20000 GROUP BY session HAVING length(trim(substr(string_agg(text, chr(10) ORDER BY turn) || chr(10), 1, 20000), ' ' || chr(10))) >= 120"
 )
 def tail_window(spark, d):
-    return capture.tails(views.messages(spark, d), limit=2000).select("session", "n_messages", F.md5(F.col("tail").cast("binary")).alias("tail_md5"))
+    return capture.tails(views.messages(spark, d)).select("session", "n_messages", F.md5(F.col("tail").cast("binary")).alias("tail_md5"))
 
 
 @query()

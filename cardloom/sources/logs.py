@@ -34,3 +34,31 @@ def advance(inbox: DataFrame, state: DataFrame, now: F.Column) -> DataFrame:
     """The state after a run that consumed ``inbox``."""
     done = inbox.groupBy("store").agg((F.max("seq") + 1).alias("o"))
     return state.join(done, "store", "full").select("store", F.greatest("inbox_offset", "o").alias("inbox_offset"), now.cast("timestamp").alias("last_run"), F.lit("ok").alias("last_result"), F.lit(None).cast("string").alias("last_error"))
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A log that may not exist yet."""
+    fs, p = _path(spark, path)
+    return read_jsonl(spark, path, schema) if fs.exists(p) else spark.createDataFrame([], schema)
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """Empties a log that has been folded."""
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
+def write_report(spark: SparkSession, folder: str, name: str, text: str, keep: int = 10) -> None:
+    """A run's report as ``report-<name>.md``; the newest ``keep`` by name stay."""
+    fs, p = _path(spark, f"{folder}/report-{name}.md")
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    found = sorted(x.getPath().getName() for x in fs.listStatus(p.getParent()) if x.getPath().getName().startswith("report-"))
+    for old in found[:-keep]:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p.getParent(), old), False)

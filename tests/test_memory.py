@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from cardloom import streaming
 from cardloom.api import Disabled, Memory
-from cardloom.operators import consolidate, recall
+from cardloom.operators import capture, consolidate, recall
 from cardloom.operators.similarity import with_tokens
 from cardloom.settings import Settings
+from cardloom.sources import logs
 
 NOW = "2026-01-10 12:00:00"
 
@@ -67,6 +68,51 @@ def test_ingest_and_replay(spark, tmp_path):
     assert n == len(known) and m.consolidate(inbox, NOW)["added"] == 0 and m.table("cards").count() == n
 
 
+def test_run(spark, tmp_path):
+    """Replaying changes no column; accesses are folded once, a failed run leaves all but its error, a brief fits."""
+    m = Memory(spark, str(tmp_path / "m"), deny=["Forbidden"])
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    a = m.remember(text, NOW)["id"]
+    m.remember(text, NOW, store="proj")
+    inbox = spark.createDataFrame([(0, text), (1, "forbidden words"), (2, "one two three four five")], "seq long, content string")
+    m.recall("alpha", NOW)
+    m.recall("alpha", NOW)
+    first = m.consolidate(inbox, "2026-01-11 12:00:00")
+    assert (first["added"], first["noop"], first["blocked"]) == (1, 1, 1)
+    rows = {(r.store, r.id): r for r in m.table("cards").collect()}
+    assert rows["global", a].access_count == 2 and rows["global", a].confidence == 0.62
+    assert [r.confidence for k, r in rows.items() if k[0] == "proj"] == [0.6]
+    again = m.consolidate(inbox, "2026-01-12 12:00:00")
+    assert (again["added"], again["noop"], again["blocked"], again["relinked"]) == (0, 0, 0, 0)
+    assert {(r.store, r.id): r for r in m.table("cards").collect()} == rows
+    with pytest.raises(Exception):
+        m.consolidate(inbox.select("seq"), NOW)
+    state = m.table("state", logs.STATE).first()
+    assert (state.inbox_offset, state.last_result) == (3, "error") and {(r.store, r.id): r for r in m.table("cards").collect()} == rows
+    audit = logs.read_jsonl(spark, f"{tmp_path}/m/audit", logs.AUDIT).collect()
+    assert [(r.op, r.detail) for r in audit] == [("block", "rule:never:Forbidden")]
+    assert len(list((tmp_path / "m" / "reports").glob("report-*.md"))) == 2
+    for k in range(12):
+        logs.write_report(spark, f"{tmp_path}/m/reports", f"9{k:02d}", "x")
+    assert len(list((tmp_path / "m" / "reports").glob("report-*.md"))) == 10
+    got = m.brief(NOW, project="proj")
+    assert len(got.encode()) <= m.settings.brief_bytes and a in got
+
+
+def test_staging(spark):
+    blocks = spark.createDataFrame([([("text", "a"), ("image", "x"), ("text", "b")],)], "content array<struct<type:string,text:string>>")
+    assert blocks.select(capture.content_text(F.col("content"))).first()[0] == "a b"
+    events = spark.createDataFrame([("turn/end", 0), ("turn/end", 1), ("other", 0), ("turn/end", None)], "type string, delegation_depth int")
+    assert capture.eligible(events).count() == 2 and capture.eligible(events, mode="explicit").count() == 0
+    one = spark.createDataFrame([("s", 0, "x", "fact"), ("s", 1, "y", "fact")], "session string, seq int, content string, kind string")
+    assert [(r.seq, r.content, r.via) for r in capture.staged(one, one.where("seq = 0")).orderBy("seq").collect()] == [(0, "x", "heuristic"), (1, "y", "heuristic"), (2, "x", "model")]
+    cards = spark.createDataFrame([("g", "a", 0.9, 1), ("g", "b", 0.5, 1)], "store string, id string, confidence double, importance int")
+    patched = consolidate.patch(cards, spark.createDataFrame([("g", "b", 0.85, None)], "store string, id string, confidence double, importance int"))
+    assert {(r.id, r.confidence, r.importance) for r in patched.collect()} == {("a", 0.9, 1), ("b", 0.85, 1)}
+    seen = spark.createDataFrame([("a", "s1"), ("a", "s1"), ("b", "s1"), ("b", "s2")], "id string, session string")
+    assert [r.id for r in consolidate.promoted(patched, seen).collect()] == ["b"]
+
+
 def test_ranking(spark):
     """The greedy ranking against a loop over all candidates."""
     texts = ["red green blue", "red green blue", "red green yellow", "cat dog", "cat dog bird", "sun"]

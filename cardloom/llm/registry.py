@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lm, neardup, packing, passages, pii, quality, secrets, sharding, tokenfiles
+from . import decontaminate, lm, neardup, oracle, packing, passages, pii, quality, secrets, sharding, tokenfiles
 from .base import documents
 
 
@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_quality": oracle.LINE_QUALITY, "op3_minhash_bayes": oracle.NEAR_DUPLICATES, "op9_wu_manber": oracle.DECONTAMINATION}

@@ -1,0 +1,50 @@
+"""Queries with SQL against DuckDB, on the smallest tables and on odd rows."""
+
+from collections import Counter
+
+import duckdb
+import pytest
+
+from cardloom.llm import registry
+
+ODD = [
+    (1, None),
+    (2, ""),
+    (3, " \t\n\x0b\n"),
+    (4, "one Two"),
+    (5, "ONE two"),
+    (6, "\x85\nx\n\x85\n\u2028\n\u2029\n\u2028"),
+    (7, "the a b the a b the a b c\n\nHome | About | Login\n" + "word " * 60 + "."),
+    (8, "Line é one is fine.\nLine é one is fine.\n \n" + " ".join(f"w{i}" for i in range(80)) + "."),
+    (9, " ".join(f"w{i}" for i in range(80)) + ".\nLine é one is fine."),
+    (9, " ".join(f"w{i}" for i in range(80)) + ".\nLine é one is fine."),
+    (10, "ÄÖÜ SHOUTING LOUDLY IN THIS LINE 😀 # * |\nAll rights reserved."),
+    (11, "x alpha beta gamma x alpha beta gamma y"),
+    (12, " ".join(f"q{i}" for i in range(12)) + " tail"),
+]
+ITEMS = [(1, "Alpha, beta gamma"), (2, None), (3, "!?"), (10, " ".join(f"q{i}" for i in range(11))), (4, "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10")]
+
+
+@pytest.fixture(scope="module", params=["real", "odd"])
+def folder(request, spark, sf_dir, tmp_path_factory):
+    if request.param == "real":
+        return sf_dir
+    out = tmp_path_factory.mktemp("odd")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, None, None, None) for i, t in ODD], schema).write.parquet(f"file://{out}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"file://{out}/benchmark.parquet")
+    return str(out)
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query(spark, folder, name):
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet{'' if folder.startswith('/root') else '/*.parquet'}')")
+    cur = db.execute(registry.oracle_sql()[name])
+    cols = [c[0] for c in cur.description]
+    want = Counter(tuple(v for _, v in sorted(zip(cols, r, strict=True), key=lambda x: x[0])) for r in cur.fetchall())
+    got = registry.queries()[name](spark, folder)
+    assert sorted(cols) == sorted(got.columns)
+    rows = Counter(tuple(r[c] for c in sorted(cols)) for r in got.collect())
+    assert rows == want, (list((rows - want).items())[:3], list((want - rows).items())[:3])

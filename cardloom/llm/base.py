@@ -24,11 +24,14 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under the session's shared checkpoint folder.
 
-    Only where the setting is absent (tests, a laptop) a local folder is made
-    and put into the session, so that later calls find the same one.
+    Only where the setting is absent and all runs in one process (tests, a
+    laptop) a local folder is made and put into the session, so that later
+    calls find the same one; a cluster without the setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="cardloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/cardloom/{uuid.uuid4().hex}"

@@ -4,7 +4,9 @@ The sort key is a 63-bit number: the high bits are a hash of the text, so equal
 texts lie together, the low bits a hash of the id, so a group of copies that
 holds a third of all rows can be cut anywhere. Exact bytes are counted below
 evenly placed probes; each round refines only the cells in which a wanted
-boundary lies, until every boundary meets the tolerance. Then rows move once.
+boundary lies, until every boundary meets the tolerance. Then rows move once,
+and slots follow the key: a shard is sorted in pieces, ranges of the key with
+about equal numbers of rows, found by the same histograms.
 
 Defined cases: null text has no bytes; a null id hashes as such; rows equal in
 id and text share a key and stay together, so only these can make shards
@@ -14,6 +16,8 @@ by ``report`` and kept by ``assign``.
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +30,8 @@ KEY_BITS = TEXT_BITS + ID_BITS
 FIRST_BITS, STEP_BITS = 12, 9
 #: A boundary may be off by this part of a shard.
 TOLERANCE = 0.001
-#: Row numbers are dealt in so many independent runs within a shard.
-SLOT_RUNS = 64
+#: The whole table is sorted in so many pieces; a piece may be off by this part at either end.
+PIECES, PIECE_TOLERANCE = 1024, 0.5
 
 
 def text_bytes(text: Column) -> Column:
@@ -39,15 +43,17 @@ def sort_key(doc_id: Column, text: Column) -> Column:
     return high.bitwiseOR(F.xxhash64(doc_id, F.lit(7)).bitwiseAND(F.lit((1 << ID_BITS) - 1)))
 
 
-def splitters(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[int]:
+def splitters(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE, weight: str = "size") -> list[int]:
     """``shards - 1`` keys; shard k takes keys from splitter k-1 up to below splitter k.
 
+    Shards are of equal sums of the column ``weight``.
+
     Each round is one aggregation whose result has at most
     ``shards * 2**STEP_BITS`` rows (``2**FIRST_BITS`` in the first), whatever
     the size of the table.
     """
     shift = KEY_BITS - FIRST_BITS
-    cells = dict(keyed.groupBy(F.shiftright("key", shift).alias("cell")).agg(F.sum("size")).collect())
+    cells = dict(keyed.groupBy(F.shiftright("key", shift).alias("cell")).agg(F.sum(weight)).collect())
     total = sum(cells.values())
     targets = [total * (k + 1) / shards for k in range(shards - 1)]
     done: dict[int, int] = {}
@@ -80,7 +86,7 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE) -> li
         rows = (
             keyed.where(F.shiftright("key", shift).isin(list(parents)))
             .groupBy(F.shiftright("key", shift - step).alias("cell"))
-            .agg(F.sum("size").alias("s"))
+            .agg(F.sum(weight).alias("s"))
             .collect()
         )
         counts: dict[int, dict[int, int]] = {p: {} for p in parents}
@@ -95,8 +101,23 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE) -> li
     return out
 
 
-def assign(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
-    """Per document: id, size, key, shard and slot (gapless from 0 in its shard)."""
+def _place(key: Column, cuts: list[int], inner: list[int]) -> tuple[Column, Column]:
+    """The shard of a key, and its piece there; pieces are cut at ``inner``."""
+
+    def below(bounds: Column) -> Column:
+        return F.size(F.filter(bounds, lambda c: c <= key)).cast("int")
+
+    def longs(cs: list[int]) -> Column:
+        return F.array(*[F.lit(c) for c in cs]).cast("array<bigint>")
+
+    edges = [0, *cuts, 1 << KEY_BITS]
+    shard = below(longs(cuts))
+    pieces = F.array(*[longs(sorted({c for c in inner if low < c < high})) for low, high in pairwise(edges)])
+    return shard, below(F.get(pieces, shard))
+
+
+def assign(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE, pieces: int = PIECES) -> DataFrame:
+    """Per document: id, size, key, shard and slot (gapless from 0 in its shard, in order of the key)."""
     keyed = written(
         docs.select(
             F.col(id_col).alias("doc_id"),
@@ -105,19 +126,18 @@ def assign(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_co
             sort_key(F.col(id_col), F.col(text_col)).alias("key"),
         )
     )
-    cuts = splitters(keyed, shards, tolerance)
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    shard = F.size(F.filter(bounds, lambda c: c <= F.col("key"))).cast("int")
-    run = F.pmod(F.xxhash64("doc_id", "key", F.lit(11)), F.lit(SLOT_RUNS)).cast("int")
-    placed = keyed.withColumn("shard", shard).withColumn("run", run)
-    # shards * SLOT_RUNS counts at most: where each run's slots begin.
-    counts = placed.groupBy("shard", "run").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    begins = counts.select("shard", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
-    within = Window.partitionBy("shard", "run").orderBy("key", "doc_id")
+    # Shards are even in bytes, pieces in rows, since it is rows that are sorted here.
+    inner = splitters(keyed.select("key", F.lit(1).alias("row")), pieces, PIECE_TOLERANCE, "row")
+    shard, piece = _place(F.col("key"), splitters(keyed, shards, tolerance), inner)
+    placed = keyed.withColumn("shard", shard).withColumn("piece", piece)
+    # shards + pieces counts at most: where each piece's slots begin.
+    counts = placed.groupBy("shard", "piece").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select("shard", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    within = Window.partitionBy("shard", "piece").orderBy("key", "doc_id")
     return (
         placed.withColumn("n", F.row_number().over(within) - 1)
-        .join(F.broadcast(begins), ["shard", "run"])
+        .join(F.broadcast(begins), ["shard", "piece"])
         .select("doc_id", "size", "text_crc32", "key", "shard", (F.col("begin") + F.col("n")).cast("long").alias("slot"))
     )
 
@@ -126,9 +146,12 @@ def report(docs: DataFrame, shards: int = 40) -> DataFrame:
     return assign(docs, shards).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 40, *, tolerance: float = TOLERANCE) -> None:
-    """Documents, whole rows, into ``path/shard=N``; rows move in one exchange."""
-    cuts = splitters(written(docs.select(text_bytes(F.col("text")).alias("size"), sort_key(F.col("doc_id"), F.col("text")).alias("key"))), shards, tolerance)
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    shard = F.size(F.filter(bounds, lambda c: c <= sort_key(F.col("doc_id"), F.col("text")))).cast("int")
-    docs.withColumn("shard", shard).repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_RUNS))).write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 40, *, tolerance: float = TOLERANCE, pieces: int = PIECES) -> None:
+    """Documents, whole rows, into ``path/shard=N``; rows move in one exchange, each file lies in order of the key.
+
+    Beside the folder's own column ``shard``, the input must have none of that name.
+    """
+    keyed = written(docs.select(text_bytes(F.col("text")).alias("size"), sort_key(F.col("doc_id"), F.col("text")).alias("key")))
+    shard, piece = _place(sort_key(F.col("doc_id"), F.col("text")), splitters(keyed, shards, tolerance), splitters(keyed, pieces, PIECE_TOLERANCE))
+    moved = docs.withColumn("shard", shard).repartition("shard", piece)
+    moved.sortWithinPartitions("shard", sort_key(F.col("doc_id"), F.col("text"))).write.partitionBy("shard").parquet(path)

@@ -107,6 +107,8 @@ def test_sharding(docs, spark):
     big = max(r["size"] for r in got)
     mean = sum(sums.values()) / 8
     assert max(sums.values()) <= mean + 2 * big
+    order = [r.key for r in sorted(sharding.assign(both, 8).collect(), key=lambda r: (r.shard, r.slot))]
+    assert order == sorted(order)
     assert sharding.report(both.limit(0), 8).count() == 0
     assert {r.shard for r in sharding.report(both.limit(2), 40).collect()} <= set(range(40))
 

@@ -22,19 +22,26 @@ def pairs(reps: DataFrame, threshold: float) -> DataFrame:
 
     Terms are ordered from rare to frequent; two sets that similar share a term
     among the first n - ceil(t * n) + 1 of each, so frequent terms aren't joined.
+    Of their first common term the places also tell how many more there can be.
+    Candidates are thinned by hashes of their terms, with room for a hash that
+    two terms have in common; what stays is decided on the terms.
     """
     df = reps.select(F.explode("set").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     ranked = reps.select("key", "ord", "n", F.explode("set").alias("term")).join(df, "term").groupBy("key", "ord", "n").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("terms"))
     prefix = F.slice("terms.term", F.lit(1), (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int"))
-    posts = ranked.select("key", "ord", "n", F.explode(prefix).alias("term"))
+    posts = ranked.select("key", "ord", "n", F.posexplode(prefix).alias("at", "term"))
     a, b = posts.alias("a"), posts.alias("b")
-    near = F.col("a.n") * 1.0
-    candidates = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.ord") < F.col("b.ord")) & (F.col("b.n") >= threshold * near - 1e-9) & (threshold * F.col("b.n") <= near + 1e-9)).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
-    sets = reps.select("key", "ord", "set", "n")
-    left = sets.select(F.col("key").alias("a"), F.col("ord").alias("ord_a"), F.col("set").alias("sa"), F.col("n").alias("na"))
-    right = sets.select(F.col("key").alias("b"), F.col("ord").alias("ord_b"), F.col("set").alias("sb"), F.col("n").alias("nb"))
-    full = candidates.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return full.where(F.col("common") >= F.lit(threshold) * (F.col("na") + F.col("nb") - F.col("common")) - 1e-9).select("a", "b", "ord_a", "ord_b", "common", "na", "nb", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("sim"))
+    sizes = (F.col("b.n") >= threshold * F.col("a.n") - 1e-9) & (threshold * F.col("b.n") <= F.col("a.n") + 1e-9)
+    room = (1 + threshold) * F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= threshold * (F.col("a.n") + F.col("b.n")) - 1e-6
+    candidates = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.ord") < F.col("b.ord")) & sizes & room).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
+    enough = lambda common: common >= F.lit(threshold) * (F.col("na") + F.col("nb") - common) - 1e-9
+    hashed = reps.select("key", "n", F.transform("set", lambda x: F.xxhash64(x)).alias("h"))
+    near = candidates.join(hashed.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("h").alias("ha")), "a").join(hashed.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("h").alias("hb")), "b")
+    near = near.where(enough(F.size(F.array_intersect("ha", "hb")) + 1)).select("a", "b", "na", "nb")
+    left = reps.select(F.col("key").alias("a"), F.col("ord").alias("ord_a"), F.col("set").alias("sa"))
+    right = reps.select(F.col("key").alias("b"), F.col("ord").alias("ord_b"), F.col("set").alias("sb"))
+    full = near.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    return full.where(enough(F.col("common"))).select("a", "b", "ord_a", "ord_b", "common", "na", "nb", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("sim"))
 
 
 def decision(sim: F.Column) -> F.Column:

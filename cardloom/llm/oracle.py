@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality
+from . import decontaminate, quality, secrets
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 #: Java's white space has the vertical tab, RE2's hasn't.
-_JAVA_SPACE = r"[\t\n\x0B\f\r ]"
+_JAVA_SPACE = r"\t\n\x0B\f\r "
 
 
 def _pattern(java: str) -> str:
-    return "'" + java.replace(r"\s", _JAVA_SPACE).replace("'", "''") + "'"
+    in_class = java.replace(r"\s]", _JAVA_SPACE + "]")
+    return "'" + in_class.replace(r"\s", f"[{_JAVA_SPACE}]").replace("'", "''") + "'"
 
 
 def _next(n: int, partition: str) -> str:
@@ -71,3 +72,23 @@ hit AS (SELECT r, pos, m, item_id FROM win JOIN pat USING (m, s)),
 words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(pos, pos + m)) AS p FROM (SELECT DISTINCT r, pos, m FROM hit)) GROUP BY r),
 items AS (SELECT r, count(*) AS n_items, string_agg(v, ',' ORDER BY v) AS v FROM (SELECT DISTINCT r, item_id::VARCHAR AS v FROM hit) GROUP BY r)
 SELECT doc_id, len(x)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(v, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
+
+def _spans(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    """Row, start, rank, kind, stop and value of one detector's matches: starts come from the lengths of what lies between them."""
+    p = _pattern(pattern)
+    pieces = f"SELECT r, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}) AS whole, regexp_extract_all(t, {p}, {group}) AS val FROM d WHERE regexp_matches(t, {p})"
+    each = f"SELECT r, generate_subscripts(whole, 1) AS k, unnest(gaps[:len(whole)]) AS gap, unnest(whole) AS m, unnest(val) AS v FROM ({pieces})"
+    stops = f"SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY r ORDER BY k)::BIGINT AS stop FROM ({each})"
+    return f"SELECT r, stop - length(m) AS start, {rank} AS rank, '{kind}' AS kind, stop, v FROM ({stops}) WHERE length(v) >= {least}"
+
+
+_KINDS = [*secrets.BASE_DETECTORS, *secrets.EXTRA_DETECTORS]
+_BASE = len(secrets.BASE_DETECTORS)
+_LISTED = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank){0}, '')"
+
+SECRETS = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(_spans(k, i, p, g, n) for i, (k, p, g, n) in enumerate(_KINDS))}),
+owned AS (SELECT v, count(DISTINCT owner) <= {secrets.MAX_OWNERS} AS live FROM s JOIN d USING (r) GROUP BY v),
+per_row AS (SELECT r, {", ".join(f"count(*) FILTER (rank = {i}) AS n_{k}" for i, (k, *_) in enumerate(_KINDS[:_BASE]))}, {_LISTED.format(f" FILTER (rank < {_BASE})")} AS base,
+  {_LISTED.format(f" FILTER (rank < {_BASE} OR live)")} AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (rank < {_BASE} AND NOT live) AS n_example FROM s JOIN owned USING (v) GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, *_ in _KINDS[:_BASE])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN per_row USING (r)"""

@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_quality": oracle.LINE_QUALITY, "op3_minhash_bayes": oracle.NEAR_DUPLICATES, "op9_wu_manber": oracle.DECONTAMINATION}
+    return {"op1_secret_scan": oracle.SECRETS, "op2_line_quality": oracle.LINE_QUALITY, "op3_minhash_bayes": oracle.NEAR_DUPLICATES, "op9_wu_manber": oracle.DECONTAMINATION}

@@ -1,5 +1,7 @@
 """The calls and the streams, on literal rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +161,27 @@ def test_incremental(spark, tmp_path):
     assert consume() == [1]
     put(2)
     assert consume() == [1, 2]
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_links_of_large_and_small_tag_lists(spark, monkeypatch, block):
+    """Against a plain loop: hot lists in several blocks, lists within others, repeated tags, no tags, no words, ties."""
+    monkeypatch.setattr(consolidate, "BLOCK", block)
+    rng = random.Random(5)
+    rows = []
+    for i in range(90):
+        tags = ["a", "b", "c"] if i % 3 == 0 else rng.sample("abcdef", rng.randint(0, 5)) + ["a"] * (i % 2)
+        rows.append((f"s{i % 5 == 4}", f"m{i:03d}", tags if i != 7 else None, rng.sample("uvwxyz", rng.randint(0, 5))))
+    cards = spark.createDataFrame(rows, "store string, id string, tags array<string>, tokens array<string>")
+    got = {(r.store, r.id): r.links for r in consolidate.relink(cards).collect()}
+    want = {}
+    for s, i, tags, words in rows:
+        found = []
+        for s2, j, tags2, words2 in rows:
+            m = len(set(tags or ()) & set(tags2 or ()))
+            if s == s2 and i != j and m >= 2:
+                u, v = set(words), set(words2)
+                found.append((-round(m * 10 + (len(u & v) / len(u | v) if u and v else 0.0), 9), j))
+        if found:
+            want[s, i] = [j for _, j in sorted(found)[:5]]
+    assert got == want

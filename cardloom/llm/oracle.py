@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, secrets
+from . import decontaminate, filters, quality, secrets
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -92,3 +92,20 @@ owned AS (SELECT v, count(DISTINCT owner) <= {secrets.MAX_OWNERS} AS live FROM s
 per_row AS (SELECT r, {", ".join(f"count(*) FILTER (rank = {i}) AS n_{k}" for i, (k, *_) in enumerate(_KINDS[:_BASE]))}, {_LISTED.format(f" FILTER (rank < {_BASE})")} AS base,
   {_LISTED.format(f" FILTER (rank < {_BASE} OR live)")} AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (rank < {_BASE} AND NOT live) AS n_example FROM s JOIN owned USING (v) GROUP BY r)
 SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, *_ in _KINDS[:_BASE])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN per_row USING (r)"""
+
+_STEP = "CASE substr(filter_order, {0}, 1) " + " ".join(f"WHEN '{c}' THEN {1 << k}" for k, c in enumerate(filters.NAMES)) + " ELSE 0 END"
+
+FILTER_AUDIT = rf"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+f AS (SELECT doc_id, part, CASE WHEN len(w) < {filters.MIN_WORDS} THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < {filters.MIN_DISTINCT} * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {filters.MAX_CAPITALS} * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '{filters.SYMBOLS}') THEN 8 ELSE 0 END
+  + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM d),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+x AS (SELECT unnest(string_split('{filters.NAMES}', '')) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a JOIN x b ON b.x <> a.x JOIN x c ON c.x NOT IN (a.x, b.x) JOIN x d ON d.x NOT IN (a.x, b.x, c.x) JOIN x e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+s AS (SELECT filter_order, step::INTEGER AS step, {_STEP.format("step")} AS bit, ({" + ".join(f"CASE WHEN step > {k} THEN {_STEP.format(k)} ELSE 0 END" for k in range(1, 5))}) AS before FROM o, range(1, 6) r(step)),
+p AS (SELECT c.*, s.*, (mask & bit) > 0 AS here, (mask & before) = 0 AS alive FROM c, s),
+g AS (SELECT part, filter_order, step, any_value(bit) AS bit, coalesce(sum(n) FILTER (alive AND NOT here), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (alive AND here), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (NOT alive AND here), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (alive AND here), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (alive AND here), 0)::BIGINT AS toxic_lost FROM p GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM g"""

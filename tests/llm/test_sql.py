@@ -36,13 +36,15 @@ def folder(request, spark, sf_dir, tmp_path_factory):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([(i, t, None, None, None) for i, t in ODD], schema).write.parquet(f"file://{out}/documents.parquet")
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"file://{out}/benchmark.parquet")
+    labels = [(1, 1, 0), (2, 1, 1), (4, 0, 1), (5, 1, 0), (5, 1, 1), (9, None, 1), (77, 1, 1), (None, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file://{out}/labels.parquet")
     return str(out)
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query(spark, folder, name):
     db = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet{'' if folder.startswith('/root') else '/*.parquet'}')")
     cur = db.execute(registry.oracle_sql()[name])
     cols = [c[0] for c in cur.description]

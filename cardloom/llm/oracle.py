@@ -44,9 +44,12 @@ o AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS
 f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM o)
 SELECT *, NOT base_failed AND line_chars_kept >= line_chars * (1 - {quality.MAX_LOST}) AS kept FROM f"""
 
-NEAR_DUPLICATES = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS.format(_LOWER.format("text"))}, []) AS x FROM documents),
+
+def _near(k: int) -> str:
+    """Documents with their components by sets of k-word shingles at 0.85."""
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS.format(_LOWER.format("text"))}, []) AS x FROM documents),
 ws AS (SELECT r, unnest(x) AS w, generate_subscripts(x, 1) AS pos FROM d),
-sh AS (SELECT DISTINCT r, {_joined(3)} AS s FROM (SELECT *, {_next(3, "r")}, count(*) OVER (PARTITION BY r) AS c FROM ws) WHERE w2 IS NOT NULL OR (c < 3 AND pos = 1)),
+sh AS (SELECT DISTINCT r, {_joined(k)} AS s FROM (SELECT *, {_next(k, "r")}, count(*) OVER (PARTITION BY r) AS c FROM ws) WHERE w{k - 1} IS NOT NULL OR (c < {k} AND pos = 1)),
 sets AS (SELECT r, list_sort(list(s)) AS s FROM sh GROUP BY r),
 cls AS (SELECT min(doc_id) AS k, s, len(s) AS n FROM sets JOIN d USING (r) GROUP BY s),
 e AS (SELECT k, n, unnest(s) AS s FROM cls),
@@ -56,7 +59,11 @@ edges AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
 reach AS (SELECT k AS a, k AS b FROM cls UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
 least_id AS (SELECT a AS k, min(b) AS component_id FROM reach GROUP BY a),
 o AS (SELECT d.doc_id, coalesce(cls.n, 0)::BIGINT AS n_shingles, coalesce(least_id.component_id, d.doc_id) AS component_id FROM d LEFT JOIN sets USING (r) LEFT JOIN cls ON sets.s = cls.s LEFT JOIN least_id ON cls.k = least_id.k)
-SELECT *, doc_id = component_id AS kept FROM o"""
+SELECT * FROM o"""
+
+
+NEAR_DUPLICATES = f"SELECT *, doc_id = component_id AS kept FROM ({_near(3)})"
+NGRAM_JOIN = _near(4)
 
 _ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _N = decontaminate.WINDOW

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, filters, lm, neardup, oracle, packing, passages, pii, quality, secrets, sharding, tokenfiles
+from . import decontaminate, filters, lm, neardup, ngramjoin, oracle, packing, passages, pii, quality, secrets, sharding, tokenfiles
 from .base import documents
 
 
@@ -57,6 +57,10 @@ def op10_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(documents(spark, sf_dir))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.report(documents(spark, sf_dir))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -73,10 +77,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_compact_windows,
         op9_wu_manber,
         op10_histogram_sort,
+        op11_ngram_join,
         op12_filter_audit,
     ]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": oracle.SECRETS, "op2_line_quality": oracle.LINE_QUALITY, "op3_minhash_bayes": oracle.NEAR_DUPLICATES, "op9_wu_manber": oracle.DECONTAMINATION, "op12_filter_audit": oracle.FILTER_AUDIT}
+    return {"op1_secret_scan": oracle.SECRETS, "op2_line_quality": oracle.LINE_QUALITY, "op3_minhash_bayes": oracle.NEAR_DUPLICATES, "op9_wu_manber": oracle.DECONTAMINATION, "op11_ngram_join": oracle.NGRAM_JOIN, "op12_filter_audit": oracle.FILTER_AUDIT}

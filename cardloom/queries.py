@@ -100,6 +100,10 @@ r AS (SELECT *, regexp_replace(regexp_replace(t2, '(^|[^0-9])[0-9]{17}[0-9Xx]([^
 pii AS (SELECT *, CASE WHEN t3 <> t2 THEN list_append(h, 'cn-id') ELSE h END AS hits FROM r)"""
 
 
+#: Names of the secrets in ``text``, and the steps that mask personal data of ``documents``, for other modules' SQL.
+SECRETS_SQL, PERSONAL_SQL = _NAMES, _PII.strip()
+
+
 @query(f"SELECT doc_id, array_to_string({_NAMES}, ',') AS reasons FROM documents WHERE len({_NAMES}) > 0")
 def secret_scan(spark, d):
     names = policy.secret_names(F.col("text"))

@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table below ``spark.checkpoint.dir``; only a local session makes a folder of its own."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; only a local session makes that of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="cardloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/cardloom/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/cardloom/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in a new folder."""
+    spark, path = df.sparkSession, folder(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,7 +11,8 @@ NOT_CJK = r"[^\u3400-\u9FFF\uF900-\uFAFF]"
 
 
 def trim_space(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    # A run is tried from its start alone, so long runs within a text cost no square of their length.
+    return F.regexp_replace(c, rf"\A{SPACE}+|(?<!{SPACE}){SPACE}+\z", "")
 
 
 def collapse(c: Column) -> Column:
@@ -24,9 +25,10 @@ def let(value: Column, body) -> Column:
 
 
 def first_of_each(items: Column, key) -> Column:
-    """Items whose key hasn't come before, in order."""
-    keyed = F.transform(items, lambda x: F.struct(key(x).alias("k"), x.alias("x")))
-    return let(keyed, lambda a: F.transform(F.filter(a, lambda e, i: F.array_position(F.transform(a, lambda z: z["k"]), e["k"]) == i + 1), lambda e: e["x"]))
+    """Items whose key hasn't come before, in order: equal keys are neighbours once sorted."""
+    keyed = F.sort_array(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    first = lambda a: F.filter(a, lambda e, i: (i == 0) | (e["k"] != F.get(a, i - 1)["k"]))
+    return F.transform(F.sort_array(F.transform(let(keyed, first), lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"])
 
 
 def tokenize(text: Column) -> Column:
@@ -34,8 +36,8 @@ def tokenize(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     words = F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0))
     pairs = let(
-        F.regexp_replace(low, NOT_CJK, ""),
-        lambda c: F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))),
+        F.filter(F.split(F.regexp_replace(low, NOT_CJK, ""), ""), lambda c: c != ""),
+        lambda c: F.when(F.size(c) < 2, c).otherwise(F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda x, y: F.concat(x, y))),
     )
     return F.concat(words, pairs)
 
@@ -53,7 +55,7 @@ def first_line(text: Column) -> Column:
 
 def snippet(title: Column, body: Column, most: int = 120) -> Column:
     text = trim_space(F.coalesce(body, F.lit("")))
-    rest = trim_space(F.regexp_replace(F.substr(text, F.length(title) + 1), f"^(?:{SPACE}|[:：,，;；—-])+", ""))
+    rest = trim_space(F.regexp_replace(F.substr(text, F.length(title) + 1), rf"\A[{SPACE[1:-1]}:：,，;；—-]+", ""))
     cut = lambda c: F.when(F.length(c) <= most, c).otherwise(F.concat(F.substring(c, 1, most - 1), F.lit("…")))
     return F.when(text == "", F.lit("")).when((F.length(title) > 0) & text.startswith(title), cut(rest)).otherwise(cut(text))
 
@@ -89,8 +91,8 @@ def djb2_base36(text: Column) -> Column:
 
 
 def slug(path: Column) -> Column:
-    norm = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "/+$", "")
-    bare = F.regexp_replace(F.regexp_replace(norm, f'(?:[\\\\/:*?"<>|.]|{SPACE})+', "-"), "^-+|-+$", "")
+    norm = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"(?<!/)/+\z", "")
+    bare = F.regexp_replace(F.regexp_replace(norm, rf'[\\/:*?"<>|.{SPACE[1:-1]}]+', "-"), r"\A-+|(?<!-)-+\z", "")
     full = F.when(bare == "", F.lit("root")).otherwise(bare)
     return F.when(F.length(full) > 48, F.concat(F.substring(full, 1, 32), F.lit("-"), djb2_base36(full))).otherwise(full)
 

@@ -11,7 +11,7 @@ _JAVA_SPACE = r"\t\n\x0B\f\r "
 
 
 def _pattern(java: str) -> str:
-    in_class = java.replace(r"\s]", _JAVA_SPACE + "]")
+    in_class = java.replace(r"\s]", _JAVA_SPACE + "]").replace(r"[\s", "[" + _JAVA_SPACE)
     return "'" + in_class.replace(r"\s", f"[{_JAVA_SPACE}]").replace("'", "''") + "'"
 
 
@@ -23,9 +23,13 @@ def _joined(n: int) -> str:
     return "concat_ws(' ', " + ", ".join(["w", *(f"w{k}" for k in range(1, n))]) + ")"
 
 
+_BARE = f"regexp_replace(lower(l), {_pattern(quality.CLOSING)}, '')"
+for _p, _e in quality.JOINED:
+    _BARE = f"regexp_replace({_BARE}, {_pattern(_p)}, '{_e.replace('$', chr(92))}', 'g')"
+_MENU = f"string_split_regex({_BARE}, {_pattern(quality.BETWEEN)})"
 _FAILS = f"""(length(l) - length(regexp_replace(l, '[{quality.SYMBOLS}]', '', 'g'))) * 10 > length(l)
   OR (regexp_matches(l, '[^\\x20\\x09-\\x0D]') AND NOT regexp_matches(l, {_pattern(quality.CLOSING)}))
-  OR regexp_matches(l, {_pattern(quality.NAVIGATION)})
+  OR (regexp_matches(l, {_pattern(quality.MENU_START)}) AND len(list_filter({_MENU}, lambda x: x <> '')) > 1 AND len(list_filter({_MENU}, lambda x: x NOT IN ('', {", ".join(f"'{w}'" for w in quality.NAVIGATION)}))) = 0)
   OR (length(l) <= 200 AND regexp_matches(l, {_pattern(quality.BOILERPLATE)}))
   OR (length(l) >= 20 AND length(regexp_replace(l, '\\P{{Lu}}+', '', 'g')) > 12 AND length(regexp_replace(l, '\\P{{Lu}}+', '', 'g')) * 10 > length(regexp_replace(l, '\\P{{L}}+', '', 'g')) * 6)"""
 

@@ -22,7 +22,11 @@ MIN_WORDS = 50
 MAX_LOST = 0.5
 # Phrases of boilerplate and navigation, matched in either case.
 BOILERPLATE = r"(?i)\b(all rights reserved|terms of (use|service)|privacy policy|cookie(s)? policy|uses? cookies|lorem ipsum|enable javascript|javascript is (disabled|required)|subscribe to our|sign up for our|click here|read more|powered by|copyright (\(c\)|©))"
-NAVIGATION = r"(?i)\A\s*((home|about( us)?|contact( us)?|login|log in|sign in|sign up|menu|search|next|previous|back|faq|help|sitemap)\s*([|>»/•·-]\s*)?){2,}\z"
+NAVIGATION = "home about contact login signin signup menu search next previous back faq help sitemap".split()
+#: Words that are one entry of a menu; what stands between entries; what a line starts with if it is a menu.
+JOINED = [(r"(about|contact)\s+us\b", "$1"), (r"\b(log|sign)\s+(in|up)\b", "$1$2")]
+BETWEEN = r"[\s|>»/•·-]+"
+MENU_START = r"(?i)\A[\s|>»/•·-]*(home|about|contact|log|sign|menu|search|next|previous|back|faq|help|sitemap)"
 #: A line may end in these, in quotes or brackets after them too.
 CLOSING = r"[.!?…:;。！？]['\"”’»)\]]*\s*\z"
 #: ``\z``, since ``$`` also stands before a last U+0085, U+2028 or U+2029, which are words.
@@ -59,6 +63,19 @@ def repeated_words(ws: Column) -> Column:
     return F.when(F.size(ws) < 3, F.lit(0).cast("long")).otherwise(let(ws, count))
 
 
+def is_menu(line: Column) -> Column:
+    """Two or more entries of ``NAVIGATION`` and nothing else, but for closing punctuation.
+
+    Entries are looked up one by one: a pattern that repeats them would use up
+    the matcher's stack on a long line.
+    """
+    bare = F.regexp_replace(F.lower(line), CLOSING, "")
+    for pattern, entry in JOINED:
+        bare = F.regexp_replace(bare, pattern, entry)
+    entries = lambda e: (F.size(e) > 1) & F.forall(e, lambda x: x.isin(*NAVIGATION))
+    return line.rlike(MENU_START) & let(F.filter(F.split(bare, BETWEEN), lambda x: x != ""), entries)
+
+
 def line_fails(line: Column) -> Column:
     """The line-level verdict; a blank line doesn't fail."""
     size = F.length(line)
@@ -69,7 +86,7 @@ def line_fails(line: Column) -> Column:
     return (
         (symbols * 10 > size)
         | (~line.rlike(CLOSING) & ~line.rlike(WORDLESS))
-        | line.rlike(NAVIGATION)
+        | is_menu(line)
         | ((size <= 200) & line.rlike(BOILERPLATE))
         | ((size >= 20) & (upper > 12) & (upper * 10 > letters * 6))
     )

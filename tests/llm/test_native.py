@@ -116,3 +116,12 @@ def test_sharding(docs, spark):
 def test_write_shards(docs, spark, tmp_path):
     sharding.write_shards(docs.drop("shard"), f"file://{tmp_path}/out", 4)
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == docs.count()
+
+
+def test_menus(spark):
+    """Lines of menu entries go, also with a full stop and very long ones; a sentence that starts like one stays."""
+    fill = "\n" + " ".join(f"w{i}" for i in range(200)) + "."
+    lines = ["Home | About us | Sign in.", "log in sign up", "Sign up.", "Home is where we are.", "home " * 100_000 + ".", "house " * 100_000 + ".", "home · " * 100_000 + "house."]
+    docs = spark.createDataFrame([(i, x + fill) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.n_lines_removed for r in quality.report(docs).collect()}
+    assert got == {0: 1, 1: 1, 2: 0, 3: 0, 4: 1, 5: 0, 6: 0}

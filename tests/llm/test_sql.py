@@ -25,6 +25,8 @@ ODD = [
     (14, "Bearer " + "t" * 24 + " " + "0123456789abcdef" * 2 + " ghp_" + "A" * 36 + "\xa0xoxb-1234567890-ab"),
     (14, "-----BEGIN RSA PRIVATE KEY-----\n\x0b" + "Ab+/" * 8 + "\n AKIASHORT secret:=x eyJ" + ".".join(["Q" * 12] * 3)),
 ]
+FILL = " ".join(f"w{i}" for i in range(60)) + "."
+ODD += [(20 + k, f"{line}\n{FILL}") for k, line in enumerate(["Home | About us | Sign in.", "home contact  US log in », FAQ!", "Sign up.", "| sitemap·Help\x0bback\u2028.", "home sweet home.", "About Us", "home " * 3000 + ".", "menu> " * 3000, "home " * 3000 + "sweet."])]
 ITEMS = [(1, "Alpha, beta gamma"), (2, None), (3, "!?"), (10, " ".join(f"q{i}" for i in range(11))), (4, "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10")]
 
 

@@ -148,30 +148,49 @@ def _joined(parts: list[pa.RecordBatch], col: int, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(v for p in parts for v in p.column(col).to_pylist()), dtype)
 
 
-def _shared(batches: Iterator[pa.RecordBatch], hot_from: float) -> Iterator[pa.RecordBatch]:
-    """Per bucket: (cid, shared), the number of a class's shingles there that others have; (null, hot, count) for very frequent ones."""
+def _block_of(cids: np.ndarray, blocks: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _bucket_of(neardup._mix(cids.view(np.uint64)), blocks)
 
-    def out(cid, shared, hot, count):
-        return pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(shared, pa.int64()), pa.array(hot, pa.int64()), pa.array(count, pa.int64())], names=["cid", "shared", "hot", "count"])
 
+def _runs(key: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each value of the sorted ``key`` and where it stands."""
+    starts = _run_starts(key).tolist()
+    for a, b in zip(starts, [*starts[1:], len(key)]):
+        yield int(key[a]), slice(a, b)
+
+
+def _shared(batches: Iterator[pa.RecordBatch], hot_from: float, blocks: int) -> Iterator[pa.RecordBatch]:
+    """Per bucket a row a block of classes: how many of a class's shingles there others have; and, as block -1, very frequent shingles with their counts."""
     for bucket, parts in _grouped(batches):
-        cids, sizes = _joined(parts, 1, "<i8"), _joined(parts, 2, "<u4").astype(np.int64)
-        if bucket < 0:
-            yield out(cids, sizes, np.full(len(cids), None), np.full(len(cids), None))
-            continue
-        xs, mx, mc = _joined(parts, 3, "<u4"), _joined(parts, 4, "<u4"), _joined(parts, 5, "<i8")
-        x, weight = np.r_[xs, mx], np.r_[np.ones(len(xs), np.int64), mc]
-        names, inverse = np.unique(x, return_inverse=True)
-        total = np.bincount(inverse, weight, len(names)).astype(np.int64)
-        per = np.r_[0, np.cumsum(total[inverse[: len(xs)]] > 1)]
-        ends = np.cumsum(sizes)
-        found = per[ends] - per[ends - sizes]
-        has = np.flatnonzero(found)
-        yield out(cids[has], found[has], np.full(len(has), None), np.full(len(has), None))
-        hot = np.flatnonzero(total > hot_from)
-        if len(hot):
-            none = np.full(len(hot), None)
-            yield out(none, none, (np.int64(bucket) << 32) | names[hot].astype(np.int64), total[hot])
+        cids, found = _joined(parts, 1, "<i8"), _joined(parts, 2, "<u4").astype(np.int64)
+        rows = []
+        if bucket >= 0:
+            xs, mx, mc = _joined(parts, 3, "<u4"), _joined(parts, 4, "<u4"), _joined(parts, 5, "<i8")
+            names, inverse = np.unique(np.r_[xs, mx], return_inverse=True)
+            total = np.bincount(inverse, np.r_[np.ones(len(xs), np.int64), mc], len(names)).astype(np.int64)
+            per = np.r_[0, np.cumsum(total[inverse[: len(xs)]] > 1)]
+            ends = np.cumsum(found)
+            found = per[ends] - per[ends - found]
+            hot = np.flatnonzero(total > hot_from)
+            if len(hot):
+                rows.append((-1, ((np.int64(bucket) << 32) | names[hot].astype(np.int64)).tobytes(), total[hot].tobytes()))
+        cids, found = cids[found > 0], found[found > 0]
+        block = _block_of(cids, blocks)
+        by = np.argsort(block, kind="stable")
+        rows += [(k, cids[by][at].tobytes(), found[by][at].tobytes()) for k, at in _runs(block[by])]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "names", "counts"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a class with the sum of its counts; frequent shingles as they are, with ``hot``."""
+    for block, parts in _grouped(batches):
+        names, counts = _joined(parts, 1, "<i8"), _joined(parts, 2, "<i8")
+        if block >= 0:
+            names, inverse = np.unique(names, return_inverse=True)
+            counts = np.bincount(inverse, counts, len(names)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts), pa.array(np.full(len(names), block < 0))], names=["name", "n", "hot"])
 
 
 # --- step 3: rare-first prefixes ----------------------------------------------
@@ -208,24 +227,39 @@ def _ask(batches: Iterator[pa.RecordBatch], buckets: int, hot_bits: int, hot: np
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "cids", "sizes", "xs"])
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per class of a bucket: its shingles there that others have too, and how many classes have each."""
+_PACKED = "block int, cids binary, sizes binary, xs binary, dfs binary"
+
+
+def _answer(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
+    """Per bucket a row a block of classes: the shingles there that others have too, and how many classes have each."""
     for _, parts in _grouped(batches):
         cids, sizes, xs = _joined(parts, 1, "<i8"), _joined(parts, 2, "<u4").astype(np.int64), _joined(parts, 3, "<u8")
         _, inverse, count = np.unique(xs, return_inverse=True, return_counts=True)
         df = count[inverse]
         keep = df > 1
-        own = np.repeat(np.arange(len(cids)), sizes)[keep]
-        x, df = xs[keep], df[keep]
-        by = np.argsort(cids[own], kind="stable")  # a class comes once from each batch that held a part of it
-        x, df, own = x[by], df[by], cids[own[by]]
-        starts = _run_starts(own)
-        ends = np.r_[starts[1:], len(own)]
-        for a in range(0, len(starts), 4096):
-            s, e = starts[a : a + 4096], ends[a : a + 4096]
-            xb = [x[i:j].tobytes() for i, j in zip(s.tolist(), e.tolist(), strict=True)]
-            db = [df[i:j].astype("<u4").tobytes() for i, j in zip(s.tolist(), e.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(own[s], pa.int64()), pa.array(xb, pa.binary()), pa.array(db, pa.binary())], names=["cid", "xs", "dfs"])
+        own = np.repeat(cids, sizes)[keep]
+        x, df, block = xs[keep], df[keep].astype("<u4"), _block_of(own, blocks)
+        by = np.lexsort((own, block))
+        x, df, own, block = x[by], df[by], own[by], block[by]
+        rows = []
+        for k, at in _runs(block):
+            first = _run_starts(own[at])
+            rows.append((k, own[at][first].tobytes(), np.diff(np.r_[first, at.stop - at.start]).astype("<u4").tobytes(), x[at].tobytes(), df[at].tobytes()))
+        if rows:
+            yield _packed_rows(rows)
+
+
+def _packed_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["block", "cids", "sizes", "xs", "dfs"])
+
+
+def _own(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
+    """(cid, full) as rows of the answers' form, without counts."""
+    for b in batches:
+        cids = b.column(0).to_numpy()
+        if len(cids):
+            full = b.column(1).to_pylist()
+            yield _packed_rows([(k, c.tobytes(), b"", f, None) for k, c, f in zip(_block_of(cids, blocks).tolist(), cids, full, strict=True)])
 
 
 def _histograms(x: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -238,40 +272,53 @@ def _histograms(x: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], rule: Rule, hot_bits: int, hot: np.ndarray, hot_df: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(cid, full, answers) to the rows of the class's prefix: key, cid, n, at, rest (histogram of what follows).
+    """A block's sets and answers to the rows of its classes' prefixes: key, cid, n, left (shingles that follow), rest (their histogram).
 
     Unshared shingles are the rarest and stand first, so the prefix's places from
     their number on belong to shared ones. What follows a shingle is counted
     among shared shingles alone: others can't be in common.
     """
-    for b in batches:
-        cols = {k: [] for k in ("key", "cid", "n", "left")}
-        rests = []
-        for cid, full, answers in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            s = np.frombuffer(full, "<u8")
-            n = len(s)
-            is_hot, at = _hot_at(s, hot, hot_bits)
-            x = np.r_[np.frombuffer(b"".join(a["xs"] for a in answers or []), "<u8"), s[is_hot]]
-            # Hot shingles come after all others, by their own counts.
-            df = np.r_[np.frombuffer(b"".join(a["dfs"] for a in answers or []), "<u4").astype(np.int64), hot_df[at[is_hot]] + (1 << 40)]
-            prefix = n + (-rule.num * n) // rule.den + 1 - (n - len(x))
-            if prefix <= 0:
-                continue
-            order = np.lexsort((x, df))
-            x = x[order]
-            places = np.arange(min(prefix, len(x)))
-            cols["key"].append(x[places].view(np.int64))
-            cols["cid"].append(np.full(len(places), cid, np.int64))
-            cols["n"].append(np.full(len(places), n, np.int64))
-            cols["left"].append(len(x) - 1 - places)
-            # Counts cut at the same height on both sides are never further apart than they were.
-            rests.append(np.minimum(_histograms(x, places), np.iinfo(np.uint16).max).astype("<u2"))
-        if not rests:
-            continue
-        rest = np.concatenate(rests)
+
+    def rows(cid: int, s: np.ndarray, x: np.ndarray, df: np.ndarray) -> tuple | None:
+        n = len(s)
+        is_hot, at = _hot_at(s, hot, hot_bits)
+        # Hot shingles come after all others, by their own counts.
+        x, df = np.r_[x, s[is_hot]], np.r_[df.astype(np.int64), hot_df[at[is_hot]] + (1 << 40)]
+        prefix = n + (-rule.num * n) // rule.den + 1 - (n - len(x))
+        if prefix <= 0:
+            return None
+        x = x[np.lexsort((x, df))]
+        places = np.arange(min(prefix, len(x)))
+        # Counts cut at the same height on both sides are never further apart than they were.
+        rest = np.minimum(_histograms(x, places), np.iinfo(np.uint16).max).astype("<u2")
+        return x[places].view(np.int64), np.full(len(places), cid), np.full(len(places), n), len(x) - 1 - places, rest
+
+    def out(found: list[tuple]) -> pa.RecordBatch:
+        key, cid, n, left, rest = (np.concatenate(c) for c in zip(*found, strict=True))
         ends = np.arange(len(rest) + 1, dtype=np.int32) * (2 * CELLS)
         wide = pa.Array.from_buffers(pa.binary(), len(rest), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rest.tobytes())])
-        yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(cols[c]), pa.int64()) for c in cols], wide], names=[*cols, "rest"])
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in (key, cid, n, left)], wide], names=["key", "cid", "n", "left", "rest"])
+
+    for _, parts in _grouped(batches):
+        parts = pa.Table.from_batches(parts)
+        is_set = np.asarray(parts["dfs"].is_null())
+        sets, told = parts.filter(pa.array(is_set)), parts.filter(pa.array(~is_set)).to_batches()
+        cids, sizes, x, df = (_joined(told, k, t) for k, t in ((1, "<i8"), (2, "<u4"), (3, "<u8"), (4, "<u4")))
+        own = np.repeat(cids, sizes)
+        by = np.argsort(own, kind="stable")
+        own, x, df = own[by], x[by], df[by]
+        found, held = [], 0
+        for c, full in zip(sets["cids"].to_pylist(), sets["xs"].to_pylist(), strict=True):
+            cid = int(np.frombuffer(c, "<i8")[0])
+            lo, hi = np.searchsorted(own, [cid, cid + 1])
+            if r := rows(cid, np.frombuffer(full, "<u8"), x[lo:hi], df[lo:hi]):
+                found.append(r)
+                held += len(r[0])
+            if held > 1 << 16:
+                yield out(found)
+                found, held = [], 0
+        if found:
+            yield out(found)
 
 
 # --- step 3: the filters, in blocks -------------------------------------------
@@ -441,9 +488,10 @@ def partners(docs: DataFrame, reps: DataFrame, rule: Rule) -> tuple[DataFrame, l
     # What batches settled among themselves (bucket -1) stays where it is.
     key = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("cids"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
     met = posted.withColumn("at", key).repartition("at").sortWithinPartitions("bucket").drop("at")
-    told = written(met.mapInArrow(trimmed(partial(_shared, hot_from=max(total / HOT, HOT_LEAST))), "cid long, shared long, hot long, count long"))
-    hot = sorted((r.hot, r["count"]) for r in told.where("hot IS NOT NULL").select("hot", "count").collect())
-    sums = told.where("cid IS NOT NULL").groupBy("cid").agg(F.sum("shared").alias("shared"))
+    packed = met.mapInArrow(trimmed(partial(_shared, hot_from=max(total / HOT, HOT_LEAST), blocks=buckets)), "block int, names binary, counts binary")
+    told = written(packed.repartition("block").sortWithinPartitions("block").mapInArrow(trimmed(_summed), "name long, n long, hot boolean"))
+    hot = sorted((r.name, r.n) for r in told.where("hot").select("name", "n").collect())
+    sums = told.where("NOT hot").select(F.col("name").alias("cid"), F.col("n").alias("shared"))
     enough = written(reps.join(sums, "cid").where(rule.den * F.col("shared") >= rule.num * F.col("n")).select("cid", "doc_id", "th", "n"))
     discard(told)
     return enough, hot, buckets
@@ -464,9 +512,9 @@ def described(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     total = enough.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET))
     asked = sets.mapInArrow(trimmed(partial(_ask, buckets=buckets, hot_bits=hot_bits, hot=names)), "bucket int, cids binary, sizes binary, xs binary")
-    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_answer), "cid long, xs binary, dfs binary")
-    of = answers.groupBy("cid").agg(F.collect_list(F.struct("xs", "dfs")).alias("answers"))
-    prefixes = sets.join(of, "cid", "left").select("cid", "full", "answers").mapInArrow(trimmed(partial(_prefixes, rule=rule, hot_bits=hot_bits, hot=names, hot_df=counts)), "key long, cid long, n long, left long, rest binary")
+    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(partial(_answer, blocks=buckets)), _PACKED)
+    both = sets.mapInArrow(trimmed(partial(_own, blocks=buckets)), _PACKED).unionByName(answers).repartition("block").sortWithinPartitions("block")
+    prefixes = both.mapInArrow(trimmed(partial(_prefixes, rule=rule, hot_bits=hot_bits, hot=names, hot_df=counts)), "key long, cid long, n long, left long, rest binary")
     prefixes = written(prefixes)
     several = prefixes.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     members = written(prefixes.join(several, "key", "left_semi"))

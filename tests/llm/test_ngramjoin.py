@@ -79,12 +79,10 @@ def test_filters_lose_nothing():
     for _ in range(300):
         base = rng.integers(0, 1 << 63, 80, dtype=np.uint64) * np.uint64(2)
         x, y = (np.unique(np.r_[rng.choice(base, 80 - (k := int(rng.integers(0, 14))), replace=False), rng.integers(0, 1 << 63, k, dtype=np.uint64)]) for _ in (0, 1))
-        import pyarrow as pa
-
         both = np.intersect1d(x, y)
-        answer = [{"xs": both.tobytes(), "dfs": np.full(len(both), 2, "<u4").tobytes()}]
-        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([x.tobytes(), y.tobytes()], pa.binary()), pa.array([answer, answer], pa.list_(pa.struct([("xs", pa.binary()), ("dfs", pa.binary())])))], names=["cid", "full", "answers"])
-        out = list(ngramjoin._prefixes(iter([batch]), rule, 1, none, none))
+        sets = [(0, np.int64(c).tobytes(), b"", s.tobytes(), None) for c, s in ((1, x), (2, y))]
+        told = [(0, np.array([1, 2]).tobytes(), np.array([len(both)] * 2, "<u4").tobytes(), both.tobytes() * 2, np.full(2 * len(both), 2, "<u4").tobytes())]
+        out = list(ngramjoin._prefixes(iter([ngramjoin._packed_rows(sets + told)]), rule, 1, none, none))
         found = 0
         if out:
             t = out[0]

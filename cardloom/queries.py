@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import policy, score, text
-from .operators import brief, capture, consolidate, model, projects, recall, rules, similarity
+from .operators import brief, capture, consolidate, index, model, projects, recall, rules, similarity
 from .sources import cards as card_files
 from .sources import logs, views
+from .sources.scratch import folder
 from .sources.views import CARDS_SQL, DENY, MESSAGES_SQL, RETENTION, now, table
 
 QUERY = "the of token license en src0"
@@ -74,21 +75,63 @@ def composite_scores(spark, d):
     return recall.scored(_tok(spark, d), recall.query_terms(spark, QUERY), now()).select("id", F.round("score", 6).alias("score"))
 
 
-@query()
+SNIPPET_SQL = "WITH b AS (SELECT id, title, trim(body, ' ' || chr(10)) AS b FROM cards), s AS (SELECT id, CASE WHEN b = '' THEN '' WHEN length(title) > 0 AND starts_with(b, title) THEN trim(regexp_replace(substr(b, length(title) + 1), '^[\\s:：,，;；—-]+', ''), ' ' || chr(10)) ELSE b END AS s FROM b) SELECT id, CASE WHEN length(s) <= 120 THEN s ELSE substr(s, 1, 119) || '…' END AS snippet FROM s"
+
+
+def _recall_sql(text: str, k: int, stores: str = "true") -> str:
+    """The greedy ranking round by round: c holds the card chosen, m what is left with its greatest overlap."""
+    sim = "CASE WHEN len(m.s) = 0 OR len(c.s) = 0 THEN 0 ELSE len(list_intersect(m.s, c.s)) / (len(m.s) + len(c.s) - len(list_intersect(m.s, c.s))) END"
+    rounds = ", ".join(
+        f"c{r} AS MATERIALIZED (SELECT *, {r} AS rank FROM m{r - 1} ORDER BY round(0.3 * score - 0.7 * ov, 9) DESC, score DESC, store, id LIMIT 1), "
+        f"m{r} AS MATERIALIZED (SELECT m.* REPLACE (greatest(ov, {sim}) AS ov) FROM m{r - 1} m, (SELECT store AS cs, id AS ci, s FROM c{r}) c WHERE NOT (m.store = cs AND m.id = ci))"
+        for r in range(1, k + 1)
+    )
+    chosen = " UNION ALL ".join(f"SELECT store, id, rank, score FROM c{r}" for r in range(1, k + 1))
+    return f"""WITH {_REL.replace(QUERY, text)}, live AS (SELECT *, list_distinct(tokens) AS s FROM rel WHERE valid_until IS NULL AND {stores}),
+m0 AS MATERIALIZED (SELECT store, id, (0.5 * CASE WHEN m > 0 THEN rel / m ELSE 0 END + 0.2 * (importance / 10.0) + 0.3 * {_RECENCY}) * {_STRENGTH} AS score, s, 0.0::DOUBLE AS ov FROM live, (SELECT greatest(0.0, max(rel)) AS m FROM live)),
+{rounds}, snip AS ({SNIPPET_SQL})
+SELECT h.rank, h.store, h.id, kind, title, snippet, round(h.score, 3) AS score FROM ({chosen}) h JOIN cards USING (id) JOIN snip USING (id)"""
+
+
+@query(_recall_sql(QUERY, 8))
 def recall_topk_mmr(spark, d):
     return recall.recall(views.cards(spark, d), QUERY, now(), k=8)
 
 
-@query()
+@query(_recall_sql("", 5))
 def recall_empty_query(spark, d):
     return recall.recall(views.cards(spark, d), "", now(), k=5)
 
 
-@query()
+@query(_recall_sql(QUERY, 5, "store = 'p1'"))
 def recall_project_scope(spark, d):
     return recall.recall(views.cards(spark, d), QUERY, now(), k=5, stores=["p1"])
 
 
+def _index(spark, d):
+    """An index that has seen changes: a fifth of the cards came later, a part of which had been there with other tags."""
+    c = views.cards(spark, d)
+    first, late = c.where("doc_id % 5 <> 4"), c.where("doc_id % 5 = 4")
+    stale = c.where("doc_id % 10 = 4").withColumn("body", F.lit("the license of src0")).withColumn("tags", F.array(F.lit("en")))
+    return index.build(spark, folder(spark), first.unionByName(stale)).add(late, stale)
+
+
+@query(f"WITH {_REL} SELECT id, round(rel, 4) AS rel FROM rel WHERE rel > 0")
+def index_bm25(spark, d):
+    return _index(spark, d).relevance(views.cards(spark, d), recall.query_terms(spark, QUERY)).where("rel > 0").select("id", F.round("rel", 4).alias("rel"))
+
+
+@query(f"WITH {TOKENS_SQL}, t AS (SELECT id, store, unnest(tokens) AS term, len(tokens) AS n FROM tok) SELECT store, term, count(*) AS postings, sum(c)::BIGINT AS uses, sum(n)::BIGINT AS lengths FROM (SELECT store, id, term, count(*) AS c, any_value(n) AS n FROM t GROUP BY ALL) GROUP BY ALL")
+def index_merged(spark, d):
+    words = _index(spark, d).merge().postings().where("field = 'word'")
+    return words.groupBy("store", "term").agg(F.count("*").alias("postings"), F.sum("tf").alias("uses"), F.sum("len").alias("lengths"))
+
+
+@query(_recall_sql(QUERY, 8))
+def index_recall(spark, d):
+    return _index(spark, d).recall(views.cards(spark, d), QUERY, now(), k=8)
+
+
 _RE2 = [(n, p.replace(policy.B, r"\b").replace("'", "''")) for n, p in policy.SECRETS]
 _NAMES = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in _RE2) + "], lambda x: x IS NOT NULL)"
 _DENIED = "list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{w.lower()}') THEN 'rule:never:{w}' END" for w in DENY) + "], lambda x: x IS NOT NULL)"
@@ -135,9 +178,7 @@ def normalize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text.normalize(F.col("text")).cast("binary")).alias("md5"))
 
 
-@query(
-    f"WITH {CARDS_SQL}, b AS (SELECT id, title, trim(body, ' ' || chr(10)) AS b FROM cards), s AS (SELECT id, CASE WHEN b = '' THEN '' WHEN length(title) > 0 AND starts_with(b, title) THEN trim(regexp_replace(substr(b, length(title) + 1), '^[\\s:：,，;；—-]+', ''), ' ' || chr(10)) ELSE b END AS s FROM b) SELECT id, CASE WHEN length(s) <= 120 THEN s ELSE substr(s, 1, 119) || '…' END AS snippet FROM s"
-)
+@query(f"WITH {CARDS_SQL} SELECT * FROM ({SNIPPET_SQL})")
 def snippet(spark, d):
     return views.cards(spark, d).select("id", text.snippet(F.col("title"), F.col("body")).alias("snippet"))
 
@@ -356,7 +397,7 @@ def _brief_hits(spark, d):
 
 
 @query(
-    f"WITH {CARDS_SQL}, s AS ({ORACLE['snippet'][len('WITH ' + CARDS_SQL + ', ') :].replace('b AS (', 'WITH b AS (', 1)}), h AS (SELECT c.*, s.snippet, row_number() OVER (ORDER BY importance DESC, id) AS rank FROM cards c JOIN s USING (id) WHERE store = 'p1' AND valid_until IS NULL) SELECT rank, sum(strlen('- [' || kind || '] ' || title || CASE WHEN snippet <> '' THEN ' — ' || snippet ELSE '' END || ' (' || id || ')') + 1) OVER (ORDER BY rank)::BIGINT AS bytes FROM h WHERE rank <= 12"
+    f"WITH {CARDS_SQL}, s AS ({SNIPPET_SQL}), h AS (SELECT c.*, s.snippet, row_number() OVER (ORDER BY importance DESC, id) AS rank FROM cards c JOIN s USING (id) WHERE store = 'p1' AND valid_until IS NULL) SELECT rank, sum(strlen('- [' || kind || '] ' || title || CASE WHEN snippet <> '' THEN ' — ' || snippet ELSE '' END || ' (' || id || ')') + 1) OVER (ORDER BY rank)::BIGINT AS bytes FROM h WHERE rank <= 12"
 )
 def brief_sizes(spark, d):
     return brief.sizes(brief.lines(_brief_hits(spark, d).where("store = 'p1'"))).select("rank", "bytes")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
@@ -44,5 +44,29 @@ def pairs(reps: DataFrame, threshold: float) -> DataFrame:
     return full.where(enough(F.col("common"))).select("a", "b", "ord_a", "ord_b", "common", "na", "nb", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("sim"))
 
 
+def probed(rows: DataFrame, postings: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of ``rows`` (key, ord, set, n) with ``sets`` (key, ord, set, n) of similarity at least ``threshold``: a (of sets), b (of rows), ord_a, ord_b, sim.
+
+    ``postings`` (term, key) say which sets hold a term. Of each row only the
+    rarest n - ceil(t * n) + 1 terms are looked up, one of which any set that
+    similar holds; sets are never compared with sets. Of equal sets the first by ord
+    is reported alone.
+    """
+    terms = rows.select("key", "n", F.explode("set").alias("term"))
+    df = postings.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    # Terms that no set holds are the rarest, and have nothing to look up.
+    order = Window.partitionBy("key").orderBy(F.coalesce("df", F.lit(0)), "term")
+    ranked = terms.join(df, "term", "left").withColumn("at", F.row_number().over(order))
+    prefix = ranked.where((F.col("at") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1) & F.col("df").isNotNull())
+    near = prefix.select("term", F.col("key").alias("b")).join(postings.withColumnRenamed("key", "a"), "term").select("a", "b").distinct()
+    named = lambda df, c: df.select(F.col("key").alias(c), F.col("ord").alias(f"ord_{c}"), F.col("set").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
+    full = near.join(named(rows, "b"), "b").join(named(sets, "a"), "a")
+    fit = full.where((F.col("na") >= threshold * F.col("nb") - 1e-9) & (threshold * F.col("na") <= F.col("nb") + 1e-9))
+    common = F.size(F.array_intersect("sa", "sb"))
+    found = fit.withColumn("sim", common / (F.col("na") + F.col("nb") - common)).where(F.col("sim") >= threshold - 1e-9)
+    first = found.groupBy("b", F.xxhash64(F.array_sort("sa")).alias("same"), "sim").agg(F.min(F.struct("ord_a", "a", "ord_b")).alias("x"))
+    return first.select("x.a", "b", "x.ord_a", "x.ord_b", "sim")
+
+
 def decision(sim: F.Column) -> F.Column:
     return F.when(sim >= 0.85, "noop").when(sim >= 0.6, "update").otherwise("add")

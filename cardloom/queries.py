@@ -243,11 +243,35 @@ def _ingest(spark, d):
     return consolidate.ingest(c.where("doc_id % 5 <> 4"), c.where("doc_id % 5 = 4").select(F.col("doc_id").alias("seq"), F.col("text").alias("content")), DENY)
 
 
-@query()
+_INGEST = f"""WITH RECURSIVE {CARDS_SQL}, {_PII},
+gated AS (SELECT doc_id AS seq, t3, len({_NAMES}) + len({_DENIED}) = 0 AS ok FROM pii WHERE doc_id % 5 = 4),
+items AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, '#' || doc_id AS key, doc_id AS seq, list_distinct(regexp_extract_all(lower(t3), '[a-z0-9_]+')) AS s FROM pii SEMI JOIN (SELECT seq AS doc_id FROM gated WHERE ok) USING (doc_id)),
+base AS (SELECT id AS key, list_distinct(regexp_extract_all(lower(title || chr(10) || body), '[a-z0-9_]+')) AS s FROM cards WHERE doc_id % 5 <> 4),
+pool AS (SELECT 0 AS n, key, s FROM base UNION ALL SELECT n, key, s FROM items),
+e AS (SELECT n, key, len(s) AS size, unnest(s) AS w FROM pool),
+c AS (SELECT a.n AS an, a.key AS a, b.n AS bn, count(*) AS c, any_value(a.size + b.size) AS total FROM e a JOIN e b ON a.w = b.w AND a.n < b.n AND a.size >= 0.6 * b.size AND b.size >= 0.6 * a.size GROUP BY a.n, a.key, b.n, b.key),
+links AS MATERIALIZED (SELECT an, a, bn, c / (total - c) AS sim FROM c WHERE c >= 0.6 * (total - c) - 1e-9),
+g AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS led UNION ALL SELECT n + 1, CASE WHEN (SELECT count(*) FROM links WHERE bn = g.n + 1 AND (an = 0 OR list_contains(g.led, an))) = 0 THEN list_append(led, n + 1) ELSE led END FROM g WHERE n < (SELECT max(n) FROM items)),
+led AS (SELECT unnest(led) AS n FROM g WHERE n = (SELECT max(n) FROM g)),
+best AS (SELECT bn AS n, a AS target, sim FROM links WHERE an = 0 OR an IN (SELECT n FROM led) QUALIFY row_number() OVER (PARTITION BY bn ORDER BY sim DESC, an, a) = 1)
+SELECT gated.seq, CASE WHEN NOT ok THEN 'blocked' WHEN sim >= 0.85 THEN 'noop' WHEN sim IS NOT NULL THEN 'update' ELSE 'add' END AS action, target, round(sim, 6) AS sim FROM gated LEFT JOIN items USING (seq) LEFT JOIN best USING (n)"""
+
+
+@query(_INGEST)
 def ingest_greedy(spark, d):
     return _ingest(spark, d).select("seq", "action", "target", F.round("sim", 6).alias("sim"))
 
 
+@query(_INGEST)
+def index_ingest(spark, d):
+    """The same, the cards being known by an index alone."""
+    c = views.cards(spark, d)
+    known = c.where("doc_id % 5 <> 4")
+    inbox = c.where("doc_id % 5 = 4").select(F.col("doc_id").alias("seq"), F.col("text").alias("content"))
+    out = consolidate.ingest(known, inbox, DENY, index=index.build(spark, folder(spark), known))
+    return out.select("seq", "action", "target", F.round("sim", 6).alias("sim"))
+
+
 @query()
 def ingest_bumps(spark, d):
     c = views.cards(spark, d)

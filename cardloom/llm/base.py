@@ -87,13 +87,13 @@ def release(spark: SparkSession) -> None:
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for ``mapInArrow``, giving freed memory back at a task's end.
 
-    Spark hands tasks to its idle Python workers in turn, so all of them stay
+    Arrow takes its memory from the system, whose allocator can be trimmed. Spark hands tasks to its idle Python workers in turn, so all of them stay
     beside the executor's heap with whatever their allocators hold on to.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL(None).malloc_trim(0)
         except (AttributeError, OSError):  # no such call outside glibc

@@ -55,7 +55,7 @@ from .base import free_names, trimmed, written
 from .graph import components
 
 #: Bytes of text worked on at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 SHINGLE = 3
 BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS

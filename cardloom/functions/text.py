@@ -102,8 +102,10 @@ def digest(title: Column, body: Column) -> Column:
 
 
 def card_id(now: Column, content: Column, seq: Column) -> Column:
-    """A deterministic id, so that a repeated run mints the same card."""
-    return F.concat(F.lit("m-"), F.date_format(now, "yyyyMMdd"), F.lit("-"), F.substring(F.sha1(F.concat_ws("\x1f", content, seq.cast("string")).cast("binary")), 1, 10))
+    """A deterministic id, so that a repeated run mints the same card: ten characters of base 36 from 60 bits."""
+    key = F.sha1(F.concat_ws("\x1f", content, seq.cast("string")).cast("binary"))
+    tail = F.right(F.lpad(F.lower(F.conv(F.substring(key, 1, 15), 16, 36)), 12, "0"), F.lit(10))
+    return F.concat(F.lit("m-"), F.date_format(now, "yyyyMMdd"), F.lit("-"), tail)
 
 
 # Words of intent, of preference, and of negation before an intent.

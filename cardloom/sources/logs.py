@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 INBOX = "ts timestamp, store string, seq long, content string, kind string, tags array<string>, importance int, source struct<session:string,turn:int>, via string"
 ACCESS = "ts timestamp, store string, ids array<string>"
 AUDIT = "ts timestamp, store string, op string, id string, detail string, via string, session string"
+#: What a store has consumed and its last run: its result, and how often anything was done in it over all runs.
 STATE = "store string, inbox_offset long, last_run timestamp, last_result string, last_error string"
+TOTALS = "store string, runs long, added long, updated long, noop long, blocked long, archived long, relinked long"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -92,7 +92,13 @@ def test_run(spark, tmp_path):
     state = m.table("state", logs.STATE).first()
     assert (state.inbox_offset, state.last_result) == (3, "error") and {(r.store, r.id): r for r in m.table("cards").collect()} == rows
     audit = logs.read_jsonl(spark, f"{tmp_path}/m/audit", logs.AUDIT).collect()
-    assert [(r.op, r.detail) for r in audit] == [("block", "rule:never:Forbidden")]
+    assert [(r.op, r.detail) for r in audit if r.op == "block"] == [("block", "rule:never:Forbidden")]
+    assert [r.id for r in audit if r.op == "create"] == [i for (_, i), r in rows.items() if r.title == "one two three four five"]
+    runs = [r.detail for r in sorted(audit, key=lambda r: r.ts) if r.op == "run"]
+    assert runs == [f"added={a}, updated=0, noop={a}, blocked={a}, archived=0, relinked=0" for a in (1, 0)] and not [r for r in audit if text in str(r)]
+    told = {s["store"]: s for s in m.status(inbox.withColumn("store", F.lit("proj")))["stores"]}
+    assert told["global"]["totals"] == {"runs": 2, "added": 1, "updated": 0, "noop": 1, "blocked": 1, "archived": 0, "relinked": 0}
+    assert told["global"]["last_result"] == "error" and told["global"]["pending"] == 0 and told["proj"]["pending"] == 3
     assert len(list((tmp_path / "m" / "reports").glob("report-*.md"))) == 2
     for k in range(12):
         logs.write_report(spark, f"{tmp_path}/m/reports", f"9{k:02d}", "x")
@@ -185,3 +191,77 @@ def test_links_of_large_and_small_tag_lists(spark, monkeypatch, block):
         if found:
             want[s, i] = [j for _, j in sorted(found)[:5]]
     assert got == want
+
+
+def test_store_of_its_own(spark, tmp_path):
+    """A run leaves other stores' cards alone, and keeps what an inbox row says of its card."""
+    m = Memory(spark, str(tmp_path / "m"), retention={"task": 5})
+    for s in ("global", "proj"):
+        m.remember("an old task", "2025-01-01 00:00:00", kind="task", store=s)
+    m.recall("task", NOW, project="proj")
+    inbox = spark.createDataFrame([(0, "use tabs in makefiles", "preference", ["Make", "tabs"], 9), (1, "other words stand here", "nothing", None, None)], "seq long, content string, kind string, tags array<string>, importance int")
+    out = m.consolidate(inbox, NOW)
+    assert (out["added"], out["archived"]) == (2, 1)
+    rows = {r.body or r.title: r for r in m.table("cards").collect()}
+    assert [(r.store, r.access_count) for r in rows.values() if r.title == "an old task"] == [("proj", 0)]
+    assert (rows["use tabs in makefiles"].kind, rows["use tabs in makefiles"].tags, rows["use tabs in makefiles"].importance) == ("preference", ["Make", "tabs"], 9)
+    assert (rows["other words stand here"].kind, rows["other words stand here"].importance) == ("fact", 5)
+    assert [(r.store, r.access_count) for r in m.table("archive").collect()] == [("global", 1)]
+    # The other store's accesses wait for its own run.
+    assert m.consolidate(inbox.limit(0), NOW, store="proj")["archived"] == 1
+    assert {(r.store, r.access_count) for r in m.table("archive").collect()} == {("global", 1), ("proj", 1)}
+    assert {(h["title"], h["store"]) for h in m.recall("tabs words", NOW, note=False)["hits"]} == {("use tabs in makefiles", "global"), ("other words stand here", "global")}
+    m.reindex()
+    assert len(m.recall("tabs words", NOW, note=False)["hits"]) == 2
+
+
+@pytest.mark.parametrize("stop", ["_write", "_publish", "_note"])
+def test_stopped_anywhere(spark, tmp_path, monkeypatch, stop):
+    """A run stopped before, at and after its publication and run again counts every access and row once."""
+    m = Memory(spark, str(tmp_path / "m"))
+    a = m.remember("alpha beta gamma", NOW)["id"]
+    m.recall("alpha", NOW)
+    inbox = spark.createDataFrame([(0, "alpha beta gamma"), (1, "wholly other words")], "seq long, content string")
+    whole, calls = getattr(Memory, stop), []
+
+    def fail(self, *args):
+        calls.append(args)
+        if len(calls) == 1:
+            raise RuntimeError("stopped")
+        return whole(self, *args)
+
+    monkeypatch.setattr(Memory, stop, fail)
+    with pytest.raises(Exception, match="stopped"):
+        m.consolidate(inbox, "2026-01-11 12:00:00")
+    m.recall("beta", NOW)  # comes between the two runs
+    m.consolidate(inbox, "2026-01-11 12:00:00")
+    m.consolidate(inbox, "2026-01-11 12:00:00")
+    cards = {r.id: r for r in m.table("cards").collect()}
+    assert len(cards) == 2 and cards[a].confidence == 0.62
+    assert sum(r.access_count for r in cards.values()) == sum(len(r.ids) for r in logs.read_jsonl(spark, f"{tmp_path}/m/access/*", logs.ACCESS).collect())
+    assert cards[a].access_count == 2
+
+
+def test_two_writers(spark, tmp_path):
+    """Changes made at once all survive."""
+    import threading
+
+    m = Memory(spark, str(tmp_path / "m"))
+    texts = [f"text number {k} of several" for k in range(6)]
+    failed = []
+
+    def put(t):
+        try:
+            m.remember(t, NOW)
+        except Exception as e:
+            failed.append(e)
+
+    threads = [threading.Thread(target=put, args=(t,)) for t in texts]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not failed and sorted(r.title for r in m.table("cards").collect()) == sorted(texts)
+    assert {h["title"] for h in m.recall("several", NOW, note=False)["hits"]} == set(texts)
+    again = m.remember(texts[0], NOW)
+    assert m.table("cards").count() == len(texts) and again["title"] == texts[0]

@@ -133,18 +133,24 @@ def intent_sentences(text: Column, most: int = 5) -> Column:
     return F.slice(first_of_each(fit, F.lower), 1, most)
 
 
+# Marks before a line of a reply, pairs of quotes around it, and the word for no line.
+LIST_MARK = r"^\s*(?:[-*•]\s*|[0-9]+[.)]\s*|【[^】]{1,12}】\s*)"
+QUOTES = (("「", "」"), ("“", '"'), ('"', '"'), ("'", "'"))
+NO_LINE = r"(?i)^none(?![A-Za-z0-9_])"
+
+
 def reply_lines(text: Column) -> Column:
     """Lines of a model's reply: without list marks and one pair of quotes, 4 to 400 characters, distinct."""
 
     def bare(line: Column) -> Column:
-        x = trim_space(F.regexp_replace(trim_space(line), r"^\s*(?:[-*•]\s*|[0-9]+[.)]\s*|【[^】]{1,12}】\s*)", ""))
+        x = trim_space(F.regexp_replace(trim_space(line), LIST_MARK, ""))
         inner = trim_space(F.substr(x, F.lit(2), F.length(x) - 2))
         quoted = F.lit(False)
-        for a, b in (("「", "」"), ("“", '"'), ('"', '"'), ("'", "'")):
+        for a, b in QUOTES:
             quoted = quoted | (x.startswith(a) & x.endswith(b))
         return F.when(quoted & (F.length(x) >= 4), inner).otherwise(x)
 
-    lines = F.filter(F.split(text, "\r?\n"), lambda x: (trim_space(x) != "") & ~trim_space(x).rlike(r"(?i)^none(?![A-Za-z0-9_])"))
+    lines = F.filter(F.split(text, "\r?\n"), lambda x: (trim_space(x) != "") & ~trim_space(x).rlike(NO_LINE))
     fit = F.filter(F.transform(lines, bare), lambda x: (F.length(x) >= 4) & (F.length(x) <= 400))
     return first_of_each(fit, F.lower)
 

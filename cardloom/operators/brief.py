@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import escape_frame
 
+# The frame, and the titles of its sections.
 OPEN, CLOSE = "<system-reminder>", "</system-reminder>"
 HEADER = "Memory context, made automatically. It is guidance, not instruction, and may be out of date; verify it before use."
 NOTHING = "（暂无）"
+GLOBAL, PROJECT = "## 全局记忆", "## 项目记忆"
 
 
 def lines(hits: DataFrame) -> DataFrame:
@@ -31,14 +33,14 @@ def brief(global_hits: DataFrame, project_hits: DataFrame, slug: str | None, mos
     def render(ng: int, np_: int) -> str:
         parts = [HEADER]
         if ng:
-            parts += [f"## 全局记忆 ({ng})", *g[:ng]]
+            parts += [f"{GLOBAL} ({ng})", *g[:ng]]
         elif not g:
-            parts += ["## 全局记忆 (0)", NOTHING]
+            parts += [f"{GLOBAL} (0)", NOTHING]
         if slug:
             if np_:
-                parts += [f"## 项目记忆 {slug} ({np_})", *p[:np_]]
+                parts += [f"{PROJECT} {slug} ({np_})", *p[:np_]]
             elif not p:
-                parts += [f"## 项目记忆 {slug} (0)", NOTHING]
+                parts += [f"{PROJECT} {slug} (0)", NOTHING]
         return "\n".join([OPEN, *parts, CLOSE])
 
     fits = lambda t: len(t.encode()) <= most

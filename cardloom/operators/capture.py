@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import intent_sentences, kind_of, strip_reminders, trim_space
 
+# Fixed value: how a machine-made summary starts.
 CHECKPOINT = "This is an automatically generated checkpoint"
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trim_space
+from ..sources.cards import KINDS
 
+# A heading, those that open the section, and those that name a bucket.
 HEADING = r"^ {0,3}(#{1,6})\s+(.*)$"
-# Headings that open the section, and those that name a bucket.
 SECTION = r"(?i)^(memory|记忆)\s*[:：]?\s*(rules?|规则)?\s*$"
 BUCKETS = [
     ("deny", "^(never|永远不记|禁止|不要记|不记|do not remember)"),
@@ -16,7 +17,6 @@ BUCKETS = [
     ("retention", "^(retention|保留|保留期|过期)"),
     ("promotion", "^(promotion|promote|晋升|提升)"),
 ]
-KINDS = ("fact", "preference", "decision", "procedure", "observation", "reference", "task")
 
 
 def parse(docs: DataFrame) -> DataFrame:

@@ -272,7 +272,9 @@ def index_ingest(spark, d):
     return out.select("seq", "action", "target", F.round("sim", 6).alias("sim"))
 
 
-@query()
+@query(
+    f"SELECT id, round(least(0.95, floor((confidence + gain) * 100 + 0.5) / 100), 2) AS confidence FROM (SELECT target AS id, max(CASE action WHEN 'update' THEN 0.05 ELSE 0.02 END) AS gain FROM ({_INGEST}) WHERE action IN ('noop', 'update') AND NOT starts_with(target, '#') GROUP BY target) JOIN (WITH {CARDS_SQL} SELECT id, confidence FROM cards) USING (id)"
+)
 def ingest_bumps(spark, d):
     c = views.cards(spark, d)
     return consolidate.bumps(_ingest(spark, d)).join(c, "id").select("id", F.round(score.bump(F.col("confidence"), F.col("by")), 2).alias("confidence"))
@@ -318,25 +320,53 @@ def conflict_pairs(spark, d):
     return consolidate.conflicts(_tok(spark, d))
 
 
-_REPLY = "G1: A\nnoise\nG2 both\nG2 a\nG3 m-20240131-00000000zz\nG9 a\nG4: 0000000008."
-_PAIRS = [(g, f"m-20240131-{2 * g - 1:010d}", f"m-20240131-{2 * g:010d}") for g in range(1, 5)]
+def _judged(spark, d):
+    """A pair of cards for each document, and a model's reply on it: by letter, both, whole id, the end of an id, an unknown id, or nothing of use."""
+    n, g = F.col("doc_id"), F.concat(F.lit("G"), F.col("doc_id").cast("string"))
+    name = lambda k: F.concat(F.lit("m-20240131-"), F.lpad(k.cast("string"), 10, "0"))
+    docs = table(spark, d, "documents").select(n.cast("int").alias("g"), name(2 * n + 1).alias("a"), name(2 * n + 2).alias("b"), g.alias("t"), "doc_id")
+    said = [F.concat("t", F.lit(": A")), F.concat(F.lit("noise\n"), "t", F.lit(" both\n"), "t", F.lit(" a")), F.concat("t", F.lit(" "), "b"), F.concat("t", F.lit(": "), F.right("a", F.lit(10)), F.lit(".")), F.concat("t", F.lit(" m-20240131-zzzzzzzzzz")), F.lit("none")]
+    return docs.select("g", "a", "b", F.get(F.array(*said), (n % 6).cast("int")).alias("text"))
+
 
+_JUDGED = """p AS (SELECT doc_id::INTEGER AS g, 'G' || doc_id AS t, 'm-20240131-' || lpad((2 * doc_id + 1)::VARCHAR, 10, '0') AS a, 'm-20240131-' || lpad((2 * doc_id + 2)::VARCHAR, 10, '0') AS b, doc_id FROM documents),
+said AS (SELECT p.*, [t || ': A', 'noise' || chr(10) || t || ' both' || chr(10) || t || ' a', t || ' ' || b, t || ': ' || right(a, 10) || '.', t || ' m-20240131-zzzzzzzzzz', 'none'][doc_id % 6 + 1] AS reply FROM p),
+ln AS (SELECT g, unnest(x) AS line, generate_subscripts(x, 1) AS pos FROM (SELECT g, string_split(reply, chr(10)) AS x FROM said)),
+v AS (SELECT pos, regexp_extract(line, '^G([0-9]+)\\s*:?\\s*(\\S+)', 1)::INTEGER AS g, regexp_extract(line, '^G([0-9]+)\\s*:?\\s*(\\S+)', 2) AS v FROM ln WHERE regexp_matches(line, '^G([0-9]+)\\s*:?\\s*(\\S+)')),
+w AS (SELECT v.*, a, b, regexp_replace(v, '[.,;:!?]+$', '') AS bare FROM v JOIN p USING (g)),
+k AS (SELECT g, pos, CASE WHEN lower(v) = 'both' THEN 'both' WHEN v = a THEN 'a' WHEN v = b THEN 'b' WHEN lower(v) IN ('a', 'b') THEN lower(v) WHEN length(bare) >= 8 AND ends_with(a, bare) THEN 'a' WHEN length(bare) >= 8 AND ends_with(b, bare) THEN 'b' END AS keep FROM w),
+decided AS (SELECT g, arg_min(keep, pos) AS keep FROM k WHERE keep IS NOT NULL GROUP BY g)"""
 
-@query("SELECT * FROM (VALUES (1, 'a'), (2, 'both'), (4, 'b')) t(g, keep)")
+
+@query(f"WITH {_JUDGED} SELECT * FROM decided")
 def conflict_parse(spark, d):
-    return model.conflict_decisions(spark.createDataFrame([(_REPLY,)], "text string"), spark.createDataFrame(_PAIRS, "g int, a string, b string"))
+    j = _judged(spark, d)
+    return model.conflict_decisions(j.select("text"), j.select("g", "a", "b"))
 
 
-@query("SELECT id FROM (VALUES ('m-20240131-0000000002'), ('m-20240131-0000000007')) t(id)")
+@query(f"WITH {_JUDGED} SELECT CASE keep WHEN 'a' THEN b ELSE a END AS id FROM decided JOIN p USING (g) WHERE keep IN ('a', 'b')")
 def conflict_losers(spark, d):
-    pairs = spark.createDataFrame(_PAIRS, "g int, a string, b string")
-    return consolidate.losers(model.conflict_decisions(spark.createDataFrame([(_REPLY,)], "text string"), pairs), pairs)
+    j = _judged(spark, d)
+    return consolidate.losers(model.conflict_decisions(j.select("text"), j.select("g", "a", "b")), j.select("g", "a", "b"))
+
+
+_MARKED = r"""concat('- ', regexp_replace(regexp_replace(text, '\n', chr(10) || '2) ', 'g'), '\. ', '.' || chr(10) || '"', 'g'), '"', chr(10), 'NONE', chr(10), '• ', text)"""
+_BARE = r"trim(regexp_replace(trim(x), '^(?:[-*•]\s*|[0-9]+[.)]\s*|【[^】]{1,12}】\s*)', ''))"
 
 
-@query("SELECT * FROM (VALUES (0, 'uses tabs'), (1, 'prefers dark mode'), (2, 'third fact')) t(pos, line)")
+@query(
+    rf"""WITH r AS (SELECT doc_id, list_transform(list_filter(string_split({_MARKED}, chr(10)), lambda x: trim(x) <> '' AND NOT regexp_matches(trim(x), '(?i)^none([^A-Za-z0-9_]|$)')), lambda x: {_BARE}) AS x FROM documents),
+q AS (SELECT doc_id, list_filter(list_transform(x, lambda y: CASE WHEN length(y) >= 4 AND left(y, 1) || right(y, 1) IN ('「」', '“"', '""', ) THEN trim(substr(y, 2, length(y) - 2)) ELSE y END), lambda y: length(y) BETWEEN 4 AND 400) AS x FROM r),
+u AS (SELECT doc_id, list_filter(x, lambda y, i: list_position(list_transform(x, lambda z: lower(z)), lower(y)) = i) AS x FROM q)
+SELECT doc_id, len(x) AS n, md5(array_to_string(x, '|')) AS md5 FROM u"""
+)
 def llm_lines_parse(spark, d):
-    reply = "- uses tabs\n2) \"prefers dark mode\"\nNONE\nUSES TABS\nabc\n• third fact"
-    return spark.createDataFrame([(reply,)], "t string").select(F.posexplode(text.reply_lines(F.col("t"))).alias("pos", "line"))
+    """Documents as a model would give them: marked lines, quoted sentences, a NONE, and the whole once more."""
+    t = F.col("text")
+    quoted = F.regexp_replace(F.regexp_replace(t, "\n", "\n2) "), r"\. ", '.\n"')
+    reply = F.concat(F.lit("- "), quoted, F.lit('"\nNONE\n• '), t)
+    lines = table(spark, d, "documents").select("doc_id", text.reply_lines(reply).alias("x"))
+    return lines.select("doc_id", F.size("x").cast("long").alias("n"), F.md5(F.array_join("x", "|").cast("binary")).alias("md5"))
 
 
 @query(f"WITH {CARDS_SQL} SELECT store, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY store ORDER BY importance DESC, id) AS rank FROM cards WHERE valid_until IS NULL) WHERE rank <= 40")
@@ -401,18 +431,30 @@ def status_report(spark, d):
     return projects.status(c, inbox, _state(spark), gone).drop("last_run")
 
 
-_RULES = "# Guide\n## Memory Rules\nplain note\n### Never\n- secret plans\n- secret plans\n### Retention\n- task: 30 days\n- nothing: 4\n### Promotion\nafter 3 sessions\n## Other\n- not this"
+def _rule_docs(spark, d):
+    """A rules document for each document; every fifth has no section of rules."""
+    n = F.col("doc_id")
+    head = F.when(n % 5 == 4, F.lit("# Guide\n## Other things\n")).otherwise(F.lit("# Guide\n## Memory Rules\n"))
+    kind = F.get(F.array(*map(F.lit, views.KINDS)), (n % 7).cast("int"))
+    text = F.concat(head, F.lit("note on "), "source", F.lit("\n### Never\n- "), "lang", F.lit(" secrets\n* "), "lang", F.lit(" secrets\n### Retention\n- "), kind, F.lit(": "), (n % 90 + 1).cast("string"), F.lit(" days\n- nothing: 4\n### Promotion\nafter "), (n % 9 + 2).cast("string"), F.lit(" sessions\nafter 99\n## Other\n- not this"))
+    return table(spark, d, "documents").select(n.alias("doc"), text.alias("text"))
+
 
+_RULES = f"""r AS (SELECT doc_id, source, lang, {list(views.KINDS)}[doc_id % 7 + 1] AS kind, (doc_id % 90 + 1)::INTEGER AS days, (doc_id % 9 + 2)::INTEGER AS sessions FROM documents WHERE doc_id % 5 <> 4),
+rules AS (SELECT doc_id AS doc, 'notes' AS bucket, 'note on ' || source AS value, NULL::VARCHAR AS kind, NULL::INTEGER AS number, 1 AS pos FROM r UNION ALL SELECT doc_id, 'deny', lang || ' secrets', NULL, NULL, p FROM r, range(2, 4) t(p)
+  UNION ALL SELECT doc_id, 'retention', kind || ': ' || days || ' days', kind, days, 4 FROM r UNION ALL SELECT doc_id, 'promotion', 'after ' || sessions || ' sessions', NULL, sessions, 5 FROM r UNION ALL SELECT doc_id, 'promotion', 'after 99', NULL, 99, 6 FROM r)"""
 
-@query("SELECT * FROM (VALUES ('notes', 'plain note', NULL::INT), ('deny', 'secret plans', NULL), ('deny', 'secret plans', NULL), ('retention', 'task: 30 days', 30), ('promotion', 'after 3 sessions', 3)) t(bucket, value, number)")
+
+@query(f"WITH {_RULES} SELECT doc, bucket, value, kind, number FROM rules")
 def rules_parse(spark, d):
-    return rules.parse(spark.createDataFrame([(1, _RULES)], "doc int, text string")).select("bucket", "value", "number")
+    return rules.parse(_rule_docs(spark, d)).select("doc", "bucket", "value", "kind", "number")
 
 
-@query("SELECT * FROM (VALUES ('notes', 'plain note', NULL::INT), ('deny', 'secret plans', NULL), ('deny', 'more', NULL), ('retention', 'task', 9), ('promotion', NULL, 3)) t(bucket, value, number)")
+@query(
+    f"WITH {_RULES} SELECT DISTINCT bucket, value, NULL::INTEGER AS number FROM rules WHERE bucket IN ('notes', 'deny') UNION ALL SELECT 'retention', kind, arg_max(number, doc) FROM rules WHERE bucket = 'retention' GROUP BY kind UNION ALL SELECT 'promotion', NULL, arg_max(number, doc * 10 - pos) FROM rules WHERE bucket = 'promotion'"
+)
 def rules_merge(spark, d):
-    docs = [(1, _RULES), (2, "# Memory\n## never\n* more\n* secret plans\n## retention\nTask: 9")]
-    return rules.merge(rules.parse(spark.createDataFrame(docs, "doc int, text string")))
+    return rules.merge(rules.parse(_rule_docs(spark, d)))
 
 
 def _brief_hits(spark, d):

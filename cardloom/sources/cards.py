@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trim_space
 
+# A card's id, and its kinds.
 ID_PATTERN = r"^m-[0-9]{8}-[a-z0-9]{4,10}$"
 KINDS = ("fact", "preference", "decision", "procedure", "observation", "reference", "task")
 # The keys of a card's head, in the order they are written.

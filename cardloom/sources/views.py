@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cards import KINDS
+
 NOW = "2024-02-01 00:00:00"
-KINDS = ["fact", "preference", "decision", "procedure", "observation", "reference", "task"]
 DENY = ["idiot", "Apache License"]
 RETENTION = {"task": 200, "reference": 600}
 

@@ -4,21 +4,26 @@ Base patterns (e-mail, IP, card, phone) propose spans that always stay.
 Further generators propose overlapping candidates with high recall: numbers
 written without a country code, grouped identity numbers, account numbers,
 e-mail addresses spelled out. A model of boosted trees scores a candidate's
-format and context; of candidates that overlap, the most probable stays, if its
-calibrated probability reaches its kind's threshold.
+format and what stands before and after it; of candidates that overlap, the
+most probable stays, if its calibrated probability reaches its kind's threshold.
 
 The model is trained on ``TRAIN_ROWS`` generated, labelled examples (a fixed
 bound, independent of the corpus), calibrated on ``CALIBRATION_ROWS`` others;
 a kind's threshold is the least that has ``PRECISION`` on these. It is a few
 kilobytes and travels with the task. One pass over the texts, no shuffle.
 
-Defined cases: null text is empty and stays null when redacted; repeated rows
-each yield a row; an empty table yields no rows; other columns are ignored by
-``report`` and kept by ``redact``.
+Scans take time in proportion to the text: patterns with an ``@`` or ``(at)`` in
+them start there and look back, numbers start at the head of a run.
+
+Defined cases: null text is empty and stays null when redacted; very long texts
+are scanned whole; candidates of equal probability are taken in order of
+generator, then place; repeated rows each yield a row; an empty table yields no
+rows; other columns are ignored by ``report`` and kept by ``redact``.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import random
@@ -37,27 +42,34 @@ CALIBRATION_ROWS = 2000
 PRECISION = 0.99
 CONTEXT = 40
 
-# The base patterns, by kind, in the order of kinds.
+# The base patterns, by kind, in the order of kinds. Of an e-mail address the part from the ``@`` on; what
+# precedes it are characters of ``LOCAL``. An IP starts where a run of digits does, as no other start can match.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 BASE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "email": re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-# The generators of further candidates.
+# The generators of further candidates; the one of spelled addresses from its "at" on.
 GENERATORS = {
     "localphone": re.compile(r"(?<![0-9A-Za-z+.-])\(?0?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20.-]?[0-9]{3,5}(?![0-9A-Za-z])"),
     "idnumber": re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     "iban": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
-    "spelled": re.compile(r"[A-Za-z0-9._%+-]{2,}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{2,}(?:\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z]{2,})+"),
+    "spelled": re.compile(r"(?:\x20?\(at\)|\x20?\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{2,}(?:\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z]{2,})+"),
 }
+#: Longest word before a spelled "at", and how many words joined by a spelled dot may stand there.
+LONGEST_LOCAL, LOCAL_WORDS = 64, 4
+DOT_BEFORE = re.compile(r"(?:\x20dot\x20|\x20?\(dot\)\x20?|\x20?\[dot\]\x20?)\Z")
 KINDS = [*BASE, *GENERATORS]
+# Words near a candidate that speak for or against a kind.
 CUES = {
-    "phone": re.compile(r"(?i)\b(phone|call|tel|telephone|mobile|cell|fax|whatsapp|sms|telefon|tél|teléfono)\b"),
-    "id": re.compile(r"(?i)\b(ssn|social security|passport|national id|tax id|insurance)\b"),
-    "bank": re.compile(r"(?i)\b(iban|account|bank|konto|compte|cuenta|transfer)\b"),
-    "mail": re.compile(r"(?i)\b(e-?mail|mail|contact|reach|write|address)\b"),
-    "plain": re.compile(r"(?i)\b(order|invoice|version|isbn|issn|serial|part|item|page|total|score|build|ticket|room|lines?|model|sku|ratio|dated?)\b"),
+    "phone": re.compile(r"(?i)\b(phone|call|calls|called|dial|ring|tel|telephone|mobile|cell|fax|whatsapp|sms|text|telefon|tél|teléfono|landline|voicemail)\b"),
+    "id": re.compile(r"(?i)\b(ssn|social|social security|passport|national id|tax id|insurance|identity|taxpayer)\b"),
+    "bank": re.compile(r"(?i)\b(iban|account|bank|konto|compte|cuenta|transfer|payable|deposit)\b"),
+    "mail": re.compile(r"(?i)\b(e-?mail|mail|contact|reach|write|address|inbox|ping)\b"),
+    "person": re.compile(r"(?i)\b(my|me|mine|her|his|him|our|us|your|their|home|office|desk|work|mom|dad|anytime|after hours)\b"),
+    "plain": re.compile(r"(?i)\b(order|invoice|version|isbn|issn|serial|part|item|page|pages|total|score|build|ticket|room|lines?|model|sku|ratio|dated?|tracking|case|sum|population|lot|batch|units|release|section|between|km|points|votes)\b"),
 }
 _HAS_DIGIT = re.compile(r"[0-9]")
 _LONG_NUMBER = re.compile(r"[0-9](?:[\x20-]?[0-9]){12}")
@@ -81,11 +93,44 @@ def _digits(t: str) -> str:
     return "".join(c for c in t if "0" <= c <= "9")
 
 
+def emails(text: str) -> list[tuple[int, int, int]]:
+    """Leftmost non-overlapping addresses: each ``@`` with its host, and what of the run before it is not yet taken."""
+    out, free = [], 0
+    for m in BASE["email"].finditer(text):
+        at, end = m.span()
+        before = text[max(free, text.rfind("@", free, at) + 1) : at]
+        size = len(before) - len(before.rstrip(LOCAL))
+        if size:
+            out.append((0, at - size, end))
+            free = end
+    return out
+
+
+def spelled(text: str) -> list[tuple[int, int, int]]:
+    """Addresses with a spelled "at", with the words before it that a spelled dot joins."""
+    out = []
+    for m in GENERATORS["spelled"].finditer(text):
+        start = m.start()
+        for k in range(LOCAL_WORDS):
+            before = text[max(0, start - LONGEST_LOCAL) : start]
+            size = len(before) - len(before.rstrip(LOCAL))
+            if size < (1 if k else 2):
+                break
+            start -= size
+            joint = DOT_BEFORE.search(text, max(0, start - 8), start)
+            if not joint:
+                break
+            start = joint.start()
+        while start < m.start() and text[start] not in LOCAL:  # a joint without a word before it
+            start += 1
+        if m.start() - start > 1:
+            out.append((7, start, m.end()))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind's rank, start, end); matches that fail their test are dropped, without retry."""
-    out = []
-    if "@" in text:
-        out += [(0, *m.span()) for m in BASE["email"].finditer(text)]
+    out = emails(text) if "@" in text else []
     if not _HAS_DIGIT.search(text):
         return out
     if text.count(".") >= 3:
@@ -106,10 +151,17 @@ def proposals(text: str) -> list[tuple[int, int, int]]:
     if _HAS_DIGIT.search(text):
         out += [(4 + k, *m.span()) for k, g in enumerate(("localphone", "idnumber", "iban")) for m in GENERATORS[g].finditer(text)]
     if _SPELLED.search(text):
-        out += [(7, *m.span()) for m in GENERATORS["spelled"].finditer(text)]
+        out += spelled(text)
     return out
 
 
+def _dialled(t: str, groups: list[int]) -> bool:
+    """Grouped as telephone numbers are, with an area and an exchange that can be dialled."""
+    d = _digits(t)
+    grouped = groups == [3, 3, 4] and (t[0] == "(" or t.count("-") + t.count(".") == 2)
+    return grouped and d[0] in "23456789" and d[3] in "23456789"
+
+
 def features(text: str, rank: int, start: int, end: int) -> list[float]:
     t, before, after = text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
     d = _digits(t)
@@ -130,7 +182,9 @@ def features(text: str, rank: int, start: int, end: int) -> list[float]:
         float(iban_ok(t)) if rank == 6 else 0.0,
         float(rank == 5 and d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"),
         float(marks),
+        float(rank == 4 and _dialled(t, groups)),
         *(float(bool(c.search(before))) for c in CUES.values()),
+        *(float(bool(c.search(after))) for c in CUES.values()),
         float(bool(re.search(r"[$€£#=:/]\s*$", before))),
         float(bool(re.match(r"\s*(%|kg|km|cm|usd|eur|€|pages|lines)", after))),
         float(before[-1:].isalnum()),
@@ -138,34 +192,78 @@ def features(text: str, rank: int, start: int, end: int) -> list[float]:
     ]
 
 
+# Words that examples are filled with.
+FILL = "the a of and to in is it was for on that with as at by from we they this have are be not but one all were when there can more if out so said what up its about into than them only other new some time these two may then do first any like now over such our man made after also did many before must through years where much way well down should because long each just state people those mr how too little good world make very year still own see work".split()
+
+
 def _example(rng: random.Random) -> tuple[str, int, int, int, int]:
-    """A text with one candidate: text, rank, start, end, whether it is personal data."""
+    """A text with one candidate: text, rank, start, end, whether it is personal data.
+
+    Half of the examples have a cue, before or after; without one a number is
+    personal if its format is that of personal data alone, unless words for plain
+    numbers stand near.
+    """
     dg = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    filler = lambda: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(3, 9)))
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) if rng.random() < 0.3 else rng.choice(FILL)
+    filler = lambda least=2, most=9: " ".join(word() for _ in range(rng.randint(least, most)))
+    pick = lambda *xs: rng.choice(xs)
     rank, yes = rng.randint(4, 7), rng.random() < 0.5
+    before, after = "", ""
+    plain_before = pick("order ", "version ", "total ", "item ", "serial ", "invoice ", "tracking ", "case ", "part ", "ticket ", "sku ", "batch ", "score ")
+    plain_after = pick(" units", " pages", " is the order", " in total", " points", " votes", " is the ticket", " is the invoice", " for the part")
+    how = rng.random()
     if rank == 4:
-        sep = rng.choice(" -.")
-        t = f"({dg(3)}) {dg(3)}-{dg(4)}" if rng.random() < 0.3 else f"{dg(3)}{sep}{dg(3)}{sep}{dg(4)}"
-        cue = rng.choice(["call ", "phone: ", "tel ", "mobile ", "fax: "]) if yes else rng.choice(["order ", "", "version ", "total ", "item ", "serial "])
+        dialled = rng.random() < 0.7
+        area, mid = (pick(*"23456789") + dg(2), pick(*"23456789") + dg(2)) if dialled else (dg(3), dg(3))
+        sep = pick("-", ".", " ", "-", ".")
+        t = f"({area}) {mid}-{dg(4)}" if rng.random() < 0.25 else f"{area}{sep}{mid}{sep}{dg(4)}"
+        if rng.random() < 0.2:
+            t = pick(f"0{dg(3)} {dg(3)} {dg(4)}", f"0{dg(2)} {dg(4)} {dg(4)}")
+        strong = _dialled(t, [len(g) for g in re.findall(r"[0-9]+", t)])
+        if yes and (how < 0.45 or not strong):
+            before = pick("call ", "phone: ", "tel ", "mobile ", "fax: ", "call me at ", "my cell is ", "text me on ", "ring ", "dial ", "reach us by phone on ", "whatsapp ", "her number is ", "my phone is ")
+        elif yes and how < 0.8:
+            after = pick(" is my number", " is the number to text", " (mobile)", " (cell)", " is my cell", " to call", " is her phone", " any time you want to call", ", ask for me", " is our office line", " rings my desk")
+        elif not yes:
+            if how < 0.4 or (strong and how < 0.65):
+                before = plain_before
+            elif strong or how < 0.8:
+                after = plain_after
+            else:  # neither cue nor format
+                t = f"{dg(3)} {dg(3)} {dg(4)}" if rng.random() < 0.5 else f"{pick('0', '1')}{dg(2)}-{dg(3)}-{dg(4)}"
     elif rank == 5:
-        t = f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}" if yes else rng.choice([f"{dg(3)}-{dg(2)}-{dg(4)}", f"000-{dg(2)}-{dg(4)}", f"9{dg(2)}-{dg(2)}-{dg(4)}"])
-        cue = rng.choice(["ssn ", "social security ", "national id: "]) if yes else rng.choice(["part ", "invoice ", "", "ticket ", "sku "])
+        t = f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"
+        if yes and how < 0.4:
+            before = pick("ssn ", "social security ", "national id: ", "my social is ", "tax id ", "taxpayer ", "identity ")
+        elif yes and how < 0.75:
+            after = pick(" is my social", " is her ssn", " is his tax id", " on the insurance form", " is my identity number", " is the social security number")
+        elif not yes and how < 0.4:
+            before = plain_before
+        elif not yes and how < 0.6:
+            after = plain_after
+        elif not yes:
+            t = pick(f"000-{dg(2)}-{dg(4)}", f"9{dg(2)}-{dg(2)}-{dg(4)}", f"{dg(3)}-00-{dg(4)}", f"{dg(3)}-{dg(2)}-0000")
     elif rank == 6:
         body = dg(18)
         check = 98 - int(body + "131400") % 97
-        t = f"DE{check:02d}{body}" if yes else f"{rng.choice(['AB', 'XX', 'ID'])}{dg(2)}{dg(rng.choice([12, 16, 20]))}"
+        t = f"DE{check:02d}{body}" if yes else f"{pick('AB', 'XX', 'ID')}{dg(2)}{dg(pick(12, 16, 20))}"
         if yes is False and iban_ok(t):
             t = t[:-1] + str((int(t[-1]) + 1) % 10)
-        cue = rng.choice(["iban ", "account ", "", "bank "]) if yes else rng.choice(["serial ", "", "model ", "build "])
+        if rng.random() < 0.4:
+            t = " ".join(t[k : k + 4] for k in range(0, len(t), 4))
+        before = pick("iban ", "account ", "", "bank ", "", "pay to ") if yes else pick("serial ", "", "model ", "build ")
     else:
-        who, host = filler().split()[0], filler().split()[0]
+        who, host = word(), "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 8)))
+        who = who if len(who) > 1 else who + "x"
         if yes:
-            at, dot = rng.choice([(" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", ".")])
-            t, cue = f"{who}{at}{host}{dot}{rng.choice(['com', 'org', 'net', 'de'])}", rng.choice(["mail ", "contact ", "", "write "])
+            at, dot = pick((" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), (" at ", " dot "), ("(at)", "(dot)"))
+            who = f"{who}{pick(' dot ', '.', '_') if at == ' at ' else pick('.', dot)}{word()}" if rng.random() < 0.4 else who
+            t, before = f"{who}{at}{host}{dot}{pick('com', 'org', 'net', 'de', 'edu', 'io')}", pick("mail ", "contact ", "", "write ", "reach me: ", "ping ")
+            after = pick("", " works too", " is my inbox", "")
         else:
-            t, cue = f"{who} at {host}.{filler().split()[0]}", rng.choice(["", "page ", "room "])
-    lead = filler() + " " + cue
-    return f"{lead}{t} {filler()}", rank, len(lead), len(lead) + len(t), int(yes)
+            t, before = f"{who} at {host}.{word() + 'x'}", pick("", "page ", "room ", "we met ")
+    lead = filler() + pick(" ", ". ", ", ") + before if rng.random() < 0.85 else before
+    return f"{lead}{t}{after}{pick(' ', '. ', ', ')}{filler()}", rank, len(lead), len(lead) + len(t), int(yes)
 
 
 @functools.cache
@@ -195,11 +293,20 @@ def find(text: str, trees: BoostedTrees, limits: dict[int, float]) -> list[tuple
     spans = base_spans(text)
     if found := proposals(text):
         p = trees.probability(np.array([features(text, *c) for c in found]))
-        taken = [(s, e) for _, s, e in spans]
+        # What is taken, as disjoint runs in order; base spans may overlap each other.
+        begins, ends = [], []
+        for s, e in sorted((s, e) for _, s, e in spans):
+            if ends and s < ends[-1]:
+                ends[-1] = max(ends[-1], e)
+            else:
+                begins.append(s)
+                ends.append(e)
         for k in np.argsort(-p, kind="stable"):
             rank, s, e = found[k]
-            if p[k] >= limits[rank] and not any(s < b and a < e for a, b in taken):
-                taken.append((s, e))
+            at = bisect.bisect_right(ends, s)  # the first run that ends behind the start
+            if p[k] >= limits[rank] and (at == len(begins) or begins[at] >= e):
+                begins.insert(at, s)
+                ends.insert(at, e)
                 spans.append(found[k])
     return sorted(spans)
 

@@ -22,8 +22,7 @@
 
 Links are exact in one direction: a reported link always holds. A pair at 0.85
 itself shares no band with probability (1 - 0.85**5)**25 = 4e-7. The band that
-reports a pair is told by 32 bits of the bands' keys, which chance makes equal in
-another band, and the pair lost, for one in 10**8 pairs.
+reports a pair is the first whose whole key both have, the key they met by.
 
 Shingle size, threshold and the bands fitted to them are a ``Measure``: ``OP3``,
 as above, or ``FIVE_WORDS``, 5-word shingles and 0.8 in 30 bands of 4, where a
@@ -230,7 +229,7 @@ def _describe(batches: Iterator[pa.RecordBatch], by: Measure = OP3) -> Iterator[
             sig = signature(s, by.hashes)
             sketch.append((sig & np.uint32(255)).astype(np.uint8).tobytes())
             bands.append(band_keys(sig, by.bands))
-            keys.append((bands[-1] >> 32).astype(np.int32).tobytes())
+            keys.append(bands[-1].astype("<i8").tobytes())
         yield pa.RecordBatch.from_arrays(
             [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(keys, pa.binary())],
             names=["doc_id", "th", "n", "digest", "sketch", "bands", "keys"],
@@ -371,7 +370,7 @@ def _compare(star: bool, by: Measure = OP3):
             if len(new):
                 cols = {c: t[c].to_numpy() for c in ("label", "n", "u", "side", "cid", "band")} | {"bi": bi, "bj": bj}
                 cols["sketch"] = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, by.hashes)
-                cols["keys"] = np.frombuffer(b"".join(t["keys"].to_pylist()), np.int32).reshape(-1, by.bands)
+                cols["keys"] = np.frombuffer(b"".join(t["keys"].to_pylist()), "<i8").reshape(-1, by.bands)
                 cols["full"] = [x if x is None else np.frombuffer(x, "<u8") for x in t["full"].to_pylist()]
                 pairs = [p for p in groups(cols, new, ends) if len(p[0])]
                 if pairs:

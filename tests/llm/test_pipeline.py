@@ -12,7 +12,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline") if importlib.util.find_
 
 
 def test_names():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 13))
 
 
 @pytest.mark.skipif(corpus_pipeline is None, reason="no pipeline")

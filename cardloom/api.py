@@ -17,13 +17,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import policy, score
-from .functions.text import card_id, first_line, normalize, normalize_tags
+from .functions.text import card_id, first_line, normalize, normalize_tags, summary_text
 from .operators import brief as brief_ops
 from .operators import consolidate as ops
+from .operators import model
 from .operators.index import Index
 from .operators.similarity import with_tokens
 from .settings import Settings
@@ -36,6 +37,7 @@ PARTS = 16
 #: Manifests kept behind the newest.
 KEPT = 20
 _LOCK = threading.Lock()
+SUMMARY = "store string, text string"
 #: What a run counts.
 COUNTED = ("added", "updated", "noop", "blocked", "archived", "relinked")
 
@@ -57,6 +59,8 @@ class Memory:
     settings: Settings = field(default_factory=Settings)
     deny: list[str] = field(default_factory=list)
     retention: dict[str, int] = field(default_factory=dict)
+    #: Answers prompts in tasks, so it must be picklable; without one the passes that ask are left out.
+    client: model.ModelClient | None = None
 
     # --- tables ---------------------------------------------------------
 
@@ -309,8 +313,12 @@ class Memory:
             merged = ops.patch(merged, folded)
             # Decay looks at the cards as they were when the run began.
             why = cards.select("store", "id", ops.archive_reason(self.retention, at).alias("why")).where("why IS NOT NULL")
-            gone = written(merged.join(why, ["store", "id"]))
             left = written(merged.join(why.select("store", "id"), ["store", "id"], "left_anti"))
+            said = self._asked(store, left, self._read("replies", manifest, model.REPLIES)) if self.client else None
+            if said:
+                why = written(why.unionByName(said["why"]))
+                left = left.join(said["why"].select("store", "id"), ["store", "id"], "left_anti")
+            gone = written(merged.join(why, ["store", "id"]))
             links = ops.relink(with_tokens(left)).withColumnRenamed("links", "new_links")
             linked = left.join(links, ["store", "id"], "left").withColumn("new_links", F.coalesce("new_links", F.array().cast("array<string>")))
             moved = Observation()
@@ -335,6 +343,10 @@ class Memory:
             }
             if told["archived"]:
                 new["archive"] = [*manifest.get("archive", []), self._write("archive", gone.select(*cards.columns))]
+            if said:
+                new["replies"] = [*manifest.get("replies", []), self._write("replies", said["replies"].coalesce(1))]
+                old = self._read("summaries", manifest, SUMMARY).join(said["summaries"].select("store"), "store", "left_anti")
+                new["summaries"] = [self._write("summaries", old.unionByName(said["summaries"]).coalesce(1))]
             if batch is not None:
                 new["folded"] = manifest.get("folded", {}) | {store: batch}
             return new
@@ -343,6 +355,25 @@ class Memory:
         self._note(store, at, *told.pop("rows"), told)
         return {"started": True, "ts": now, **told}
 
+    def _asked(self, store: str, left: DataFrame, known: DataFrame) -> dict[str, DataFrame]:
+        """What the model makes of a store's cards: why some go as losers of a conflict, an overview, and its new replies.
+
+        A model that fails, stalls or says nothing of use changes nothing.
+        """
+        found = ops.conflicts(with_tokens(left))
+        pairs = found.select(F.row_number().over(Window.orderBy("a", "b")).alias("g"), "a", "b", "sim")  # four rows at most
+        of = lambda c: left.select(F.col("id").alias(c), F.col("title").alias(f"title_{c}"), F.col("body").alias(f"body_{c}"))
+        full = written(F.broadcast(pairs).join(of("a"), "a").join(of("b"), "b"))
+        prompts = model.summary_prompts(left).unionByName(model.conflict_prompts(full, store))
+        answers, new = model.ask(prompts, self.client, calls=self.settings.model_calls, deadline=self.settings.model_deadline, wall=self.settings.model_seconds, known=known)
+        answers = written(answers.where("ok"))
+        decided = model.conflict_decisions(answers.where(F.col("key") == f"conflict:{store}").select("text"), full.select("g", "a", "b"))
+        lost = decided.join(full.select("g", "a", "b"), "g").where("keep IN ('a', 'b')")
+        loser, kept = F.when(F.col("keep") == "a", F.col("b")).otherwise(F.col("a")), F.when(F.col("keep") == "a", F.col("a")).otherwise(F.col("b"))
+        why = lost.groupBy(loser.alias("id")).agg(F.min(F.concat(F.lit("llm-conflict(kept "), kept, F.lit(")"))).alias("why")).select(F.lit(store).alias("store"), "id", "why")
+        summaries = answers.where(F.col("key") == f"summary:{store}").select(F.lit(store).alias("store"), summary_text(F.col("text")).alias("text")).where("text IS NOT NULL")
+        return {"why": written(why), "summaries": summaries, "replies": new}
+
     def _note(self, store: str, at: F.Column, why: DataFrame, decided: DataFrame, minted: DataFrame, counts: dict) -> None:
         """What the run did, for the audit: ids and actions, never texts."""
         null = F.lit(None).cast("string")

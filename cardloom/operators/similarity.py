@@ -44,13 +44,13 @@ def pairs(reps: DataFrame, threshold: float) -> DataFrame:
     return full.where(enough(F.col("common"))).select("a", "b", "ord_a", "ord_b", "common", "na", "nb", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("sim"))
 
 
-def probed(rows: DataFrame, postings: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def probed(rows: DataFrame, postings: DataFrame, sets: DataFrame, threshold: float, *, copies: bool = False) -> DataFrame:
     """Pairs of ``rows`` (key, ord, set, n) with ``sets`` (key, ord, set, n) of similarity at least ``threshold``: a (of sets), b (of rows), ord_a, ord_b, sim.
 
     ``postings`` (term, key) say which sets hold a term. Of each row only the
     rarest n - ceil(t * n) + 1 terms are looked up, one of which any set that
     similar holds; sets are never compared with sets. Of equal sets the first by ord
-    is reported alone.
+    is reported alone, unless ``copies`` asks for all.
     """
     terms = rows.select("key", "n", F.explode("set").alias("term"))
     df = postings.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
@@ -64,6 +64,8 @@ def probed(rows: DataFrame, postings: DataFrame, sets: DataFrame, threshold: flo
     fit = full.where((F.col("na") >= threshold * F.col("nb") - 1e-9) & (threshold * F.col("na") <= F.col("nb") + 1e-9))
     common = F.size(F.array_intersect("sa", "sb"))
     found = fit.withColumn("sim", common / (F.col("na") + F.col("nb") - common)).where(F.col("sim") >= threshold - 1e-9)
+    if copies:
+        return found.select("a", "b", "ord_a", "ord_b", "sim")
     first = found.groupBy("b", F.xxhash64(F.array_sort("sa")).alias("same"), "sim").agg(F.min(F.struct("ord_a", "a", "ord_b")).alias("x"))
     return first.select("x.a", "b", "x.ord_a", "x.ord_b", "sim")
 

@@ -20,6 +20,7 @@ class Settings:
     interval_minutes: int = 30
     model_calls: int = 40
     model_deadline: float = 60.0
+    model_seconds: float = 600.0
 
     BOUNDS: ClassVar[dict] = {"card_bytes": (256, 65536), "brief_bytes": (512, 65536), "project_k": (0, 50), "global_k": (0, 50), "tail_chars": (200, 200000), "min_turn_chars": (0, 10000), "interval_minutes": (1, 1440), "model_calls": (0, 1000)}
 

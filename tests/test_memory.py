@@ -265,3 +265,57 @@ def test_two_writers(spark, tmp_path):
     assert {h["title"] for h in m.recall("several", NOW, note=False)["hits"]} == set(texts)
     again = m.remember(texts[0], NOW)
     assert m.table("cards").count() == len(texts) and again["title"] == texts[0]
+
+
+def test_model_passes(spark, tmp_path):
+    """The loser of a conflict is archived, an overview kept; what was answered isn't asked again, and a stalled model ends in time."""
+    import time
+
+    log = tmp_path / "asked"
+
+    class Client:
+        def __init__(self, how):
+            self.how = how
+
+        def complete(self, system, prompt, max_tokens, temperature):
+            with open(log, "a") as f:
+                f.write(prompt.split("\n")[0] + "\n")
+            if self.how == "stall":
+                time.sleep(30)
+            if self.how == "fail":
+                raise RuntimeError("no model")
+            return ("G1: A\nG2 both\nG9 a" if prompt.startswith("G1") else " An  overview\nof notes. ", "end")
+
+    m = Memory(spark, str(tmp_path / "m"), Settings(model_deadline=1.0), client=Client("stall"))
+    texts = ["the build runs on linux with python three", "the build runs on windows with python two", "the build runs on linux with java now", *(f"note{k} x{k} y{k} z{k}" for k in range(7))]
+    ids = {t: m.remember(t, f"2026-01-0{1 + k % 8} 12:00:00")["id"] for k, t in enumerate(texts)}
+    none = spark.createDataFrame([], "seq long, content string")
+    pairs = [(r.a, r.b) for r in consolidate.conflicts(with_tokens(m.table("cards"))).collect()]
+    assert len(pairs) == 3 and {i for p in pairs for i in p} == {ids[t] for t in texts[:3]}
+    began = time.monotonic()
+    assert m.consolidate(none, NOW)["archived"] == 0 and time.monotonic() - began < 60
+    m.client = Client("fail")
+    assert m.consolidate(none, NOW)["archived"] == 0 and m.table("summaries", "store string, text string").count() == 0
+    m.client = Client("answer")
+    assert len(log.read_text().splitlines()) == 4
+    assert m.consolidate(none, NOW)["archived"] == 1
+    assert [r.id for r in m.table("archive").collect()] == [pairs[0][1]]
+    assert [(r.store, r.text) for r in m.table("summaries", "store string, text string").collect()] == [("global", "An overview of notes.")]
+    audit = {r.op: r for r in logs.read_jsonl(spark, f"{tmp_path}/m/audit", logs.AUDIT).where("op = 'archive'").collect()}
+    assert audit["archive"].detail == f"llm-conflict(kept {pairs[0][0]})"
+    m.consolidate(none, NOW)  # one card fewer: both prompts are new, and the next pair's loser goes
+    m.consolidate(none, NOW)
+    asked = len(log.read_text().splitlines())
+    m.consolidate(none, NOW)
+    assert len(log.read_text().splitlines()) == asked and m.table("archive").count() == 2
+
+
+def test_conflicts_in_order(spark, monkeypatch):
+    """The first pairs in order, from steps of few cards, against all pairs."""
+    monkeypatch.setattr(consolidate, "FIRST_CARDS", 3)
+    rng = random.Random(2)
+    rows = [(f"m{k:03d}", rng.sample("abcdefghijklmnopqrstuvw", rng.randint(0, 9))) for k in range(60)]
+    cards = spark.createDataFrame(rows, "id string, tokens array<string>").withColumn("valid_until", F.lit(None).cast("timestamp"))
+    want = [(a, b) for i, (a, x) in enumerate(rows) for b, y in rows[i + 1 :] if 0.3 <= jaccard(set(x), set(y)) < 0.85]
+    for most in (1, 4, 25, 10_000):
+        assert [(r.a, r.b) for r in consolidate.conflicts(cards, most).collect()] == want[:most]

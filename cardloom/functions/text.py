@@ -11,12 +11,12 @@ NOT_CJK = r"[^\u3400-\u9FFF\uF900-\uFAFF]"
 
 
 def trim_space(c: Column) -> Column:
-    # A run is tried from its start alone, so long runs within a text cost no square of their length.
-    return F.regexp_replace(c, rf"\A{SPACE}+|(?<!{SPACE}){SPACE}+\z", "")
+    # A run is tried from its first character alone, so long runs within a text cost no square of their length.
+    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}(?<!{SPACE}{SPACE}){SPACE}*\z", "")
 
 
 def collapse(c: Column) -> Column:
-    return trim_space(F.regexp_replace(c, f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 def let(value: Column, body) -> Column:

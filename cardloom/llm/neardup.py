@@ -54,7 +54,9 @@ from .base import free_names, trimmed, written
 from .graph import components
 
 #: Bytes of text worked on at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 4 << 20
+#: The same where sets are made, beside which a worker holds their sketches.
+SET_BYTES = 1 << 20
 SHINGLE = 3
 BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
@@ -170,7 +172,7 @@ def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
 
 def batch_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
     """``shingle_set`` of each text."""
-    for chunk in chunks_of(texts):
+    for chunk in chunks_of(texts, SET_BYTES):
         w, at = batch_words(chunk)
         for a, b in zip(at.tolist(), at[1:].tolist()):
             yield np.unique(shingle_sequence(w[a:b], k))

@@ -61,7 +61,8 @@ def relevance(cards: DataFrame, terms: list[str], *, sets: bool = False) -> Data
     stats = stats.join(df.groupBy("store").agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("dfs")), "store", "left")
     term = lambda x: score.bm25_term(x["tf"], F.try_element_at("dfs", x["term"]), F.col("doc_count"), F.col("len"), F.col("avg_doc_len"))
     bm25 = F.aggregate("tfs", F.lit(0.0), lambda s, x: s + term(x))
-    return held.join(stats, "store").withColumn("rel", bm25 + 0.3 * F.col("boost")).drop("tfs", "dfs", "doc_count", "avg_doc_len", "boost", "len")
+    # A row for each store is sent to the cards, which would else meet by store in one task.
+    return held.join(F.broadcast(stats), "store").withColumn("rel", bm25 + 0.3 * F.col("boost")).drop("tfs", "dfs", "doc_count", "avg_doc_len", "boost", "len")
 
 
 def composed(live: DataFrame, now: F.Column) -> DataFrame:
